@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, token_store, toxicity
+from . import bpe, quality, substring, token_store, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -32,13 +32,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes words under windows of 13 words that start in an earlier document too."""
+    return substring.substring_dedup(table(spark, sf_dir, "documents"), window=13, digest=True)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a model that never saw the held-out third."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op5_token_store, op7_quality_rules, op9_toxicity)}
+    return {f.__name__: f for f in (op1_bpe_codec, op5_token_store, op7_quality_rules, op8_substring_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

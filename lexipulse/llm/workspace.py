@@ -122,3 +122,35 @@ def unpack_sorted(b: bytes) -> np.ndarray:
         np.cumsum(full.view("<u8").ravel(), out=out[1:])
         out[1:] += np.uint64(first)
     return out
+
+
+# --- blocks of documents and buckets of hashes ---------------------------------------------------
+
+def text_blocks(docs: DataFrame, per_part: int = 3) -> DataFrame:
+    """block, doc_id, text: documents dealt by hash to a few blocks for each shuffle partition.
+
+    The block of a row depends on the row alone, and the exchange is the same wherever it is used in a plan, so Spark
+    shuffles the texts once and every stage that takes blocks reads that shuffle again.
+    """
+    from pyspark.sql import functions as F
+
+    n = shuffle_parts(docs.sparkSession)
+    text = docs["text"].cast("string")
+    block = F.pmod(F.xxhash64(docs["doc_id"], text), F.lit(per_part * n)).cast("int")
+    return docs.select(block.alias("block"), "doc_id", text.alias("text")).repartition(n, "block")
+
+
+def buckets(spark: SparkSession) -> int:
+    """Ranges that the 64-bit hashes are cut into."""
+    return 3 * shuffle_parts(spark)
+
+
+def bucket_edges(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n equal ranges begins in sorted hashes, and the end."""
+    first = np.array([(k << 64) // n for k in range(1, n)], np.uint64)
+    return np.r_[0, np.searchsorted(sorted_hashes, first), len(sorted_hashes)].astype(np.int64)
+
+
+def first_of_runs(a: np.ndarray) -> np.ndarray:
+    """Places where a sorted array takes a new value."""
+    return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
