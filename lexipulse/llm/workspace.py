@@ -91,7 +91,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(k) * _M1, np.uint64)
+    h = np.full(n, k * int(_M1) % (1 << 64), np.uint64)
     for i in range(k):
         h = mix64(h + words[i : i + n] * _M1 + np.uint64(i + 1))
     return h
