@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, quality, substring, token_store, toxicity
+from . import bpe, jaccard, lm, quality, substring, token_store, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -27,6 +27,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff trigram scores of every document under the model of all others."""
+    return lm.backoff_scores(table(spark, sf_dir, "documents"), order=3, alpha=0.4)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all ids in doc_id order to directly addressable files and reads them back."""
     return token_store.read_tokens(spark, token_store.write_tokens(table(spark, sf_dir, "documents"), VOCABULARY, END_ID), digest=True)
@@ -48,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op5_token_store, op7_quality_rules, op8_substring_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op3_lm_scores, op5_token_store, op7_quality_rules, op8_substring_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

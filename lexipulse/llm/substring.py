@@ -34,9 +34,10 @@ _HASHES = WordHashes()
 class Block:
     """The words of a block's documents, one after the other."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, lower: bool = False):
         self.doc_ids = table.column("doc_id").to_pylist()
-        self.words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in table.column("text").to_pylist()]
+        raw = (t.encode("utf-8", "surrogatepass") if t else b"" for t in table.column("text").to_pylist())
+        self.words = [(t.lower() if lower else t).split() for t in raw]
         self.size = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.start = np.cumsum(self.size) - self.size
         self.key = np.array([NO_ID if d is None else d for d in self.doc_ids], np.int64)
