@@ -18,15 +18,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, slices
+from .bpe import Encoder, gather, slices
 from .workspace import bounded_batches, fresh_path, open_shared, shuffle_parts
 
 MAGIC = b"LXDAC001"
@@ -121,9 +123,15 @@ class TokenFile:
 
 
 class LibraryEncoder(Encoder):
-    """The chunk cache of ``bpe.Encoder`` over the ``tokenizers`` library: white space separates the vocabulary's words."""
+    """The chunk cache of ``bpe.Encoder`` over the ``tokenizers`` library: white space separates the vocabulary's words.
 
-    def __init__(self, path: str, most: int = 400_000):
+    A Latin word with stops behind it is looked up as the lower-cased word and the stops, which the vocabulary's pattern
+    separates too, so that the library sees each word once; any other chunk goes to it as it is.
+    """
+
+    LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,10 +140,32 @@ class LibraryEncoder(Encoder):
         self.library.no_padding()
         self._empty()
 
+    def _empty(self) -> None:
+        super()._empty()
+        self.word = type(self.number)()
+        self.word_pool, self.word_start, self.word_count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for f in found for i in f), np.int64, int(n.sum())), n
+        known, find, cut, slots, two = len(self.word), self.word.__getitem__, self.LATIN.fullmatch, [], []
+        for i, c in enumerate(chunks):
+            if m := cut(c):
+                slots.append(find(m[1].lower()))
+                if m[2]:
+                    slots.append(find(m[2]))
+                    two.append(i)
+            else:
+                slots.append(find(c))
+        if len(self.word) > known:
+            found = [e.ids for e in self.library.encode_batch_fast(list(self.word)[known:], add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            self.word_start = np.r_[self.word_start, len(self.word_pool) + np.cumsum(n) - n]
+            self.word_count = np.r_[self.word_count, n]
+            self.word_pool = np.r_[self.word_pool, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))]
+        slot, owned = np.array(slots, np.int64), np.ones(len(chunks), np.int64)
+        owned[two] = 2
+        size = self.word_count[slot]
+        ids = gather(self.word_pool, self.word_start[slot], size)
+        return ids, np.add.reduceat(size, np.cumsum(owned) - owned)
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
