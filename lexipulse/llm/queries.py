@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, lm, quality, substring, token_store, toxicity
+from . import ann, bpe, jaccard, lm, quality, substring, token_store, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -52,8 +52,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id as id", "embedding as vector")
+    return ann.search(vectors, lambda i: i % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op3_lm_scores, op5_token_store, op7_quality_rules, op8_substring_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op3_lm_scores, op5_token_store, op7_quality_rules, op8_substring_dedup, op9_toxicity, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
