@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, jaccard, lm, quality, substring, token_store, toxicity
+from . import ann, bpe, jaccard, lm, pii, quality, substring, token_store, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -32,6 +32,11 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.backoff_scores(table(spark, sf_dir, "documents"), order=3, alpha=0.4)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all ids in doc_id order to directly addressable files and reads them back."""
     return token_store.read_tokens(spark, token_store.write_tokens(table(spark, sf_dir, "documents"), VOCABULARY, END_ID), digest=True)
@@ -59,7 +64,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op3_lm_scores, op5_token_store, op7_quality_rules, op8_substring_dedup, op9_toxicity, op10_multi_index)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op3_lm_scores, op4_pii, op5_token_store, op7_quality_rules, op8_substring_dedup, op9_toxicity, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
