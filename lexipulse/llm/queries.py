@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, jaccard, lm, pii, quality, substring, token_store, toxicity
+from . import ann, bpe, jaccard, lm, mixing, pii, quality, substring, token_store, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -42,6 +42,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, token_store.write_tokens(table(spark, sf_dir, "documents"), VOCABULARY, END_ID), digest=True)
 
 
+def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of every document when small sources repeat, twice at most."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"), repeats=2.0)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the perplexity verdict of every document."""
     return quality.quality(table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op3_lm_scores, op4_pii, op5_token_store, op7_quality_rules, op8_substring_dedup, op9_toxicity, op10_multi_index)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op3_lm_scores, op4_pii, op5_token_store, op6_temperature_mix, op7_quality_rules, op8_substring_dedup, op9_toxicity, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
