@@ -37,7 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds rows and bytes of the Arrow batches that later plans of this session send to Python."""
+    """Bounds rows and bytes of the Arrow batches that later plans of this session send to Python.
+
+    Small shuffles are also merged to the advisory size, so that small tables are few files and tasks.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -126,7 +130,7 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 # --- blocks of documents and buckets of hashes ---------------------------------------------------
 
-def text_blocks(docs: DataFrame, per_part: int = 3) -> DataFrame:
+def text_blocks(docs: DataFrame, per_part: int = 2) -> DataFrame:
     """block, doc_id, text: documents dealt by hash to a few blocks for each shuffle partition.
 
     The block of a row depends on the row alone, and the exchange is the same wherever it is used in a plan, so Spark
@@ -141,8 +145,8 @@ def text_blocks(docs: DataFrame, per_part: int = 3) -> DataFrame:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Ranges that the 64-bit hashes are cut into."""
-    return 3 * shuffle_parts(spark)
+    """Ranges that the 64-bit hashes are cut into. Blocks times ranges is the most messages of an exchange."""
+    return min(shuffle_parts(spark), 1 << 16)
 
 
 def bucket_edges(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
