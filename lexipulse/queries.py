@@ -432,7 +432,7 @@ def burst_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DEDUP = _BURST.replace("WITH ", "WITH RECURSIVE ", 1) + """, rk AS (SELECT term, recent_df, row_number() OVER (ORDER BY round(score, 9) DESC, term) AS rn FROM b), wk(rn, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(t VARCHAR, d BIGINT)[]) UNION ALL
- SELECT r.rn, CASE WHEN len(w.kept) >= 80 OR len(list_filter(w.kept, k -> contains(k.t, r.term) AND k.d >= 0.7 * r.recent_df)) > 0 THEN w.kept ELSE list_append(w.kept, {'t': r.term, 'd': r.recent_df}) END FROM wk w JOIN rk r ON r.rn = w.rn + 1),
+ SELECT r.rn, CASE WHEN len(w.kept) >= 80 OR len(list_filter(w.kept, lambda k: contains(k.t, r.term) AND k.d >= 0.7 * r.recent_df)) > 0 THEN w.kept ELSE list_append(w.kept, {'t': r.term, 'd': r.recent_df}) END FROM wk w JOIN rk r ON r.rn = w.rn + 1),
  fin AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM wk ORDER BY rn DESC LIMIT 1)), kp AS (SELECT k.t AS term, k.d AS recent_df FROM fin)"""
 
 
