@@ -404,7 +404,7 @@ _EMD = f"md AS (SELECT *, {sql_domain(PROSE)} AS in_domain FROM dd), dn AS (SELE
 _DF = f"WITH {DD}, {_EMD}, {_GRAMS.replace('FROM dd)', 'FROM md WHERE in_domain)')}, ndf AS (SELECT 'all' AS source, year, term, count(*) AS df FROM gr GROUP BY year, term HAVING count(*) >= 5)"
 _BURST = f"""{_DF}, yy AS (SELECT year, n, row_number() OVER (ORDER BY year DESC) AS age FROM dn WHERE year <> {AS_OF_DOCS}), ns AS (SELECT sum(n) FILTER (WHERE age <= 3) AS n_rec, sum(n) FILTER (WHERE age BETWEEN 4 AND 6) AS n_pri FROM yy),
  tt AS (SELECT term, CAST(coalesce(sum(df) FILTER (WHERE age <= 3), 0) AS BIGINT) AS recent_df, CAST(coalesce(sum(df) FILTER (WHERE age BETWEEN 4 AND 6), 0) AS BIGINT) AS prior_df FROM ndf JOIN yy ON yy.year = ndf.year GROUP BY term),
- bs AS (SELECT 'all' AS source, term, recent_df, prior_df, (recent_df * 1.0 / n_rec + 1.0 / n_pri) / (prior_df * 1.0 / n_pri + 1.0 / n_pri) AS growth_ratio FROM tt CROSS JOIN ns WHERE recent_df >= 15), b AS (SELECT *, ln(growth_ratio) * ln(1.0 + recent_df) AS score FROM bs)"""
+ bs AS (SELECT 'all' AS source, term, recent_df, prior_df, (recent_df * 1.0 / n_rec + 1.0 / n_pri) / (prior_df * 1.0 / n_pri + 1.0 / n_pri) AS growth_ratio FROM tt CROSS JOIN ns WHERE recent_df >= 15), b AS MATERIALIZED (SELECT *, ln(growth_ratio) * ln(1.0 + recent_df) AS score FROM bs)"""
 
 
 def _prose_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,7 +431,7 @@ def burst_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_bursts(spark, sf_dir).select("source", "term", "recent_df", "prior_df", "growth_ratio", "score"), "growth_ratio", "score")
 
 
-_DEDUP = _BURST.replace("WITH ", "WITH RECURSIVE ", 1) + """, rk AS (SELECT term, recent_df, row_number() OVER (ORDER BY round(score, 9) DESC, term) AS rn FROM b), wk(rn, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(t VARCHAR, d BIGINT)[]) UNION ALL
+_DEDUP = _BURST.replace("WITH ", "WITH RECURSIVE ", 1) + """, rk AS MATERIALIZED (SELECT term, recent_df, row_number() OVER (ORDER BY round(score, 9) DESC, term) AS rn FROM b), wk(rn, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(t VARCHAR, d BIGINT)[]) UNION ALL
  SELECT r.rn, CASE WHEN len(w.kept) >= 80 OR len(list_filter(w.kept, lambda k: contains(k.t, r.term) AND k.d >= 0.7 * r.recent_df)) > 0 THEN w.kept ELSE list_append(w.kept, {'t': r.term, 'd': r.recent_df}) END FROM wk w JOIN rk r ON r.rn = w.rn + 1),
  fin AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM wk ORDER BY rn DESC LIMIT 1)), kp AS (SELECT k.t AS term, k.d AS recent_df FROM fin)"""
 
