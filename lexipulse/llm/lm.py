@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .substring import Block
-from .workspace import bounded_batches, bucket_edges, buckets, first_of_runs, pack_sorted, text_blocks, unpack_sorted, window_hashes
+from .bpe import slices
+from .workspace import bounded_batches, bucket_edges, buckets, first_of_runs, hashed_words, pack_sorted, shuffle_parts, text_blocks, unpack_sorted, window_hashes
 
 
 def pack_counts(n: np.ndarray) -> bytes:
@@ -36,11 +36,23 @@ def unpack_counts(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
+class Words:
+    """The word hashes of a block's documents, one after the other."""
+
+    def __init__(self, docs: pa.Table):
+        texts = docs.column("text").to_pylist()
+        parts = [hashed_words(texts[a:b], lower=True) for a, b in slices(texts)]
+        self.hash = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
+        self.size = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.at = np.arange(len(self.doc)) - (np.cumsum(self.size) - self.size)[self.doc]
+
+
 class Resolved:
     """Occurrences elsewhere of each place's n-grams, order by order, from the answers so far."""
 
     def __init__(self, docs: pa.Table):
-        self.b = Block(docs, lower=True)
+        self.b = Words(docs)
         n = len(self.b.doc)
         self.order, self.elsewhere = 0, []
         self.known = np.ones(n, bool)  # both shorter n-grams occur elsewhere
@@ -50,17 +62,20 @@ class Resolved:
         k, b = self.order + 1, self.b
         self.end = np.flatnonzero(self.known & (b.at >= k - 1))
         full = window_hashes(b.hash, k)
-        self.distinct, self.which, count = np.unique(full[self.end - (k - 1)] if len(self.end) else full[:0], return_inverse=True, return_counts=True)
-        return self.distinct, count
+        self.distinct, self.which, self.count = np.unique(full[self.end - (k - 1)] if len(self.end) else full[:0], return_inverse=True, return_counts=True)
+        return self.distinct, self.count
 
     def answer(self, total: np.ndarray) -> None:
         """Takes the counts over all blocks of what ``ask`` gave."""
         if len(total) != len(self.distinct):
             raise ValueError("answers do not fit the question")
         pair = self.b.doc[self.end] * (len(total) + 1) + self.which
-        _, at, own = np.unique(pair, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(self.count[self.which] > 1)  # an n-gram met once in the block is met once in its document
+        own = np.ones(len(pair), np.int64)
+        _, at, n = np.unique(pair[again], return_inverse=True, return_counts=True)
+        own[again] = n[at]
         elsewhere = np.zeros(len(self.b.doc), np.int64)
-        elsewhere[self.end] = total[self.which] - own[at]
+        elsewhere[self.end] = total[self.which] - own
         self.elsewhere.append(elsewhere)
         self.order += 1
         found = elsewhere > 0
@@ -144,7 +159,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
     """doc_id, n_words, log_score and mean_log_score of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n, base = buckets(spark), text_blocks(docs)
+    n, base = buckets(spark), text_blocks(docs, per_part=1)
     tokens = docs.select(F.sum(F.regexp_count(docs["text"].cast("string"), F.lit("[^ \\t-\\r]+"))).alias("n")).first().n or 0
     answers = None
     for k in range(1, order + 1):
@@ -152,6 +167,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
             asked = base.groupBy("block").applyInArrow(lambda t: _asked(Resolved(t), t.column("block")[0].as_py(), n), ASK)
         else:
             asked = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asker(n, k), ASK)
-        got = asked.groupBy("bucket").applyInArrow(_count, ANSWER)
+        # dealt by block here, so that later orders read this exchange again instead of counting anew
+        got = asked.groupBy("bucket").applyInArrow(_count, ANSWER).repartition(shuffle_parts(spark), "block")
         answers = got if answers is None else answers.union(got)
     return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, n, alpha, tokens), "doc_id long, n_words long, log_score double, mean_log_score double")

@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from xxhash import xxh3_64_intdigest
 
 #: Upper bound of one Arrow batch handed to a Python worker, whatever the length of its texts.
 BATCH_BYTES = 16 << 20
@@ -77,8 +78,6 @@ class WordHashes(dict):
     """word (bytes) -> 64-bit hash, filled on demand; emptied by ``trim`` when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
         v = self[word] = xxh3_64_intdigest(word)
         return v
 
@@ -90,6 +89,44 @@ class WordHashes(dict):
             self.clear()
 
 
+#: Random 64-bit values of the bytes, and an odd base; both made from the finaliser.
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * _M1)
+_BASE = int(_M3) | 5
+_BLANK = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of an odd base modulo 2**64, lowest first."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        step = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+        step[0] = 1
+        _POWERS[base] = np.multiply.accumulate(step)
+    return _POWERS[base]
+
+
+def hashed_words(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, one after the other; number of words of each text), without a loop over words.
+
+    A word is a run of bytes other than ASCII white space. Its hash is a polynomial in the base over random values of
+    its bytes, taken as a difference of prefix sums, then mixed with its length.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    joined = b" ".join([*raw, b""])
+    data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(data) and not blank[0]:
+        edge = np.r_[0, edge]
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _powers(_BASE, len(data) + 1)[: len(data)], out=total[1:])
+    h = (total[end] - total[start]) * _powers(pow(_BASE, -1, 1 << 64), len(data) + 1)[start]
+    h = mix64(h + (end - start).astype(np.uint64) * _M2)
+    edge = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return h, np.diff(np.searchsorted(start, edge))
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all windows of ``k`` consecutive word hashes."""
     n = len(words) - k + 1
