@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .workspace import bounded_batches
+from .workspace import CACHES, bounded_batches, only_cache
 
 NO_RANK = np.int64(1) << 60
 #: Python's str.split() also splits at these; the vocabulary's pattern takes them for symbols.
@@ -126,7 +126,7 @@ class Bpe:
                 take[ahead[(ahead - run[np.searchsorted(run, ahead, "right") - 1]) % 2 == 1]] = False
             else:
                 ahead = np.flatnonzero(take)
-                take[ahead[np.r_[False, word[ahead][1:] == word[ahead][:-1]]]] = False
+                take[ahead[1:][word[ahead][1:] == word[ahead][:-1]]] = False
             here = np.flatnonzero(take)
             sym[here] = self.made[at[here]]
             keep = alive.copy()
@@ -207,6 +207,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(Bpe(path))
 
 
+CACHES["bpe"] = encoder.cache_clear
+
+
 def slices(texts: list, most: int = 4 << 20):
     """Ranges of consecutive texts of about ``most`` characters, one text at least."""
     at = size = 0
@@ -220,6 +223,7 @@ def slices(texts: list, most: int = 4 << 20):
 
 
 def encode_column(batches, path: str, digest: bool):
+    only_cache("bpe")
     enc = encoder(path)
     for batch in batches:
         texts = batch.column("text").to_pylist()

@@ -24,25 +24,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .workspace import WordHashes, bounded_batches, bucket_edges, buckets, first_of_runs, pack_sorted, text_blocks, unpack_sorted, window_hashes
+from .workspace import CACHES, WordHashes, bounded_batches, bucket_edges, buckets, first_of_runs, only_cache, pack_sorted, text_blocks, unpack_sorted, window_hashes
 
 PERIOD, COVER = 7, (0, 1, 3)
 NO_ID = np.int64(2**63 - 1)
 _HASHES = WordHashes()
+CACHES["substring"] = _HASHES.clear
 
 
 class Block:
     """The words of a block's documents, one after the other."""
 
-    def __init__(self, table: pa.Table, lower: bool = False):
+    def __init__(self, table: pa.Table):
         self.doc_ids = table.column("doc_id").to_pylist()
-        raw = (t.encode("utf-8", "surrogatepass") if t else b"" for t in table.column("text").to_pylist())
-        self.words = [(t.lower() if lower else t).split() for t in raw]
+        self.words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in table.column("text").to_pylist()]
         self.size = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.start = np.cumsum(self.size) - self.size
         self.key = np.array([NO_ID if d is None else d for d in self.doc_ids], np.int64)
         self.doc = np.repeat(np.arange(len(self.words)), self.size)
         self.at = np.arange(len(self.doc)) - self.start[self.doc]
+        only_cache("substring")
         _HASHES.trim()
         self.hash = _HASHES.of([w for ws in self.words for w in ws])
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, gather, slices
-from .workspace import bounded_batches, fresh_path, open_shared, shuffle_parts
+from .workspace import CACHES, bounded_batches, fresh_path, only_cache, open_shared, shuffle_parts
 
 MAGIC = b"LXDAC001"
 BLOCK = 512
@@ -169,11 +169,13 @@ class LibraryEncoder(Encoder):
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
+CACHES["tokens"] = _LIBRARY.clear
 
 
 def _write_shards(batches, folder: str, vocabulary: str, end_id: int, shard_tokens: int):
     from pyspark import TaskContext
 
+    only_cache("tokens")
     enc = _LIBRARY.get(vocabulary) or _LIBRARY.setdefault(vocabulary, LibraryEncoder(vocabulary))
     store, top = open_shared(folder)
     part, seq = TaskContext.get().partitionId(), 0

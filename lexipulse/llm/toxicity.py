@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .bpe import slices
-from .workspace import WordHashes, bounded_batches, mix64
+from .workspace import CACHES, WordHashes, bounded_batches, mix64, only_cache
 
 _WORD = re.compile(r"\w+")
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -34,12 +34,14 @@ class TextHashes(WordHashes):
 
 
 _HASHES = TextHashes()
+CACHES["toxicity"] = _HASHES.clear
 
 
 def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, place) of each occurrence of a feature, in any order."""
     words = [_WORD.findall(t.lower()) if t else [] for t in texts]
     n = np.fromiter(map(len, words), np.int64, len(words))
+    only_cache("toxicity")
     _HASHES.trim()
     h = _HASHES.of([w for ws in words for w in ws])
     doc = np.repeat(np.arange(len(words)), n)
@@ -105,6 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 22, most: int = 20_000
     # the sample holds ``most`` rows of three numbers: a fixed bound
     text = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("place"), "label", "text")
     got = text.repartition(1).mapInArrow(lambda it: _train(it, bits, passes, alpha, beta, l1, l2), "at array<long>, weight array<double>, bias double").first()
+    if got is None:  # no labelled document
+        return np.zeros(0, np.int64), np.zeros(0), 0.0
     return np.array(got.at, np.int64), np.array(got.weight), float(got.bias)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,17 @@ def open_shared(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: What a worker process keeps between tasks, by operator: name -> function that empties it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(name: str | None) -> None:
+    """Empties what other operators keep in this worker process, so that one worker never holds two operators' caches."""
+    for other, empty in CACHES.items():
+        if other != name:
+            empty()
+
+
 # --- word hashes -------------------------------------------------------------------------------
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
