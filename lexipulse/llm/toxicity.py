@@ -1,10 +1,11 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the presence of lower-cased words, word pairs and pairs with one word between, hashed to ``2**bits``
-places. Training sees a bounded sample: the ``most`` labelled training rows of smallest (hash of doc_id, doc_id), ``passes``
-times in that order. Per-coordinate learning rates and the L1 term leave few non-zero weights, which alone are
-broadcast (at most ``2**bits`` by construction, some thousands in practice). Scoring covers all documents without a
-shuffle; labels, lang, source and doc_id are no inputs of a score.
+places. Training sees a bounded sample: the ``most`` labelled training rows of smallest (hash of doc_id, doc_id),
+``passes`` times in that order; the last tenth, before it is learned too, calibrates the scores (Platt). Per-coordinate
+learning rates and the L1 term leave few non-zero weights, which alone are broadcast (at most ``2**bits`` by
+construction, some thousands in practice). Scoring covers all documents without a shuffle; labels, lang, source and
+doc_id are no inputs of a score.
 
 A null or empty text has no features: its score is that of the bias. A null doc_id counts as not held out. Documents
 labelled more than once train with the largest label, null labels with none; without any label every score is 0.5.
@@ -81,6 +82,20 @@ class Ftrl:
         self.bias_n += g * g
 
 
+def platt(margin: np.ndarray, positive: np.ndarray, least: int = 20) -> tuple[float, float]:
+    """(scale, shift) of the margins for which they are log odds, by Newton steps with smoothed targets; (1, 0) for few rows."""
+    n = int(positive.sum())
+    if min(n, len(positive) - n) < least:
+        return 1.0, 0.0
+    target = np.where(positive, (n + 1) / (n + 2), 1 / (len(positive) - n + 2))
+    x, w = np.stack([margin, np.ones(len(margin))], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+        w = w - np.clip(step, -1, 1)
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 def _train(batches, bits: int, passes: int, alpha: float, beta: float, l1: float, l2: float):
     rows: list[tuple[int, float, np.ndarray]] = []
     for batch in batches:
@@ -92,12 +107,19 @@ def _train(batches, bits: int, passes: int, alpha: float, beta: float, l1: float
             rows += zip(order[a:b], labels[a:b], [(p & (1 << bits) - 1).astype(np.int32) for p in np.split(pair, cut)])
     rows.sort(key=lambda r: r[0])
     model = Ftrl(1 << bits, alpha, beta, l1, l2)
-    for _ in range(passes):
-        for _, label, at in rows:
-            model.learn(at, float(label > 0))
-    w = model.weights(np.arange(1 << bits))
+    last = len(rows) - len(rows) // 10
+    scale, shift = 1.0, 0.0
+    first = rows[:last]
+    for part in (first, rows[last:]):
+        if part is not first:  # not learned yet, so these margins are honest
+            margin = np.array([model.weights(at).sum() + model.bias for _, _, at in part])
+            scale, shift = platt(margin, np.array([label > 0 for _, label, _ in part]))
+        for _ in range(passes):
+            for _, label, at in part:
+                model.learn(at, float(label > 0))
+    w = model.weights(np.arange(1 << bits)) * scale
     at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_pydict({"at": pa.array([at.tolist()], pa.list_(pa.int64())), "weight": pa.array([w[at].tolist()], pa.list_(pa.float64())), "bias": [model.bias]})
+    yield pa.RecordBatch.from_pydict({"at": pa.array([at.tolist()], pa.list_(pa.int64())), "weight": pa.array([w[at].tolist()], pa.list_(pa.float64())), "bias": [model.bias * scale + shift]})
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 22, most: int = 20_000, passes: int = 4, alpha: float = 1.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1) -> tuple[np.ndarray, np.ndarray, float]:
