@@ -210,7 +210,7 @@ def encoder(path: str) -> Encoder:
 CACHES["bpe"] = encoder.cache_clear
 
 
-def slices(texts: list, most: int = 4 << 20):
+def slices(texts: list, most: int = 1 << 20):
     """Ranges of consecutive texts of about ``most`` characters, one text at least."""
     at = size = 0
     for i, t in enumerate(texts):

@@ -3,12 +3,12 @@
 A document's set holds the hashes of its distinct word shingles. Sets are put in one order, rare shingles first, taken
 from a counting sketch of fixed size over all documents (any order gives right results; this one keeps frequent
 passages out of prefixes). Two sets of Jaccard similarity t or more share a shingle of their prefixes, the first
-n - ceil(t n) + 1 of each.
+n - ceil(t n) + 1 of each. Words are told apart by 64-bit hashes.
 
 1. Documents of equal sets form one node; nodes of equal size and prefix form one group.
-2. Prefix shingles of groups meet their pivot (the smallest group) through a count by shingle, so that a shingle in
-   k groups gives k pairs. Pairs pass the size and position filters, are expanded to members, pass a bound on the
-   symmetric difference from 512 parity bits, and are verified on the whole sets.
+2. Blocks of groups send their prefix shingles, keyed with the size band, to ranges of the hash space and learn which
+   are shared. Groups meet the pivot of each shared key, so that a key of k groups gives k pairs. Pairs pass the size and position filters, are expanded to members, pass a bound on the
+   symmetric difference from 1024 parity bits, and are verified on the whole sets.
 3. Verified links give components. Pairs inside a component need no check; where a shingle meets several components,
    every member outside the largest of them is paired with all members of other components, and these pairs take the
    same filters and the same verification. So no link between components is lost, and a group of k copies costs k.
@@ -22,27 +22,27 @@ others, and have their own only through others. An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .bpe import slices
 from .graph import components
-from .workspace import WordHashes, bounded_batches, mix64, pack_sorted, stored, unpack_sorted, window_hashes
+from .substring import _among, _joined, _rows, _shared_anchors
+from .workspace import bounded_batches, bucket_edges, buckets, hashed_words, mix64, only_cache, pack_sorted, shuffle_parts, stored, unpack_sorted, window_hashes
 
-CELLS = 1 << 18
-PARITY = 8
+CELLS, SLICES = 1 << 22, 64
+PARITY = 16
 FLAGS = 1 << 22
-_HASHES = WordHashes()
 
 
 def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
     """The shingle hashes of each text, in text order, repeats included."""
-    words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    _HASHES.trim()
-    h = _HASHES.of([w for ws in words for w in ws])
-    size = np.fromiter(map(len, words), np.int64, len(words))
+    h, size = hashed_words(texts, lower=True)
     start = np.cumsum(size) - size
     full = window_hashes(h, k)
     return [full[s : s + n - k + 1] if n >= k else window_hashes(h[s : s + n], n) if n else full[:0] for s, n in zip(start.tolist(), size.tolist())]
@@ -53,8 +53,6 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def node_of(s: np.ndarray) -> int:
-    from xxhash import xxh3_64_intdigest
-
     v = xxh3_64_intdigest(s.tobytes())
     return v - (1 << 64) if v >> 63 else v
 
@@ -64,31 +62,46 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _sketch(batches, k: int, parts: int):
+    only_cache(None)
     cells = np.zeros(CELLS, np.uint32)
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in slices(texts):
             h = np.concatenate(shingles(texts[a:b], k))
-            cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-    yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "cells": pa.array([c.tobytes() for c in np.split(cells, parts)], pa.binary())})
+            at, n = np.unique(h & np.uint64(CELLS - 1), return_counts=True)
+            cells[at] += n.astype(np.uint32)
+    yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "cells": pa.array([_deflated(c) for c in np.split(cells, parts)], pa.binary())})
+
+
+def _deflated(cells: np.ndarray) -> bytes:
+    """Counts byte by byte, deflated: most are small."""
+    return zlib.compress(cells.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _inflated(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _add_cells(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(raw, np.uint32).astype(np.uint64) for raw in table.column("cells").to_pylist())
-    return pa.table({"part": table.column("part").slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros(CELLS // SLICES, np.uint64)
+    for raw in table.column("cells").to_pylist():
+        total += _inflated(raw)
+    total = np.minimum(total, np.uint64(2**32 - 1))
+    return pa.table({"part": table.column("part").slice(0, 1), "cells": pa.array([_deflated(total)], pa.binary())})
 
 
-def shingle_counts(text: DataFrame, k: int, parts: int = 16) -> np.ndarray:
+def shingle_counts(text: DataFrame, k: int, parts: int = SLICES) -> np.ndarray:
     """How many shingles fall in each of CELLS cells, over all documents: an array of fixed size."""
     rows = text.select("text").mapInArrow(lambda it: _sketch(it, k, parts), "part int, cells binary").groupBy("part").applyInArrow(_add_cells, "part int, cells binary").collect()
-    out = np.zeros(CELLS, np.uint64)
+    out = np.zeros(CELLS, np.uint32)
     for r in rows:
-        c = np.frombuffer(r.cells, np.uint64)
+        c = _inflated(r.cells)
         out[r.part * len(c) : (r.part + 1) * len(c)] = c
     return out
 
 
 def _features(batches, k: int, num: int, den: int, counts):
+    only_cache(None)
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in slices(texts):
@@ -101,7 +114,7 @@ def _features(batches, k: int, num: int, den: int, counts):
                     continue
                 cells = counts.value[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                 first = s[np.lexsort((s, cells))[: prefix_length(len(s), num, den)]]
-                bits = np.bincount((mix64(s) >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY) & 1
+                bits = np.bincount((mix64(s) >> np.uint64(54)).astype(np.int64), minlength=64 * PARITY) & 1
                 node.append(node_of(s))
                 group.append(node_of(np.r_[first, np.uint64(len(s))]))
                 prefix.append(signed(first))
@@ -128,6 +141,44 @@ def _sets(batches, k: int, flags):
             yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "hashes": pa.array(packed, pa.binary())})
 
 
+def _entries(table: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, position) of each prefix shingle, under the size band of its set and under the next one.
+
+    Sets whose sizes can be near enough lie in one band or in neighbouring ones, so they share a key of each common
+    shingle; sets of other sizes share none.
+    """
+    flat = table.column("prefix").combine_chunks()
+    values = np.asarray(flat.flatten(), np.int64).view(np.uint64)
+    length = np.diff(np.asarray(flat.offsets, np.int64))
+    row = np.repeat(np.arange(len(length)), length)
+    at = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
+    band = np.floor(np.log(np.asarray(table.column("n"), np.float64)) / (np.log(den / num) * 1.0001)).astype(np.uint64)[row]
+    key = np.r_[mix64(values + mix64(band + np.uint64(1))), mix64(values + mix64(band + np.uint64(2)))]
+    return key, np.r_[row, row], np.r_[at, at]
+
+
+def _ask_prefixes(table: pa.Table, ranges: int, num: int, den: int) -> pa.Table:
+    """The block's distinct keys, and a bit for those of two of its nodes."""
+    key, row, _ = _entries(table, num, den)
+    weight = np.asarray(table.column("m"), np.int64)[row]
+    key, at = np.unique(key, return_inverse=True)
+    several = np.bincount(at, weights=weight) > 1
+    edge = bucket_edges(key, ranges)
+    used = [k for k in range(ranges) if edge[k] < edge[k + 1]]
+    return _rows([table.column("block")[0].as_py()] * len(used), used, {"hashes": [pack_sorted(key[edge[k] : edge[k + 1]]) for k in used], "extra": [np.packbits(several[edge[k] : edge[k + 1]]).tobytes() for k in used]})
+
+
+def _shared_prefixes(table: pa.Table, known: pa.Table, num: int, den: int) -> pa.Table:
+    """The block's entries under shared keys."""
+    if table.num_rows and known.num_rows:
+        key, row, at = _entries(table, num, den)
+        hit = _among(key, _joined(known)) >= 0
+        key, row, at = signed(key[hit]), row[hit], at[hit]
+    else:
+        key, row, at = (np.zeros(0, np.int64) for _ in range(3))
+    return pa.table({"tok": key, **{c: np.asarray(table.column(c), np.int64)[row] if len(row) else np.zeros(0, np.int64) for c in ("grp", "n", "m")}, "pos": at.astype(np.int32)})
+
+
 def _verified(batches, num: int, den: int):
     """The pairs whose sets are similar enough."""
     last, known = None, None
@@ -166,12 +217,19 @@ class Join:
         self.members = self.features.where("node is not null").select("node", "grp", "n").distinct()
 
     def shared(self) -> DataFrame:
-        """tok, grp, n, pos and the pivot's p_grp, p_n, p_pos for prefix shingles that two nodes hold."""
+        """tok, grp, n, pos and the pivot's p_grp, p_n, p_pos for prefix shingles that two nodes of near size hold.
+
+        The pivot is the group with the fewest rarer shingles before it: the one that others were most likely made from.
+        """
         group = self.features.where("node is not null").select("grp", "n", "prefix").dropDuplicates(["grp"])
         weight = self.members.groupBy("grp").agg(F.count("*").alias("m"))
-        tokens = group.join(weight, "grp").select("grp", "n", "m", F.posexplode("prefix").alias("pos", "tok"))
-        pivot = tokens.groupBy("tok").agg(F.sum("m").alias("held"), F.min(F.struct("grp", "n", "pos")).alias("p")).where("held > 1")
-        return stored(tokens.join(pivot.select("tok", F.col("p.grp").alias("p_grp"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")), "tok").select("tok", "grp", "n", "pos", "m", "p_grp", "p_n", "p_pos"), "tokens")
+        parts, ranges, num, den = shuffle_parts(self.spark), buckets(self.spark), self.num, self.den
+        base = group.join(weight, "grp").select(F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("int").alias("block"), "grp", "n", "m", "prefix").repartition(parts, "block")
+        asked = base.groupBy("block").applyInArrow(lambda t: _ask_prefixes(t, ranges, num, den), "block int, bucket int, hashes binary, extra binary")
+        known = asked.groupBy("bucket").applyInArrow(_shared_anchors, "block int, bucket int, hashes binary")
+        tokens = base.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _shared_prefixes(a, b, num, den), "tok long, grp long, n long, m long, pos int").repartition(parts, "tok")
+        pivot = tokens.groupBy("tok").agg(F.min(F.struct("pos", "grp", "n")).alias("p"))
+        return stored(tokens.join(pivot.select("tok", F.col("p.grp").alias("p_grp"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")), "tok"), "shared")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The links among node pairs (u, v)."""
@@ -187,7 +245,7 @@ class Join:
         got = word.toPandas()
         flags[got["word"].to_numpy()] = got["bits"].to_numpy(np.int64).view(np.uint64)
         shared = spark.sparkContext.broadcast(flags.tolist())
-        sets = stored(self.text.select("text").mapInArrow(lambda it: _sets(it, k, shared), "node long, hashes binary").dropDuplicates(["node"]), "hashes")
+        sets = self.text.select("text").mapInArrow(lambda it: _sets(it, k, shared), "node long, hashes binary").dropDuplicates(["node"])  # shuffled once for both joins
         with_v = close.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("hashes_v")), "v")
         both = with_v.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("hashes_u")), "u").select("u", "v", "hashes_u", "hashes_v")
         return stored(both.mapInArrow(lambda it: _verified(it, num, den), "u long, v long"), "links")
