@@ -21,8 +21,8 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("lexipulse").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
-def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: int, window: int, wanted: list[str] | None) -> analysis.Result:
-    """Runs the analysis that the raw files of a folder call for."""
+def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: int, window: int, wanted: list[str] | None, keep: str | None = None) -> analysis.Result:
+    """Runs the analysis that the raw files of a folder call for; n-gram counts are kept in ``keep`` between runs."""
     found = jsonl.discover(folder, wanted)
     if not found:
         raise SystemExit(f"no raw documents in {folder}")
@@ -30,13 +30,15 @@ def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: i
         metas = [json.loads(p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("s2_meta*.json"))]
         years, cut = jsonl.pool_meta(spark, metas)
         sample = jsonl.read_tolerant(spark, [str(Path(folder, "s2_sample.jsonl"))])
-        return analysis.two_pool(sample, jsonl.read_tolerant(spark, [str(p) for p in found["s2"]]), taxonomy, years, cut, as_of_year, recent_window=window)
+        kept = (keep, jsonl.fingerprint([Path(folder, "s2_sample.jsonl"), Path(folder, "s2_meta.json")])) if keep else None
+        return analysis.two_pool(sample, jsonl.read_tolerant(spark, [str(p) for p in found["s2"]]), taxonomy, years, cut, as_of_year, recent_window=window, kept=kept)
     docs = meta = None
     for source, paths in found.items():
         one = jsonl.read_tolerant(spark, [str(p) for p in paths]).withColumn("source", F.lit(source))
         total = jsonl.year_totals(spark, source, jsonl.sidecar(paths[0]))
         docs, meta = (one, total) if docs is None else (docs.unionByName(one), meta.unionByName(total))
-    return analysis.plain(docs, taxonomy, as_of_year, window, meta)
+    kept = (keep, jsonl.fingerprint([p for paths in found.values() for p in paths])) if keep else None
+    return analysis.plain(docs, taxonomy, as_of_year, window, meta, kept=kept)
 
 
 def tested(spark: SparkSession, taxonomy: Taxonomy, text: str) -> dict[str, dict[str, int]]:
@@ -58,13 +60,14 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument("--recent-window", type=int, default=3)
         c.add_argument("--as-of-year", type=int, default=datetime.date.today().year)
         c.add_argument("--main-source", default="all")
+        c.add_argument("--keep", help="folder for n-gram counts kept between runs")
     sub.add_parser("test-keywords").add_argument("text")
     a = p.parse_args(argv)
     spark, taxonomy = session(), load(a.taxonomy)
     if a.command == "test-keywords":
         print(tested(spark, taxonomy, a.text))
         return
-    result = analysed(spark, a.raw, taxonomy, a.as_of_year, a.recent_window, a.sources)
+    result = analysed(spark, a.raw, taxonomy, a.as_of_year, a.recent_window, a.sources, a.keep)
     if a.command == "analyze":
         result.write(a.out)
     else:

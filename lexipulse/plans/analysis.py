@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass
 from pathlib import Path
@@ -17,6 +18,7 @@ from ..functions.textnorm import normalise
 from ..operators import emerging as em
 from ..operators import match, measures
 from ..schema import citations, full_text, has_abstract
+from ..sources import jsonl
 from ..taxonomy import Taxonomy
 
 
@@ -73,13 +75,21 @@ def _matched(docs: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return match.with_hits(match.with_matches(docs, taxonomy), taxonomy).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _emerging(docs: DataFrame, counts: DataFrame, taxonomy: Taxonomy, as_of_year: int, width: int, min_df: int) -> DataFrame:
+#: Where a run may keep n-gram counts between runs, and the key of its raw files: (folder, key).
+Kept = tuple[str, str] | None
+
+
+def _emerging(docs: DataFrame, counts: DataFrame, taxonomy: Taxonomy, as_of_year: int, width: int, min_df: int, kept: Kept = None) -> DataFrame:
     df = em.ngram_df(docs.where("in_domain"), min_df)
+    if kept:  # the domain gate feeds the counts, so its terms are part of the key
+        key = hashlib.sha256(repr((kept[1], taxonomy.domain_terms, min_df)).encode()).hexdigest()[:20]
+        made = df
+        df = jsonl.reused(docs.sparkSession, kept[0], "ngrams", key, lambda: made)
     scores = em.burst_scores(df, counts.select("source", "year", F.col("in_domain_analysed").alias("n")), as_of_year, width)
     return em.with_coverage(em.without_contained(scores), taxonomy)
 
 
-def plain(docs: DataFrame, taxonomy: Taxonomy, as_of_year: int, recent_window: int = 3, meta: DataFrame | None = None, min_df: int = 5) -> Result:
+def plain(docs: DataFrame, taxonomy: Taxonomy, as_of_year: int, recent_window: int = 3, meta: DataFrame | None = None, min_df: int = 5, kept: Kept = None) -> Result:
     """Every document of each source-year is there; with more than one source, ``all`` sums them up."""
     m = _matched(measures.first_wins(prepared(docs), *order_of(docs), by=("source", "year", "id")), taxonomy)
     counts = measures.year_counts(m)
@@ -87,13 +97,13 @@ def plain(docs: DataFrame, taxonomy: Taxonomy, as_of_year: int, recent_window: i
     cy = measures.concept_year(measures.concept_counts(m), total, taxonomy)
     examples, synonyms = measures.examples(m, as_of_year), measures.synonym_year(m)
     pairs = measures.cooccurrence(m, cy, total)
-    terms = _emerging(m, counts, taxonomy, as_of_year, recent_window, min_df)
+    terms = _emerging(m, counts, taxonomy, as_of_year, recent_window, min_df, kept)
     if total.select("source").distinct().limit(2).count() > 1:
         cy, total = measures.with_all_sources(cy, total)
     return Result(m, total, cy, synonyms, measures.growth(cy, as_of_year, recent_window), pairs, examples, terms, False, as_of_year, recent_window)
 
 
-def two_pool(sample: DataFrame, pool: DataFrame, taxonomy: Taxonomy, year_meta: DataFrame, cut: DataFrame, as_of_year: int, tags: tuple[str, ...] = ("all", "ieee", "arxiv"), ngram_tags: tuple[str, ...] = ("all", "ieee"), recent_window: int = 3, min_df: int = 5, pairs: str = "all") -> Result:
+def two_pool(sample: DataFrame, pool: DataFrame, taxonomy: Taxonomy, year_meta: DataFrame, cut: DataFrame, as_of_year: int, tags: tuple[str, ...] = ("all", "ieee", "arxiv"), ngram_tags: tuple[str, ...] = ("all", "ieee"), recent_window: int = 3, min_df: int = 5, pairs: str = "all", kept: Kept = None) -> Result:
     """A sample gives denominators, pools by concept give numerators, weighted where a query was cut short.
 
     A pool document counts for a concept only if that concept's query returned it; with ``pairs="all"`` pairs count all
@@ -109,5 +119,5 @@ def two_pool(sample: DataFrame, pool: DataFrame, taxonomy: Taxonomy, year_meta:
     cy = measures.concept_year(measures.concept_counts(m, cut, gate), total, taxonomy, weighted=True)
     both = measures.cooccurrence(m, cy, total, gate if pairs == "gated" else None)
     tagged = measures.by_tag(s.drop("source")).where(F.col("source").isin(*ngram_tags))
-    terms = _emerging(tagged, measures.year_counts(tagged), taxonomy, as_of_year, recent_window, min_df)
+    terms = _emerging(tagged, measures.year_counts(tagged), taxonomy, as_of_year, recent_window, min_df, kept)
     return Result(m, total, cy, measures.synonym_year(m, gate), measures.growth(cy, as_of_year, recent_window), both, measures.examples(m, as_of_year, gate=gate), terms, True, as_of_year, recent_window)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,20 @@ def stage(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("source", "year").parquet(path)
 
 
+def fingerprint(paths: list[str | Path], *parts: object) -> str:
+    """A key of raw files (name, size, time of change) and whatever else a derived table depends on."""
+    files = [(str(p), Path(p).stat().st_size, Path(p).stat().st_mtime_ns) for p in sorted(map(str, paths))]
+    return hashlib.sha256(json.dumps([files, [str(x) for x in parts]]).encode()).hexdigest()[:20]
+
+
+def reused(spark: SparkSession, folder: str | Path, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` of this key from ``folder``; made and written first if it is not there whole."""
+    path = Path(folder) / f"{name}-{key}.parquet"
+    if not (path / "_SUCCESS").exists():
+        make().write.mode("overwrite").parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 

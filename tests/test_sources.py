@@ -94,7 +94,12 @@ def test_run_report_tester_and_stream(spark, tmp_path):
     (raw / "arxiv_direct.jsonl").write_text("\n".join(line(str(i), 2015 + i % 6, "GaN SiC chip" if i % 2 else "SiC chip", cited_by=i) for i in range(60)))
     (tmp_path / "t.json").write_text(json.dumps(TAX))
     tax = load(tmp_path / "t.json")
-    r = cli.analysed(spark, str(raw), tax, 2021, 3, None)
+    r = cli.analysed(spark, str(raw), tax, 2021, 3, None, str(tmp_path / "kept"))
+    terms = sorted(map(tuple, r.emerging.collect()))
+    again = cli.analysed(spark, str(raw), tax, 2021, 3, None, str(tmp_path / "kept"))
+    assert sorted(map(tuple, again.emerging.collect())) == terms and len(list((tmp_path / "kept").iterdir())) == 1
+    cli.analysed(spark, str(raw), from_dict(TAX | {"domain_terms": ["chip", "other"]}), 2021, 3, None, str(tmp_path / "kept"))
+    assert len(list((tmp_path / "kept").iterdir())) == 2  # the gate is part of the key
     r.write(str(tmp_path / "out"))
     assert json.loads((tmp_path / "out" / "summary.json").read_text())["docs_analysed"] == 60
     assert jsonl.read_table(spark, str(tmp_path / "out" / "growth.csv"), "source string, category string, concept string").count() == 2
