@@ -33,7 +33,7 @@ from xxhash import xxh3_64_intdigest
 from .bpe import slices
 from .graph import components
 from .substring import _among, _joined, _rows, _shared_anchors
-from .workspace import bounded_batches, bucket_edges, buckets, hashed_words, mix64, only_cache, pack_sorted, shuffle_parts, stored, unpack_sorted, window_hashes
+from .workspace import bounded_batches, bucket_edges, buckets, hashed_words, mix64, only_cache, pack_sorted, reclaim, shuffle_parts, stored, unpack_sorted, window_hashes
 
 CELLS, SLICES = 1 << 22, 64
 PARITY = 16
@@ -101,7 +101,9 @@ def shingle_counts(text: DataFrame, k: int, parts: int = SLICES) -> np.ndarray:
 
 
 def _features(batches, k: int, num: int, den: int, counts):
+    """Node and group of each document; the prefix and the parity bits only where the task meets the node first."""
     only_cache(None)
+    seen: set[int] = set()
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in slices(texts):
@@ -112,13 +114,15 @@ def _features(batches, k: int, num: int, den: int, counts):
                 if not len(s):
                     node.append(None), group.append(None), prefix.append(None), parity.append(None)
                     continue
+                node.append(node_of(s))
                 cells = counts.value[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                 first = s[np.lexsort((s, cells))[: prefix_length(len(s), num, den)]]
                 bits = np.bincount((mix64(s) >> np.uint64(54)).astype(np.int64), minlength=64 * PARITY) & 1
-                node.append(node_of(s))
                 group.append(node_of(np.r_[first, np.uint64(len(s))]))
-                prefix.append(signed(first))
-                parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                again = node[-1] in seen
+                seen.add(node[-1])
+                prefix.append(None if again else signed(first))
+                parity.append(None if again else np.packbits(bits.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
                 ["doc_id", "n", "node", "grp", "prefix", "parity"],
@@ -141,6 +145,16 @@ def _sets(batches, k: int, flags):
             yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "hashes": pa.array(packed, pa.binary())})
 
 
+def _groups(table: pa.Table) -> pa.Table:
+    """One row a group, with the number m of its nodes: a node has a row for each task that met it."""
+    grp, node = (np.asarray(table.column(c), np.int64) for c in ("grp", "node"))
+    _, first = np.unique(grp, return_index=True)
+    pair = np.lexsort((node, grp))
+    new = np.r_[True, (grp[pair][1:] != grp[pair][:-1]) | (node[pair][1:] != node[pair][:-1])]
+    _, m = np.unique(grp[pair][new], return_counts=True)
+    return table.take(pa.array(first)).append_column("m", pa.array(m))
+
+
 def _entries(table: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, row, position) of each prefix shingle, under the size band of its set and under the next one.
 
@@ -159,6 +173,7 @@ def _entries(table: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarra
 
 def _ask_prefixes(table: pa.Table, ranges: int, num: int, den: int) -> pa.Table:
     """The block's distinct keys, and a bit for those of two of its nodes."""
+    table = _groups(table)
     key, row, _ = _entries(table, num, den)
     weight = np.asarray(table.column("m"), np.int64)[row]
     key, at = np.unique(key, return_inverse=True)
@@ -171,12 +186,13 @@ def _ask_prefixes(table: pa.Table, ranges: int, num: int, den: int) -> pa.Table:
 def _shared_prefixes(table: pa.Table, known: pa.Table, num: int, den: int) -> pa.Table:
     """The block's entries under shared keys."""
     if table.num_rows and known.num_rows:
+        table = _groups(table)
         key, row, at = _entries(table, num, den)
         hit = _among(key, _joined(known)) >= 0
         key, row, at = signed(key[hit]), row[hit], at[hit]
     else:
         key, row, at = (np.zeros(0, np.int64) for _ in range(3))
-    return pa.table({"tok": key, **{c: np.asarray(table.column(c), np.int64)[row] if len(row) else np.zeros(0, np.int64) for c in ("grp", "n", "m")}, "pos": at.astype(np.int32)})
+    return pa.table({"tok": key, **{c: np.asarray(table.column(c), np.int64)[row] if len(row) else row for c in ("grp", "n", "m")}, "pos": at.astype(np.int32)})
 
 
 def _verified(batches, num: int, den: int):
@@ -221,20 +237,19 @@ class Join:
 
         The pivot is the group with the fewest rarer shingles before it: the one that others were most likely made from.
         """
-        group = self.features.where("node is not null").select("grp", "n", "prefix").dropDuplicates(["grp"])
-        weight = self.members.groupBy("grp").agg(F.count("*").alias("m"))
         parts, ranges, num, den = shuffle_parts(self.spark), buckets(self.spark), self.num, self.den
-        base = group.join(weight, "grp").select(F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("int").alias("block"), "grp", "n", "m", "prefix").repartition(parts, "block")
+        base = self.features.where("prefix is not null").select(F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("int").alias("block"), "grp", "n", "node", "prefix").repartition(parts, "block")
         asked = base.groupBy("block").applyInArrow(lambda t: _ask_prefixes(t, ranges, num, den), "block int, bucket int, hashes binary, extra binary")
         known = asked.groupBy("bucket").applyInArrow(_shared_anchors, "block int, bucket int, hashes binary")
-        tokens = base.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _shared_prefixes(a, b, num, den), "tok long, grp long, n long, m long, pos int").repartition(parts, "tok")
+        tokens = base.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _shared_prefixes(a, b, num, den), "tok long, grp long, n long, m long, pos int")
+        # read twice rather than dealt by tok once: the pivots have partial aggregates, and Spark can split a hot key of the join
         pivot = tokens.groupBy("tok").agg(F.min(F.struct("pos", "grp", "n")).alias("p"))
         return stored(tokens.join(pivot.select("tok", F.col("p.grp").alias("p_grp"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")), "tok"), "shared")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The links among node pairs (u, v)."""
         spark, num, den, k = self.spark, self.num, self.den, self.k
-        parity = self.features.where("node is not null").select("node", "n", "parity").dropDuplicates(["node"])
+        parity = self.features.where("parity is not null").select("node", "n", "parity").dropDuplicates(["node"])
         side = lambda c: parity.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"b_{c}"))
         apart = sum((F.bit_count(F.col("b_u")[i].bitwiseXOR(F.col("b_v")[i])) for i in range(PARITY)), F.lit(0))
         close = pairs.distinct().join(side("u"), "u").join(side("v"), "v").where((num + den) * apart <= (den - num) * (F.col("n_u") + F.col("n_v")))
@@ -268,9 +283,12 @@ class Join:
 
     def labels(self) -> DataFrame:
         """node, label of every node with a link."""
+        reclaim(self.spark)
         shared = self.shared()
+        reclaim(self.spark)
         links = self.verify(self.star_pairs(shared))
         label = components(links)
+        reclaim(self.spark)
         more = self.verify(self.cross_pairs(shared, label))
         if more.isEmpty():
             return label
