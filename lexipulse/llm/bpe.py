@@ -146,7 +146,7 @@ class Bpe:
 class Encoder:
     """Encodes lists of texts; ids of distinct chunks are kept, ``most`` of them at most."""
 
-    def __init__(self, bpe: Bpe, most: int = 400_000):
+    def __init__(self, bpe: Bpe, most: int = 250_000):
         self.bpe, self.most = bpe, most
         self._empty()
 

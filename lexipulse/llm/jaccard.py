@@ -62,7 +62,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _sketch(batches, k: int, parts: int):
-    only_cache(None)
+    only_cache("powers")
     cells = np.zeros(CELLS, np.uint32)
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -102,7 +102,7 @@ def shingle_counts(text: DataFrame, k: int, parts: int = SLICES) -> np.ndarray:
 
 def _features(batches, k: int, num: int, den: int, counts):
     """Node and group of each document; the prefix and the parity bits only where the task meets the node first."""
-    only_cache(None)
+    only_cache("powers")
     seen: set[int] = set()
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -130,6 +130,7 @@ def _features(batches, k: int, num: int, den: int, counts):
 
 
 def _sets(batches, k: int, flags):
+    only_cache("powers")
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in slices(texts):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .workspace import bounded_batches, bucket_edges, buckets, first_of_runs, hashed_words, pack_sorted, shuffle_parts, text_blocks, unpack_sorted, window_hashes
+from .workspace import bounded_batches, bucket_edges, buckets, first_of_runs, hashed_words, only_cache, pack_sorted, shuffle_parts, text_blocks, unpack_sorted, window_hashes
 
 
 def pack_counts(n: np.ndarray) -> bytes:
@@ -40,6 +40,7 @@ class Words:
     """The word hashes of a block's documents, one after the other."""
 
     def __init__(self, docs: pa.Table):
+        only_cache("powers")
         texts = docs.column("text").to_pylist()
         parts = [hashed_words(texts[a:b], lower=True) for a, b in slices(texts)]
         self.hash = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -70,11 +71,22 @@ def open_shared(path: str):
 CACHES: dict[str, Callable[[], None]] = {}
 
 
+_HOLDER: list[str | None] = [None]
+
+
 def only_cache(name: str | None) -> None:
-    """Empties what other operators keep in this worker process, so that one worker never holds two operators' caches."""
+    """Empties what other operators keep in this worker process and gives the memory back, when the operator changes."""
+    if _HOLDER[0] == name:
+        return
+    _HOLDER[0] = name
     for other, empty in CACHES.items():
         if other != name:
             empty()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
 
 
 # --- word hashes -------------------------------------------------------------------------------
@@ -113,6 +125,7 @@ _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * _M1)
 _BASE = int(_M3) | 5
 _BLANK = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
 _POWERS: dict[int, np.ndarray] = {}
+CACHES["powers"] = _POWERS.clear
 
 
 def _powers(base: int, n: int) -> np.ndarray:
