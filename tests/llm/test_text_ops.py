@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -172,6 +173,21 @@ def test_noise_lies_outside_the_band(spark):
     assert not rows[200].base_failed and not rows[200].kept and sum(r.kept for r in rows.values()) == 200
 
 
+@pytest.mark.parametrize("letters", ["abcdefgh"])
+def test_junk_of_known_words_lies_outside_the_word_band(spark, letters):
+    rng = random.Random(6)
+    common, rare = (["".join(rng.choice(letters) for _ in range(k)) for _ in range(n)] for k, n in ((3, 20), (6, 3000)))
+    prose = [[rng.choice(rng.choice([common, rare])) for _ in range(120)] for _ in range(300)]
+    texts = [" ".join(w) for w in prose] + [" ".join(x + rng.choice(["$$$", "%%%", "&&&"]) for x in prose[0]), " | ".join(rng.sample(rare, 80))]
+    rows = {r.doc_id: r for r in quality.quality(frame(spark, texts)).collect()}  # at production parameters
+    assert not any(r.base_failed for r in rows.values()) and [i for i, r in rows.items() if not r.kept] == [300, 301]
+    want = collections.Counter(w for t in texts for w in t.split())
+    for i in (0, 300, 301):
+        own = collections.Counter(texts[i].split())
+        loss = -sum(n * math.log(max(want[w] - n, 0.4) / (sum(want.values()) - sum(own.values()))) for w, n in own.items())
+        assert math.isclose(rows[i].word_log_perplexity, loss / sum(any(c.isalpha() for c in w) for w in texts[i].split()), abs_tol=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["the cat sat on the mat. the dog!", "été 12 #x"] * 3
     code, _ = quality.codes(texts, 3)
