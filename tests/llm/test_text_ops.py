@@ -173,7 +173,7 @@ def test_noise_lies_outside_the_band(spark):
     assert not rows[200].base_failed and not rows[200].kept and sum(r.kept for r in rows.values()) == 200
 
 
-@pytest.mark.parametrize("letters", ["abcdefgh"])
+@pytest.mark.parametrize("letters", ["abcdefgh", "абвгдежз"])
 def test_junk_of_known_words_lies_outside_the_word_band(spark, letters):
     rng = random.Random(6)
     common, rare = (["".join(rng.choice(letters) for _ in range(k)) for _ in range(n)] for k, n in ((3, 20), (6, 3000)))
