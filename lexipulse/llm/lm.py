@@ -82,14 +82,16 @@ class Resolved:
         found = elsewhere > 0
         self.known = found & np.r_[False, found[:-1]]
 
-    def scores(self, alpha: float, tokens: int) -> np.ndarray:
-        """Log score of every word."""
+    def scores(self, alpha: float, tokens: int, order: int) -> np.ndarray:
+        """Log score of every word; orders without an answer are those of which nothing was asked: seen nowhere else."""
         b = self.b
+        never = np.zeros(len(b.doc), np.int64)
+        elsewhere = [*self.elsewhere, *[never] * (order - len(self.elsewhere))]
         rest = np.maximum(tokens - b.size[b.doc], 1)
-        one = self.elsewhere[0]
+        one = elsewhere[0]
         out = np.where(one > 0, np.log(np.maximum(one, 1) / rest), np.log(alpha / rest))
-        for k in range(2, self.order + 1):
-            seen, context = self.elsewhere[k - 1], np.r_[1, self.elsewhere[k - 2][:-1]]
+        for k in range(2, order + 1):
+            seen, context = elsewhere[k - 1], np.r_[1, elsewhere[k - 2][:-1]]
             step = np.where(b.at >= k - 1, np.log(alpha) + out, out)
             out = np.where(seen > 0, np.log(np.maximum(seen, 1) / np.maximum(context, 1)), step)
         return out
@@ -147,12 +149,12 @@ def _count(table: pa.Table) -> pa.Table:
     return table.select(["order", "block", "bucket"]).append_column("counts", pa.array([pack_counts(total[np.searchsorted(key, a)]) for a in asked], pa.binary()))
 
 
-def _scored(docs: pa.Table, answers: pa.Table, n: int, alpha: float, tokens: int) -> pa.Table:
+def _scored(docs: pa.Table, answers: pa.Table, n: int, alpha: float, tokens: int, order: int) -> pa.Table:
     if not docs.num_rows:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64()), "mean_log_score": pa.array([], pa.float64())})
     r = _resolve(docs, answers, n)
     size = r.b.size
-    total = np.bincount(r.b.doc, weights=r.scores(alpha, tokens), minlength=len(size)) if r.order else np.zeros(len(size))
+    total = np.bincount(r.b.doc, weights=r.scores(alpha, tokens, order), minlength=len(size)) if r.order else np.zeros(len(size))
     return pa.table({"doc_id": docs.column("doc_id"), "n_words": size, "log_score": total, "mean_log_score": pa.array(total / np.maximum(size, 1), mask=size == 0)})
 
 
@@ -171,4 +173,4 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
         # dealt by block here, so that later orders read this exchange again instead of counting anew
         got = asked.groupBy("bucket").applyInArrow(_count, ANSWER).repartition(shuffle_parts(spark), "block")
         answers = got if answers is None else answers.union(got)
-    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, n, alpha, tokens), "doc_id long, n_words long, log_score double, mean_log_score double")
+    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, n, alpha, tokens, order), "doc_id long, n_words long, log_score double, mean_log_score double")

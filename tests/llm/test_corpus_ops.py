@@ -129,6 +129,21 @@ def test_lm_scores(spark):
     assert lm.backoff_scores(frame(spark, [])).count() == 0 and lm.backoff_scores(frame(spark, [None, ""])).count() == 2
 
 
+def test_lm_scores_of_lone_blocks(spark):
+    texts = ["a b c d", "d x b y a z", "q r s", "a b c e"]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for n in ("1", "64"):  # all in one block; about one document a block
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({r.doc_id: r.log_score for r in lm.backoff_scores(frame(spark, texts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got[0] == pytest.approx(got[1], abs=1e-9)
+    # no pair of the third text occurs elsewhere: each word backs off from as many orders as it has words before it
+    assert got[1][2] == pytest.approx(3 * math.log(0.4 / 14) + 3 * math.log(0.4))
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     size = {"big": 300, "mid": 60, "small": 20, None: 10}
