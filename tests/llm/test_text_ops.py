@@ -145,6 +145,14 @@ def test_pii_added_and_redacted(spark):
     assert pii.redacted(frame(spark, [])).columns == frame(spark, []).columns
 
 
+def test_iban_before_upper_case_words_digits_and_another(spark):
+    one, other = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    texts = [f"IBAN {one} BIC NWBKGB2L", f"{one.replace(' ', '')} 2024-05-01", f"{one} {other} {one}", f"{other} XY12 {one}", "GB82 WEST 1234 5698 7654 33 BIC", "XX90 0000 0000 0000 000"]
+    rows = {r.doc_id: r.spans for r in pii.pii_report(frame(spark, texts)).collect()}
+    assert [rows[i] for i in range(6)] == ["iban:5:32", "iban:0:22", "iban:0:27,iban:28:50,iban:51:78", "iban:0:22,iban:28:55", "", "iban:0:23"]
+    assert {r.doc_id: r.text for r in pii.redacted(frame(spark, texts)).collect()}[2] == "[IBAN] [IBAN] [IBAN]"
+
+
 def test_quality_rules(spark):
     rng = random.Random(1)
     words = ["alpha", "beta", "gamma", "delta", "été", "x#", "$$", "|"]
