@@ -7,8 +7,8 @@ exponents in one aggregation over the sources and keeps the section where they c
 
 The budget is the smallest at which every document is used: the source with the least weight per token is read once.
 A source is read in whole epochs and a last part. Documents are dealt by hash to ``blocks`` blocks of their source; each
-epoch has its own permutation of the blocks, and the last part takes whole blocks in that order while they fit the
-source's remaining budget. So a hot source is many blocks, and per source at most ``blocks`` rows are ever ordered.
+epoch has its own permutation of the blocks, and the last part goes through whole blocks in that order and takes each
+that still fits the source's remaining budget. So a hot source is many blocks, and per source at most ``blocks`` rows are ever ordered.
 
 Tokens are words without ASCII white space. A null source counts as the source named by the empty string. Sources
 without tokens are read once. Null doc_ids lie in one block. Repeated rows are documents of their own. An empty table
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import bounded_batches, stored
@@ -79,9 +79,17 @@ def planned(docs: DataFrame, repeats: float, entropy: float | None, blocks: int,
     ratio = F.when(F.col("tokens") > 0, F.pow(F.lit(float(high)) / F.col("tokens"), 1 - t)).otherwise(1.0)
     target = sources.select("mix_source", F.floor(ratio + 1e-9).cast("int").alias("whole"), ((ratio - F.floor(ratio + 1e-9)) * F.col("tokens")).alias("rest"))
     # at most ``blocks`` rows a source
-    order = Window.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(seed), "mix_source", "whole", "mix_block"), "mix_block").rowsBetween(Window.unboundedPreceding, 0)
-    plan = per_block.join(target, "mix_source").withColumn("upto", F.sum("tokens").over(order))
-    return dealt, stored(plan.select("mix_source", "mix_block", (F.col("whole") + (F.col("upto") <= F.col("rest")).cast("int")).alias("mix_copies")), "plan")
+    place = F.xxhash64(F.lit(seed), "mix_source", "whole", "mix_block")
+    plan = per_block.join(target, "mix_source").groupBy("mix_source", "whole", "rest").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "mix_block", "tokens"))).alias("blocks"))
+
+    def take(acc: Column, x: Column) -> Column:
+        fits = acc["used"] + x["tokens"] <= F.col("rest")
+        row = F.struct(x["mix_block"].alias("mix_block"), (F.col("whole") + fits.cast("int")).alias("mix_copies"))
+        return F.struct((acc["used"] + F.when(fits, x["tokens"]).otherwise(F.lit(0))).cast("long").alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<mix_block:int,mix_copies:int>>").alias("out"))
+    plan = plan.select("mix_source", F.explode(F.aggregate("blocks", none, take, lambda acc: acc["out"])).alias("x"))
+    return dealt, stored(plan.select("mix_source", "x.mix_block", "x.mix_copies"), "plan")
 
 
 def mixed(docs: DataFrame, repeats: float = 2.0, entropy: float | None = None, blocks: int = 256, seed: int = 11) -> DataFrame:

@@ -177,6 +177,17 @@ def test_mixing(spark):
     assert abs(h(t) - 0.9) < 1e-3 and mixing.exponent(sources, 10.0, None) == pytest.approx(0.5, abs=1e-4)
 
 
+def test_mixing_goes_past_a_block_that_does_not_fit(spark):
+    rows = [("big", "w " * 30000)] + [("small", "w " * 20) for _ in range(300)] + [("small", "w " * 10000)]
+    for first, null in ((0, False), (1, False), (2, False), (3, False), (0, True)):  # null doc_ids lie in one block
+        docs = spark.createDataFrame([(None if null and len(t) > 10000 or null and i % 2 else i, t, "en", s, 0, "", "") for i, (s, t) in enumerate(rows)], DOC)
+        got = mixing.mix_report(docs, repeats=1.5, seed=first).where("source = 'small'").groupBy().sum("tokens").first()[0]
+        # 16000 tokens, wanted 1.5 times; all blocks but the long document's and, with nulls, its companions' fit
+        fit = sum(len(t.split()) for i, (s, t) in enumerate(rows) if s == "small" and len(t) < 1000 and not (null and i % 2))
+        assert 16000 + 0.95 * fit <= got <= 1.5 * 16000 + 1
+    assert rows
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(900, 16)).astype(np.float32)
