@@ -22,8 +22,8 @@ def shown(v: object) -> str:
     return f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) and abs(v) > 9999 else str(v)
 
 
-def grid(df: DataFrame, most: int = 500, mark: str | None = None) -> str:
-    rows = df.limit(most).collect()
+def grid(df: DataFrame, mark: str | None = None) -> str:
+    rows = df.collect()
     columns = [c for c in df.columns if c != mark]
     number = {c for c, t in df.dtypes if t in ("int", "bigint", "double", "float")}
     cell = lambda c, v: f"<td{' class=n' if c in number else ''}>{html.escape(shown(v))}</td>"

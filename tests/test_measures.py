@@ -97,3 +97,9 @@ def test_bursts_and_greedy(spark):
     assert ("net", 100) not in kept and ("net", 101) in kept and ("deep net two", 70) in kept  # 0.70 and 0.69; longer, lower ones stay
     assert [r.term for r in emerging.without_contained(scores, top=2).collect()] == ["deep net", "net"]
     assert emerging.burst_scores(df, n.where("year > 2019"), 2022).count() == 0  # no prior window
+
+
+def test_report_tables_are_whole(spark):
+    from lexipulse.plans import report
+
+    assert report.grid(spark.range(700)).count("<tr>") == 701
