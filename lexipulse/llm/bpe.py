@@ -1,8 +1,7 @@
 """BPE encoding and decoding in batched numpy merge rounds.
 
-A text is cut at white space into chunks, and a bounded cache maps every distinct chunk to its ids. New chunks
-are normalised and cut into words as the vocabulary file says; the words' symbols then lie in one flat array. A
-round looks all neighbouring pairs up by binary search over the sorted pair keys, takes each word's pair of lowest
+A text is cut at white space into chunks, whose words a bounded cache maps to their ids. New chunks are normalised and
+cut into words as the vocabulary file says; the words' symbols then lie in one flat array. A round looks all neighbouring pairs up by binary search over the sorted pair keys, takes each word's pair of lowest
 rank, merges all its places at once and drops the words without a pair. Ids and decoded texts equal those of the
 ``tokenizers`` library (checked against it, document by document, in the tests).
 
@@ -19,14 +18,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .workspace import CACHES, bounded_batches, only_cache
 
 NO_RANK = np.int64(1) << 60
-#: Python's str.split() also splits at these; the vocabulary's pattern takes them for symbols.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_PLAIN_CHUNK = re.compile("[^\t-\r ]+")
+#: A chunk of Latin letters and ASCII signs behind them. Dotted capital I has a lower case of two characters; quotes and
+#: the signs of special tokens mean more to the vocabulary; so chunks with these are not cut.
+LATIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<rest>[!#$%&()*+,./:;=?@^_{}~-]*)$"
 #: The words of an ASCII chunk in lower case, by the vocabulary's pattern.
 _ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: The split pattern that _ASCII_WORDS restates.
@@ -77,9 +77,10 @@ class Bpe:
         self.special = added
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.marks = tuple(sorted({t[:2] for t in added}))
-        self.token = [b""] * self.size
+        token = [b""] * self.size
         for t, i in [*vocab.items(), *added.items()]:
-            self.token[i] = t.encode()
+            token[i] = t.encode()
+        self.tokens = pa.array(token, pa.binary())
 
     def words(self, text: str) -> list[bytes]:
         """The words of a text without special tokens, as bytes."""
@@ -138,28 +139,37 @@ class Bpe:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.bincount(owner, minlength=len(words))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Tokens joined by one space: what a file without a decoder gives."""
-        return b" ".join(map(self.token.__getitem__, ids.tolist()))
+
+class Numbered(dict):
+    """string -> its number in the order of first look-ups."""
+
+    def __missing__(self, word: str) -> int:
+        v = self[word] = len(self)
+        return v
 
 
 class Encoder:
-    """Encodes lists of texts; ids of distinct chunks are kept, ``most`` of them at most."""
+    """Encodes arrays of texts; ids of distinct words are kept, ``most`` of them at most.
+
+    Arrow cuts the texts at ASCII white space and numbers the distinct chunks, so that Python sees each chunk of a slice
+    once. A Latin word with ASCII signs behind it is two words by the vocabulary's pattern, and is looked up as such in
+    lower case; any other chunk is looked up whole.
+    """
 
-    def __init__(self, bpe: Bpe, most: int = 250_000):
+    def __init__(self, bpe: Bpe, most: int = 400_000):
         self.bpe, self.most = bpe, most
         self._empty()
 
     def _empty(self) -> None:
-        class Numbered(dict):
-            def __missing__(self, chunk: str) -> int:
-                v = self[chunk] = len(self)
-                return v
+        self.number = Numbered()
+        self.pool, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        self.number, self.pool, self.start, self.count = Numbered(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of texts that are one word of the vocabulary's pattern each. All are merged together."""
+        return self.bpe.merge([w.encode() for w in words])
 
-    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks, number of ids of each). New words are merged together."""
+    def other(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of any chunks."""
         parts = [self.bpe.parts(c) for c in chunks]
         number: dict[bytes, int] = {}
         slots = [[number.setdefault(p, len(number)) if isinstance(p, bytes) else -1 - p for p in ps] for ps in parts]
@@ -174,25 +184,45 @@ class Encoder:
         owner = np.repeat(np.arange(len(chunks)), [len(ps) for ps in slots])
         return out, np.bincount(owner, weights=size, minlength=len(chunks)).astype(np.int64)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, one after the other; number of ids of each text)."""
-        if len(self.number) > self.most:
-            self._empty()
-        known, find, of, each = len(self.number), self.number.__getitem__, [], []
-        for t in texts:
-            chunks = (_PLAIN_CHUNK.findall(t) if _SEPARATORS.search(t) else t.split()) if t else []
-            of.extend(map(find, chunks))
-            each.append(len(chunks))
-        if len(self.number) > known:
-            fresh = list(self.number)[known:]
-            ids, n = self.encode_chunks(fresh)
+    def _numbers(self, found: pa.Array, make) -> np.ndarray:
+        """The number of each distinct string of an array; new ones are encoded by ``make``."""
+        words, known = found.to_numpy(zero_copy_only=False), len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = np.flatnonzero(out >= known)
+        if len(new):
+            ids, n = make([words[i] for i in new])
             self.start = np.r_[self.start, len(self.pool) + np.cumsum(n) - n]
             self.count = np.r_[self.count, n]
             self.pool = np.r_[self.pool, ids.astype(np.uint32)]
-        chunk = np.array(of, np.int64)
-        size = self.count[chunk]
-        edge = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(each)].astype(np.int64)]
-        return gather(self.pool, self.start[chunk], size), np.diff(edge)
+        return out
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; number of ids of each text)."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if len(self.number) > self.most:
+            self._empty()
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        each = np.diff(np.asarray(cut.offsets, np.int64))
+        chunk = cut.flatten().dictionary_encode()
+        which, chunks = np.asarray(chunk.indices, np.int64), chunk.dictionary
+        parts = pc.extract_regex(chunks, LATIN)
+        plain = np.asarray(pc.is_valid(parts))
+        parts = parts.filter(pa.array(plain))
+        # up to two entries a chunk: a word and what follows it, or the chunk itself
+        slot = np.zeros((len(chunks), 2), np.int64)
+        used = np.ones((len(chunks), 2), bool)
+        for k, piece in enumerate((pc.utf8_lower(parts.field("word")), parts.field("rest"))):
+            piece = piece.dictionary_encode()
+            slot[plain, k] = self._numbers(piece.dictionary, self.plain)[np.asarray(piece.indices, np.int64)]
+        slot[~plain, 0] = self._numbers(chunks.filter(pa.array(~plain)), self.other)
+        used[~plain, 1] = False
+        size = np.where(used, self.count[slot], 0) if len(chunks) else np.zeros((0, 2), np.int64)
+        pool = gather(self.pool, self.start[slot].ravel() if len(chunks) else np.zeros(0, np.int64), size.ravel())
+        size = size.sum(1)
+        start = np.cumsum(size) - size
+        n = size[which]
+        edge = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(each)]]
+        return gather(pool, start[which], n), np.diff(edge)
 
 
 def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -222,22 +252,35 @@ def slices(texts: list, most: int = 1 << 20):
         yield at, len(texts)
 
 
+def text_slices(texts: pa.Array, most: int = 4 << 20):
+    """Ranges of consecutive texts of about ``most`` bytes, one text at least."""
+    total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
 def encode_column(batches, path: str, digest: bool):
     only_cache("bpe")
     enc = encoder(path)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices(texts):
-            ids, n = enc.encode(texts[a:b])
-            ids = ids.astype("<u4")
-            rows = np.split(ids, np.cumsum(n)[:-1])
+        texts = batch.column("text")
+        for a, b in text_slices(texts):
+            ids, n = enc.encode(texts.slice(a, b - a))
+            edge = np.r_[0, np.cumsum(n)]
+            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), enc.bpe.tokens.take(pa.array(ids)))
+            decoded = pc.binary_join(lists, b" ")  # tokens joined by one space: what a file without a decoder gives
             out = {"doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": pa.array(n, pa.int64())}
             if digest:
-                out["ids_sha256"] = pa.array([hashlib.sha256(r.tobytes()).hexdigest() for r in rows], pa.string())
-                out["decoded_sha256"] = pa.array([hashlib.sha256(enc.bpe.decode(r)).hexdigest() for r in rows], pa.string())
+                raw, text = memoryview(ids.astype("<u4").tobytes()), memoryview(decoded.buffers()[2] or b"")
+                at = np.frombuffer(decoded.buffers()[1], np.int32, len(decoded) + 1) if len(decoded) else [0]
+                out["ids_sha256"] = pa.array([hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(edge[:-1], edge[1:])], pa.string())
+                out["decoded_sha256"] = pa.array([hashlib.sha256(text[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:])], pa.string())
             else:
-                out["ids"] = pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))
-                out["decoded"] = pa.array([enc.bpe.decode(r).decode() for r in rows], pa.string())
+                out["ids"] = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids.astype(np.int32)))
+                out["decoded"] = decoded.cast(pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
 

@@ -10,15 +10,14 @@ written as shards of at most ``shard_tokens`` tokens plus one document. File nam
 shard counts only if its name reaches the manifest, so lost or repeated tasks leave no wrong shard. The driver gets
 one row per shard.
 
-Null texts count as empty: their only token is the end id. Documents with null doc_id come first, equal ids lie side
-by side, an empty table gives no shards and no rows. Further input columns are ignored.
+Null texts count as empty: their only token is the end id. Documents with null doc_id come first, equal ids follow each
+other in the order of their texts' hashes, an empty table gives no shards and no rows. Further input columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from itertools import chain
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, gather, slices
+from .bpe import Encoder, text_slices
 from .workspace import CACHES, bounded_batches, fresh_path, only_cache, open_shared, shuffle_parts
 
 MAGIC = b"LXDAC001"
@@ -123,49 +122,41 @@ class TokenFile:
 
 
 class LibraryEncoder(Encoder):
-    """The chunk cache of ``bpe.Encoder`` over the ``tokenizers`` library: white space separates the vocabulary's words.
+    """The word cache of ``bpe.Encoder`` over the ``tokenizers`` library.
 
-    A Latin word with stops behind it is looked up as the lower-cased word and the stops, which the vocabulary's pattern
-    separates too, so that the library sees each word once; any other chunk goes to it as it is.
+    New words go to it joined by spaces, as one text of many words costs less than many texts; the vocabulary marks the
+    last token of each word, which tells the words' ids apart.
     """
 
-    LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
-
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library, self.most = Tokenizer.from_file(path), most
         self.library.no_truncation()
         self.library.no_padding()
+        end = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        if end:
+            self.last[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(end)]] = True
         self._empty()
 
-    def _empty(self) -> None:
-        super()._empty()
-        self.word = type(self.number)()
-        self.word_pool, self.word_start, self.word_count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known, find, cut, slots, two = len(self.word), self.word.__getitem__, self.LATIN.fullmatch, [], []
-        for i, c in enumerate(chunks):
-            if m := cut(c):
-                slots.append(find(m[1].lower()))
-                if m[2]:
-                    slots.append(find(m[2]))
-                    two.append(i)
-            else:
-                slots.append(find(c))
-        if len(self.word) > known:
-            found = [e.ids for e in self.library.encode_batch_fast(list(self.word)[known:], add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            self.word_start = np.r_[self.word_start, len(self.word_pool) + np.cumsum(n) - n]
-            self.word_count = np.r_[self.word_count, n]
-            self.word_pool = np.r_[self.word_pool, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))]
-        slot, owned = np.array(slots, np.int64), np.ones(len(chunks), np.int64)
-        owned[two] = 2
-        size = self.word_count[slot]
-        ids = gather(self.word_pool, self.word_start[slot], size)
-        return ids, np.add.reduceat(size, np.cumsum(owned) - owned)
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
+
+    other = _ids
+
+    def plain(self, words: list[str], many: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+        some = [w for w in words if w]
+        ids, _ = self._ids([" ".join(some[i : i + many]) for i in range(0, len(some), many)])
+        end = np.flatnonzero(self.last[ids])
+        if len(end) != len(some):  # a vocabulary without ends of words
+            return self._ids(words)
+        n = np.zeros(len(words), np.int64)
+        n[[bool(w) for w in words]] = np.diff(np.r_[-1, end])
+        return ids, n
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
@@ -191,9 +182,9 @@ def _write_shards(batches, folder: str, vocabulary: str, end_id: int, shard_toke
         return row
 
     for batch in batches:
-        texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-        for a, b in slices(texts):
-            flat, n = enc.encode(texts[a:b])
+        texts, keys = batch.column("text"), batch.column("doc_id").to_pylist()
+        for a, b in text_slices(texts):
+            flat, n = enc.encode(texts.slice(a, b - a))
             ids.append(np.insert(flat, np.cumsum(n), end_id).astype(np.uint32))
             counts.append(n + 1)
             docs += keys[a:b]
@@ -211,7 +202,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     folder = folder or fresh_path(spark, "tokens")
     store, top = open_shared(folder)
     store.create_dir(top, recursive=True)
-    ordered = docs.select("doc_id", docs["text"].cast("string").alias("text")).repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id")
+    text = docs["text"].cast("string")
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("place"), text.alias("text"))  # rows of one doc_id have an order and can be split
+    ordered = keyed.repartitionByRange(shuffle_parts(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     rows = ordered.mapInArrow(lambda it: _write_shards(it, folder, vocabulary, end_id, shard_tokens), "part long, seq long, name string, n_docs long, n_tokens long").collect()
     start, shards = 0, []
     for r in sorted(rows, key=lambda r: (r.part, r.seq)):

@@ -5,9 +5,12 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -227,3 +230,16 @@ def test_toxicity_held_out(spark):
     assert again == {k: r.score for k, r in got.items()}  # held-out labels change nothing
     none = toxicity.toxicity(docs, lab.where("false"), bits=18).select("score").distinct().collect()
     assert [r.score for r in none] == [0.5]
+
+
+def test_letters_of_whole_words_have_the_same_lower_case():
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)] if re.fullmatch("[A-Za-zÀ-ÖØ-öø-įı-ɏ]", chr(c))]
+    assert pa.compute.utf8_lower(pa.array(letters)).to_pylist() == [x.lower() for x in letters]
+    assert all(unicodedata.normalize("NFC", x + y) == x + y for x in letters for y in "aé.!")
+
+
+def test_rows_of_one_id_have_one_order(spark):
+    rows = [(7, f"text {i % 9}") for i in range(60)] + [(None, f"none {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.start, r.ids_crc32) for r in token_store.read_tokens(spark, token_store.write_tokens(d, VOCABULARY, 1), digest=True).collect()) for d in (docs, docs.orderBy("text"), docs.repartition(3))]
+    assert len(got[0]) == 80 and got[0] == got[1] == got[2]
