@@ -2,17 +2,25 @@
 
 A vector is cut into two halves, each quantised by its own centroids (k-means on a bounded sample: the ``sample``
 vectors of smallest hash). A cell is a pair of centroids. A query walks the cells by falling sum of its two halves'
-inner products with the centroids, with a heap over the sorted halves, until the cells hold ``share`` of all indexed
-vectors (and ``least`` of them); it then reranks every entry of these cells by the exact inner product of the original
-vectors in double precision, and keeps the k best, ties to the smaller id.
+inner products with the centroids, with a heap over the sorted halves, until the cells hold a number of vectors; it then
+reranks every entry of these cells by the exact inner product of the original vectors in double precision, and keeps
+the k best, ties to the smaller id.
 
-Every vector is indexed. The cells of one left centroid form a shelf, and shelves are cut into pieces of about ``piece``
-vectors by hash, so that a cell with a third of all rows makes no larger task than others. Queries travel to the pieces
-in packed blocks with the set of their cells, and each piece returns k rows a query at most. Centroids (2 * cells numbers of half the dimension) and cell sizes (cells**2) are fixed in size.
+That number is measured, at every size of table alike: ``fitted`` queries of smallest hash are compared with all vectors,
+and the walk goes as far as ``recall`` of their true neighbours need. So vectors with clusters cost few cells, and as
+neighbours of a larger table lie nearer, the walked share falls with the table.
+
+Every vector is indexed. Entries lie in pieces of about ``piece`` vectors: neighbouring shelves (the cells of one left
+centroid) share a piece, and a large shelf is cut into several by hash, so that a cell with a third of all rows makes no
+larger task than others. Queries go in waves of ``wave``; in a wave they travel to the pieces in blocks of at most
+``block`` queries, packed with the set of their cells, and each piece returns k rows a query at most. A task holds one
+piece and one block. Centroids (2 * cells numbers of half the dimension) and cell sizes (cells**2) are fixed in size.
 
 Vectors that are null, empty, zero, of another dimension than the most frequent, or hold null or non-finite components
 take no part, neither as query nor as candidate; rows with a null id take no part either. Copies of a vector tie and come
-by id. Fewer candidates than k give all of them; an empty table gives no rows.
+by id. Rows of one id with different vectors are rows of their own: each is searched for, under its own ranks, and is a
+candidate of the others; rows of equal id and vector count as one. Fewer candidates than k give all of them; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,87 +82,166 @@ def _assign(batches, centroids):
         yield batch.append_column("cell", pa.array(cell, pa.int32()))
 
 
-def _probe(batches, centroids, sizes, pieces, want: int):
-    """For each piece of a shelf that queries of the batch visit: these queries and their cells, as one packed row."""
+def best_of(s: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int):
+    """(row, places of the k best, their exact scores) of each row of rough scores ``s`` of queries y against x."""
+    keep = min(k, s.shape[1])
+    cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep] if keep else s
+    for r in range(len(s) if keep else 0):
+        near = np.flatnonzero((s[r] >= cut[r] - 1e-9) & np.isfinite(s[r]))
+        score = (y[r] * x[near]).sum(1)
+        best = np.lexsort((ids[near], -score))[:keep]
+        yield r, near[best], score[best]
+
+
+def _truth(batches, wanted, k: int):
+    """The k nearest of a batch for each of the fitted queries, with their cells."""
+    own_q, y = wanted.value
+    for batch in batches:
+        x, ids, own, cell = matrix(batch.column("vector")), *(np.asarray(batch.column(c), np.int64) for c in ("id", "own", "cell"))
+        if len(x):
+            s = y @ x.T
+            s[own_q[:, None] == own[None, :]] = -np.inf
+            for r, at, score in best_of(s, x, y, ids, k):
+                yield pa.RecordBatch.from_pydict({"query": np.full(len(at), r), "cell": cell[at], "score": score, "id": ids[at]})
+
+
+def depth(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many vectors the walk has met before each cell."""
+    order = np.argsort(-(a[:, None] + b[None, :]).ravel(), kind="stable")
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(size[order]) - size[order]
+    return out
+
+
+def dealt(shelves: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first piece, number of pieces) of each shelf: large shelves have their own, small neighbours share one."""
+    first, number, at, held = [], [], -1, 0
+    for n in shelves.tolist():
+        many = max(1, -(-n // piece))
+        if many > 1 or at < 0 or held + n > piece:
+            at, held = at + 1, 0
+        first.append(at)
+        number.append(many)
+        at, held = at + many - 1, held + n
+    return np.array(first), np.array(number)
+
+
+def _probe(batches, centroids, sizes, pieces, want: int, block: int):
+    """For each piece that queries of a batch visit: these queries and their cells in it, as one packed row."""
     left, right = centroids.value
+    first, number = pieces.value
     for batch in batches:
-        x, ids = matrix(batch.column("vector")), np.asarray(batch.column("id"), np.int64)
-        if not len(x):
-            continue
-        h = x.shape[1] // 2
-        a, b = x[:, :h] @ left.T, x[:, h:] @ right.T
-        visit = np.zeros((len(x), len(left) * len(right)), bool)
-        for q in range(len(x)):
-            visit[q, walk(a[q], b[q], sizes.value, want)] = True
-        visit = visit.reshape(len(x), len(left), len(right))
-        rows: dict[str, list] = {"shelf": [], "piece": [], "ids": [], "vectors": [], "cells": []}
-        for shelf in range(len(left)):
-            qs = np.flatnonzero(visit[:, shelf].any(1))
-            if len(qs):
-                raw = (ids[qs].tobytes(), x[qs].astype(np.float32).tobytes(), np.packbits(visit[qs, shelf], axis=1).tobytes())
-                for p in range(int(pieces.value[shelf])):
-                    for c, v in zip(rows.values(), (shelf, p, *raw)):
+        for at in range(0, batch.num_rows, block):
+            part = batch.slice(at, block)
+            x, ids, own = matrix(part.column("vector")), *(np.asarray(part.column(c), np.int64) for c in ("id", "own"))
+            h = x.shape[1] // 2
+            a, b = x[:, :h] @ left.T, x[:, h:] @ right.T
+            visit = np.zeros((len(x), len(left) * len(right)), bool)
+            for q in range(len(x)):
+                visit[q, walk(a[q], b[q], sizes.value, want)] = True
+            rows: dict[str, list] = {"piece": [], "ids": [], "own": [], "vectors": [], "cells": []}
+            for p in range(int(first[-1] + number[-1])):
+                shelves = np.flatnonzero((first <= p) & (p < first + number))
+                seen = visit[:, shelves[0] * len(right) : (shelves[-1] + 1) * len(right)]
+                qs = np.flatnonzero(seen.any(1))
+                if len(qs):
+                    for c, v in zip(rows.values(), (p, ids[qs].tobytes(), own[qs].tobytes(), x[qs].tobytes(), np.packbits(seen[qs], axis=1).tobytes())):
                         c.append(v)
-        kinds = {"shelf": pa.int32(), "piece": pa.int32(), "ids": pa.binary(), "vectors": pa.binary(), "cells": pa.binary()}
-        yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in rows.items()})
+            kinds = {"piece": pa.int32(), "ids": pa.binary(), "own": pa.binary(), "vectors": pa.binary(), "cells": pa.binary()}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in rows.items()})
 
 
-def _rerank(entries: pa.Table, probes: pa.Table, k: int, cells: int) -> pa.Table:
+def _rerank(entries: pa.Table, probes: pa.Table, k: int, right: int, shelf_of_piece) -> pa.Table:
     """The k best entries of the visited cells of a piece for each visiting query."""
-    out_q, out_v, out_s = [], [], []
+    names = ("query_id", "query_own", "vec_id", "own", "score")
+    out: dict[str, list] = {c: [] for c in names}
     if entries.num_rows and probes.num_rows:
-        x, ids, cell = matrix(entries.column("vector")), np.asarray(entries.column("id"), np.int64), np.asarray(entries.column("cell"), np.int64)
-        order = np.argsort(ids, kind="stable")
-        x, ids, cell = x[order], ids[order], cell[order] % cells
-        for raw, vec, bits in zip(*(probes.column(c).to_pylist() for c in ("ids", "vectors", "cells"))):
-            q = np.frombuffer(raw, np.int64)
-            y = np.frombuffer(vec, np.float32).reshape(len(q), -1).astype(np.float64)
-            open_ = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(q), -1), axis=1, count=cells).astype(bool)
+        x, ids, own, cell = matrix(entries.column("vector")), *(np.asarray(entries.column(c), np.int64) for c in ("id", "own", "cell"))
+        cell = cell - shelf_of_piece.value[entries.column("piece")[0].as_py()] * right
+        for raw, raw_own, vec, bits in zip(*(probes.column(c).to_pylist() for c in ("ids", "own", "vectors", "cells"))):
+            q, q_own = np.frombuffer(raw, np.int64), np.frombuffer(raw_own, np.int64)
+            y = np.frombuffer(vec, np.float64).reshape(len(q), -1)
+            bits = np.frombuffer(bits, np.uint8).reshape(len(q), -1)
             for at in range(0, len(q), 256):
                 part = slice(at, at + 256)
                 s = y[part] @ x.T
-                s[~open_[part][:, cell] | (q[part, None] == ids[None, :])] = -np.inf
-                keep = min(k, len(ids))
-                cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
-                for r in range(len(s)):
-                    near = np.flatnonzero((s[r] >= cut[r] - 1e-9) & np.isfinite(s[r]))
-                    score = (y[at + r] * x[near]).sum(1)
-                    best = np.lexsort((ids[near], -score))[:keep]
-                    out_q.append(np.full(len(best), q[at + r]))
-                    out_v.append(ids[near[best]])
-                    out_s.append(score[best])
-    join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-    return pa.table({"query_id": join(out_q, np.int64), "vec_id": join(out_v, np.int64), "score": join(out_s, np.float64)})
-
-
-def search(vectors: DataFrame, is_query, k: int = 20, cells: int = 32, sample: int = 16_384, rounds: int = 12, share: float = 0.6, least: int = 2_000, piece: int = 8_192, seed: int = 7) -> DataFrame:
+                s[(np.unpackbits(bits[part], axis=1)[:, cell] == 0) | (q_own[part, None] == own[None, :])] = -np.inf
+                for r, near, score in best_of(s, x, y[part], ids, k):
+                    for c, v in zip(names, (np.full(len(near), q[at + r]), np.full(len(near), q_own[at + r]), ids[near], own[near], score)):
+                        out[c].append(v)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.float64)
+    return pa.table({c: np.concatenate(out[c]) if out[c] else np.zeros(0, t) for c, t in zip(names, kinds)})
+
+
+class Index:
+    """Centroids, the cell of every vector, and how far a walk goes."""
+
+    def __init__(self, vectors: DataFrame, is_query, k: int, cells: int, sample: int, rounds: int, recall: float, fitted: int, piece: int, seed: int):
+        spark = self.spark = vectors.sparkSession
+        bounded_batches(spark)
+        finite = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+        kind = "float" if vectors.schema["vector"].dataType.simpleString() == "array<float>" else "double"
+        whole = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast(f"array<{kind}>").alias("vector"))
+        whole = whole.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 1) & finite & F.exists("vector", lambda c: c != 0))
+        width = whole.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        self.empty = width is None
+        if self.empty:
+            return
+        whole = whole.where(F.size("vector") == width.d).select("id", F.xxhash64("id", "vector").alias("own"), "vector")
+        x = matrix(whole.orderBy("own").limit(sample).select("vector").toArrow().column("vector"))
+        h = width.d // 2
+        self.centroids = spark.sparkContext.broadcast((kmeans(x[:, :h], cells, rounds, seed), kmeans(x[:, h:], cells, rounds, seed + 1)))
+        centroids = self.centroids
+        self.placed = stored(whole.mapInArrow(lambda it: _assign(it, centroids), f"id long, own long, vector array<{kind}>, cell int"), "cells")
+        self.queries = self.placed.where(is_query(F.col("id")))
+        left, right = (len(c) for c in centroids.value)
+        sizes = np.zeros(left * right, np.int64)
+        for r in self.placed.groupBy("cell").count().collect():  # at most cells**2 rows
+            sizes[r.cell] = r["count"]
+        self.sizes = spark.sparkContext.broadcast(sizes)
+        self.want = self._walked(k, recall, fitted)
+        self.pieces = spark.sparkContext.broadcast(dealt(sizes.reshape(left, right).sum(1), piece))
+
+    def _walked(self, k: int, recall: float, fitted: int) -> int:
+        """The number of vectors that the walks of ``fitted`` queries meet until they have that share of their neighbours."""
+        some = self.queries.orderBy("own").limit(fitted).select("own", "vector").toArrow()
+        if not some.num_rows:
+            return 1
+        y = matrix(some.column("vector"))
+        wanted = self.spark.sparkContext.broadcast((np.asarray(some.column("own"), np.int64), y))
+        near = self.placed.mapInArrow(lambda it: _truth(it, wanted, k), "query long, cell long, score double, id long")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        found = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "cell").collect()  # k rows a fitted query
+        (left, right), h = self.centroids.value, y.shape[1] // 2
+        met = [depth(y[r, :h] @ left.T, y[r, h:] @ right.T, self.sizes.value) for r in range(len(y))]
+        before = sorted(int(met[r.query][r.cell]) for r in found)
+        return before[max(0, int(np.ceil(recall * len(before))) - 1)] + 1 if before else 1
+
+    def near(self, queries: DataFrame, k: int, block: int) -> DataFrame:
+        """The candidates of ``queries`` (rows of the index): k of each piece at most."""
+        centroids, sizes, pieces, want, right = self.centroids, self.sizes, self.pieces, self.want, len(self.centroids.value[1])
+        first, number = pieces.value
+        of_piece = np.zeros(int(first[-1] + number[-1]), np.int64)
+        for shelf in range(len(first) - 1, -1, -1):
+            of_piece[first[shelf] : first[shelf] + number[shelf]] = shelf
+        start = self.spark.sparkContext.broadcast(of_piece)
+        pick = lambda a: F.element_at(F.array(*(F.lit(int(p)) for p in a)), F.floor(F.col("cell") / right).cast("int") + 1)
+        entries = self.placed.withColumn("piece", (pick(first) + F.pmod(F.xxhash64("own"), pick(number))).cast("int"))
+        probes = queries.select("id", "own", "vector").mapInArrow(lambda it: _probe(it, centroids, sizes, pieces, want, block), "piece int, ids binary, own binary, vectors binary, cells binary")
+        return entries.groupBy("piece").cogroup(probes.groupBy("piece")).applyInArrow(lambda a, b: _rerank(a, b, k, right, start), "query_id long, query_own long, vec_id long, own long, score double")
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, cells: int = 64, sample: int = 16_384, rounds: int = 12, recall: float = 0.95, fitted: int = 64, piece: int = 8_192, block: int = 1_024, wave: int = 32_768, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for the rows of ``vectors`` (id, vector) where ``is_query``."""
-    spark = vectors.sparkSession
-    bounded_batches(spark)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    finite = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 1) & finite & F.exists("vector", lambda c: c != 0))
-    width = whole.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if width is None:
-        return empty
-    whole = whole.where(F.size("vector") == width.d)
-    fit = whole.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
-    x = matrix(fit.column("vector"))
-    h = width.d // 2
-    centroids = spark.sparkContext.broadcast((kmeans(x[:, :h], cells, rounds, seed), kmeans(x[:, h:], cells, rounds, seed + 1)))
-    placed = stored(whole.mapInArrow(lambda it: _assign(it, centroids), "id long, vector array<float>, cell int"), "cells")
-    per = placed.groupBy("cell").count().collect()  # at most cells**2 rows
-    left, right = (len(c) for c in centroids.value)
-    sizes = np.zeros(left * right, np.int64)
-    for r in per:
-        sizes[r.cell] = r["count"]
-    pieces = np.maximum(-(-sizes.reshape(left, right).sum(1) // piece), 1)
-    want = max(least, int(np.ceil(share * sizes.sum())))
-    shared, cut = spark.sparkContext.broadcast(sizes), spark.sparkContext.broadcast(pieces)
-    shelf = F.floor(F.col("cell") / right).cast("int")
-    number = F.element_at(F.array(*(F.lit(int(p)) for p in pieces)), shelf + 1)
-    entries = placed.select(shelf.alias("shelf"), F.pmod(F.xxhash64("id"), number).cast("int").alias("piece"), "id", "vector", "cell")
-    probes = placed.where(is_query(F.col("id"))).select("id", "vector").mapInArrow(lambda it: _probe(it, centroids, shared, cut, want), "shelf int, piece int, ids binary, vectors binary, cells binary")
-    near = entries.groupBy("shelf", "piece").cogroup(probes.groupBy("shelf", "piece")).applyInArrow(lambda a, b: _rerank(a, b, k, right), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = Index(vectors, is_query, k, cells, sample, rounds, recall, fitted, piece, seed)
+    if index.empty:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    waves = max(1, -(-index.queries.count() // wave))
+    found = None
+    for w in range(waves):
+        near = index.near(index.queries.where(F.pmod(F.col("own"), F.lit(waves)) == w) if waves > 1 else index.queries, k, block)
+        order = Window.partitionBy("query_id", "query_own").orderBy(F.desc("score"), "vec_id", "own")
+        best = near.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query_id", "query_own", "rank"]).select("query_id", "rank", "vec_id", "score")
+        best = stored(best, "wave") if waves > 1 else best
+        found = best if found is None else found.union(best)
+    return found
