@@ -1,14 +1,18 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the presence of lower-cased words, word pairs and pairs with one word between, hashed to ``2**bits``
-places. Training sees a bounded sample: the ``most`` labelled training rows of smallest (hash of doc_id, doc_id),
-``passes`` times in that order; the last tenth, before it is learned too, calibrates the scores (Platt). Per-coordinate
+places. Training sees a bounded sample: of the labelled training documents those ``most`` of smallest (hash of doc_id,
+doc_id), of each the first ``places`` features in the order of their hashes, ``passes`` times in that order. Scores are
+calibrated (Platt) by ``folds``-fold cross-validation on these rows: each fold's margins come from a model that never
+saw it. Per-coordinate
 learning rates and the L1 term leave few non-zero weights, which alone are broadcast (at most ``2**bits`` by
 construction, some thousands in practice). Scoring covers all documents without a shuffle; labels, lang, source and
 doc_id are no inputs of a score.
 
 A null or empty text has no features: its score is that of the bias. A null doc_id counts as not held out. Documents
-labelled more than once train with the largest label, null labels with none; without any label every score is 0.5.
+labelled more than once train with the largest label, null labels with none; of rows of one doc_id one trains, that with
+the text of smallest hash, and each is scored by its own text; labels without a document do not count towards
+``most``; without any label every score is 0.5.
 """
 
 from __future__ import annotations
@@ -96,42 +100,72 @@ def platt(margin: np.ndarray, positive: np.ndarray, least: int = 20) -> tuple[fl
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def _train(batches, bits: int, passes: int, alpha: float, beta: float, l1: float, l2: float):
-    rows: list[tuple[int, float, np.ndarray]] = []
+def fitted(rows: list[tuple[float, np.ndarray]], bits: int, passes: int, alpha: float, beta: float, l1: float, l2: float) -> Ftrl:
+    """The model of (label, places) rows, learned ``passes`` times in their order."""
+    model = Ftrl(1 << bits, alpha, beta, l1, l2)
+    for _ in range(passes):
+        for label, at in rows:
+            model.learn(at, label)
+    return model
+
+
+def _places(batches, bits: int, most: int):
+    """The distinct places of each text's features: the ``most`` first by hash, in rising order."""
     for batch in batches:
-        texts, labels, order = (batch.column(c).to_pylist() for c in ("text", "label", "place"))
+        texts = batch.column("text").to_pylist()
         for a, b in slices(texts):
             doc, place = features(texts[a:b], bits)
             pair = np.unique(doc << bits | place)
-            cut = np.searchsorted(pair, np.arange(1, b - a) << bits)
-            rows += zip(order[a:b], labels[a:b], [(p & (1 << bits) - 1).astype(np.int32) for p in np.split(pair, cut)])
-    rows.sort(key=lambda r: r[0])
-    model = Ftrl(1 << bits, alpha, beta, l1, l2)
-    last = len(rows) - len(rows) // 10
-    scale, shift = 1.0, 0.0
-    first = rows[:last]
-    for part in (first, rows[last:]):
-        if part is not first:  # not learned yet, so these margins are honest
-            margin = np.array([model.weights(at).sum() + model.bias for _, _, at in part])
-            scale, shift = platt(margin, np.array([label > 0 for _, label, _ in part]))
-        for _ in range(passes):
-            for _, label, at in part:
-                model.learn(at, float(label > 0))
-    w = model.weights(np.arange(1 << bits)) * scale
-    at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_pydict({"at": pa.array([at.tolist()], pa.list_(pa.int64())), "weight": pa.array([w[at].tolist()], pa.list_(pa.float64())), "bias": [model.bias * scale + shift]})
-
-
-def train(docs: DataFrame, labels: DataFrame, bits: int = 22, most: int = 20_000, passes: int = 4, alpha: float = 1.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1) -> tuple[np.ndarray, np.ndarray, float]:
-    """(places, weights, bias) from ``labels`` (doc_id, label), at most ``most`` of them."""
+            own = np.split((pair & (1 << bits) - 1).astype(np.int32), np.searchsorted(pair, np.arange(1, b - a) << bits))
+            own = [p if len(p) <= most else np.sort(p[np.argsort(mix64(p.astype(np.uint64)))[:most]]) for p in own]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("place", "doc_id", "label")), pa.array(own, pa.list_(pa.int32()))], ["place", "doc_id", "label", "features"])
+
+
+def _train(batches, bits: int, folds: int, *parameters):
+    """Model 0 learns all rows and gives its weights; model k the rows outside fold k, and gives the margins of those inside."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        model, label = (batch.column(c).to_pylist() for c in ("model", "label"))
+        order = zip(batch.column("place").to_pylist(), batch.column("doc_id").to_pylist())
+        column = batch.column("features")
+        own = np.split(np.asarray(column.flatten(), np.int32), np.asarray(column.offsets, np.int64)[1:-1] - column.offsets[0].as_py())
+        for k, *row in zip(model, order, label, own):
+            held.setdefault(k, []).append(row)
+    for k, rows in held.items():
+        rows.sort(key=lambda r: r[0])
+        learned = [(float(label > 0), at) for _, label, at in rows]
+        model = fitted([r for i, r in enumerate(learned) if not k or i % folds != k - 1], bits, *parameters)
+        at, margin = np.zeros(0, np.int64), []
+        if k:
+            margin = [(model.weights(at_).sum() + model.bias, label) for label, at_ in learned[k - 1 :: folds]]
+        else:
+            at = np.flatnonzero(model.weights(np.arange(1 << bits)))
+        yield pa.RecordBatch.from_pydict({
+            "model": pa.array([k], pa.int32()), "at": pa.array([at], pa.list_(pa.int64())), "weight": pa.array([model.weights(at)], pa.list_(pa.float64())), "bias": [model.bias],
+            "margin": pa.array([[float(m) for m, _ in margin]], pa.list_(pa.float64())), "positive": pa.array([[label > 0 for _, label in margin]], pa.list_(pa.bool_())),
+        })
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, bits: int = 22, most: int = 20_000, places: int = 5_000, passes: int = 4, folds: int = 3, alpha: float = 1.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """(places, weights, bias) from ``labels`` (doc_id, label): at most ``most`` documents of at most ``places`` features."""
     place = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
-    sample = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(place).limit(most)
-    # the sample holds ``most`` rows of three numbers: a fixed bound
-    text = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("place"), "label", "text")
-    got = text.repartition(1).mapInArrow(lambda it: _train(it, bits, passes, alpha, beta, l1, l2), "at array<long>, weight array<double>, bias double").first()
-    if got is None:  # no labelled document
+    text = docs.select("doc_id", docs["text"].cast("string").alias("text")).withColumn("pick", F.xxhash64("text"))
+    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    # one row a labelled document, without its text; then the bounded sample, whose texts alone are read
+    first = text.select("doc_id", "pick").join(known, "doc_id").groupBy("doc_id").agg(F.min("pick").alias("pick"), F.first("label").alias("label"))
+    sample = first.orderBy(place).limit(most)  # ``most`` rows of three numbers: a fixed bound
+    found = text.join(F.broadcast(sample), ["doc_id", "pick"]).select(F.xxhash64("doc_id").alias("place"), "doc_id", F.col("label").cast("int").alias("label"), "text")
+    found = found.mapInArrow(lambda it: _places(it, bits, places), "place long, doc_id long, label int, features array<int>").dropDuplicates(["doc_id"])
+    models = found.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds)))).repartitionById(folds + 1, F.col("model"))
+    schema = "model int, at array<long>, weight array<double>, bias double, margin array<double>, positive array<boolean>"
+    rows = models.mapInArrow(lambda it: _train(it, bits, folds, passes, alpha, beta, l1, l2), schema).collect()  # a row a model
+    full = [r for r in rows if r.model == 0]
+    if not full:  # no labelled document
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    return np.array(got.at, np.int64), np.array(got.weight), float(got.bias)
+    scale, shift = platt(np.array([x for r in rows for x in r.margin]), np.array([x for r in rows for x in r.positive], bool))
+    return np.array(full[0].at, np.int64), np.array(full[0].weight) * scale, float(full[0].bias) * scale + shift
 
 
 def _score(batches, model, bits: int):
