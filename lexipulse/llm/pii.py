@@ -99,19 +99,21 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with base (array of base spans) and found (all spans), each by start and then kind.
-
-    Own columns of those names, or of working names that begin with ``pii_``, are replaced.
-    """
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    out = docs.withColumns({f"pii_{k}": _spans(text, k) for k in KINDS})
-    base = F.array_sort(F.concat(*(F.col(f"pii_{k}") for k in BASE)))
-    out = out.withColumn("base", base)
-    added = F.filter(F.concat(F.col("pii_iban"), F.col("pii_account")), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+def _found(docs: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``), text, base (base spans) and found (all spans), each by start and then kind."""
+    out = docs.select(F.struct("*").alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    out = out.select("row", "text", *(_spans(F.col("text"), k).alias(k) for k in KINDS))
+    out = out.select("row", "text", "iban", "account", F.array_sort(F.concat(*BASE)).alias("base"))
+    added = F.filter(F.concat("iban", "account"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     # an account number inside an IBAN is no finding of its own
-    alone = F.filter(added, lambda s: (s["kind"] == "iban") | ~F.exists("pii_iban", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("found", F.array_sort(F.concat("base", alone))).drop(*(f"pii_{k}" for k in KINDS))
+    alone = F.filter(added, lambda s: (s["kind"] == "iban") | ~F.exists("iban", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return out.select("row", "text", "base", F.array_sort(F.concat("base", alone)).alias("found"))
+
+
+def find_pii(docs: DataFrame) -> DataFrame:
+    """``docs`` with base (array of base spans) and found (all spans); own columns of these two names are replaced."""
+    own = [c for c in docs.columns if c.lower() not in ("base", "found")]
+    return _found(docs).select(*(F.col("row").getField(c).alias(c) for c in own), "base", "found")
 
 
 def _is(kind: str):
@@ -120,14 +122,16 @@ def _is(kind: str):
 
 def pii_report(docs: DataFrame) -> DataFrame:
     """doc_id, counts by base kind, the digest of the base spans, and all spans as text."""
-    found = find_pii(docs.select("doc_id", "text"))
+    found = _found(docs.select("doc_id", "text"))
     counts = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with each found span of text replaced by its kind in brackets; overlapping spans become one."""
-    found = find_pii(docs)
+    """``docs`` with each found span of text replaced by its kind in brackets; overlapping spans become one.
+
+    Every other column is passed through, whatever its name; a null text stays null.
+    """
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -138,4 +142,6 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1)))
-    return found.withColumn("text", F.when(F.size("found") > 0, clean).otherwise(text)).select(docs.columns)
+    own = docs.schema["text"].dataType
+    new = F.when(F.size("found") > 0, clean.cast(own)).otherwise(F.col("row.text"))
+    return _found(docs).select(F.col("row").withField("text", new).alias("row")).select("row.*")
