@@ -26,14 +26,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .bpe import slices
 from .graph import components
 from .substring import _among, _joined, _rows, _shared_anchors
-from .workspace import bounded_batches, bucket_edges, buckets, hashed_words, mix64, only_cache, pack_sorted, reclaim, shuffle_parts, stored, unpack_sorted, window_hashes
+from .workspace import bounded_batches, bucket_edges, buckets, dropped, hashed_words, mix64, only_cache, pack_sorted, reclaim, shuffle_parts, stored, unpack_sorted, window_hashes
 
 CELLS, SLICES = 1 << 22, 64
 PARITY = 16
@@ -124,8 +124,8 @@ def _features(batches, k: int, num: int, den: int, counts):
                 prefix.append(None if again else signed(first))
                 parity.append(None if again else np.packbits(bits.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "grp", "prefix", "parity"],
+                [*(batch.column(c).slice(a, b - a) for c in ("doc_id", "key")), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                ["doc_id", "key", "n", "node", "grp", "prefix", "parity"],
             )
 
 
@@ -219,6 +219,11 @@ def _near(n1: str, p1: str, n2: str, p2: str, num: int, den: int):
     return (den * F.least(a, b) >= num * F.greatest(a, b)) & ((num + den) * bound >= num * (a + b))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of doc_id and text: rows of one key are alike."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")).alias("key")
+
+
 class Join:
     """The steps over the stored features of one table."""
 
@@ -226,10 +231,10 @@ class Join:
         self.spark: SparkSession = docs.sparkSession
         bounded_batches(self.spark)
         self.k, self.num, self.den = k, num, den
-        self.text = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+        self.text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs), docs["text"].cast("string").alias("text"))
         counts = self.spark.sparkContext.broadcast(shingle_counts(self.text, k))
         self.features = stored(
-            self.text.mapInArrow(lambda it: _features(it, k, num, den, counts), "doc_id long, n long, node long, grp long, prefix array<long>, parity array<long>"), "sets"
+            self.text.mapInArrow(lambda it: _features(it, k, num, den, counts), "doc_id long, key long, n long, node long, grp long, prefix array<long>, parity array<long>"), "sets"
         )
         self.members = self.features.where("node is not null").select("node", "grp", "n").distinct()
 
@@ -264,7 +269,9 @@ class Join:
         sets = self.text.select("text").mapInArrow(lambda it: _sets(it, k, shared), "node long, hashes binary").dropDuplicates(["node"])  # shuffled once for both joins
         with_v = close.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("hashes_v")), "v")
         both = with_v.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("hashes_u")), "u").select("u", "v", "hashes_u", "hashes_v")
-        return stored(both.mapInArrow(lambda it: _verified(it, num, den), "u long, v long"), "links")
+        links = stored(both.mapInArrow(lambda it: _verified(it, num, den), "u long, v long"), "links")
+        dropped(close)
+        return links
 
     def star_pairs(self, shared: DataFrame) -> DataFrame:
         """Members of each group against the smallest node of its pivots' groups, after the group filters."""
@@ -272,15 +279,26 @@ class Join:
         lead = self.members.groupBy("grp").agg(F.min("node").alias("u")).withColumnRenamed("grp", "p_grp")
         return near.select("grp", "p_grp").distinct().join(lead, "p_grp").join(self.members.select("grp", F.col("node").alias("v")), "grp").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
-    def cross_pairs(self, shared: DataFrame, label: DataFrame) -> DataFrame:
-        """All pairs of nodes that share a prefix shingle, pass the filters and lie in different components."""
+    def cross_pairs(self, shared: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(All pairs of nodes that share a prefix shingle, pass the filters and lie in different components; the table they come from.)
+
+        The filters see size and position alone, so they are put to classes of entries first: only entries of two
+        classes that pass are paired, and a shingle that many sets hold too late to be similar costs its classes.
+        """
         node = self.members.join(label, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("comp"))
         held = shared.select("tok", "grp", "n", "pos").join(node, "grp")
-        per = held.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("most")).where("comps > 1")
+        kind = held.groupBy("tok", "comp", "n", "pos").agg(F.count("*").alias("k"))
+        per = kind.groupBy("tok", "comp").agg(F.sum("k").alias("k")).groupBy("tok").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("most")).where("comps > 1")
         held = stored(held.join(per.select("tok", F.col("most.comp").alias("most")), "tok").select("tok", "node", "n", "pos", "comp", "most"), "held")
-        small = held.where("comp <> most").select("tok", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "comp")))
-        pair = small.join(held, "tok").where((F.col("comp_a") != F.col("comp")) & ((F.col("comp") == F.col("most")) | (F.col("node_a") < F.col("node"))) & _near("n_a", "pos_a", "n", "pos", self.num, self.den))
-        return pair.select(F.least("node_a", "node").alias("u"), F.greatest("node_a", "node").alias("v"))
+        other = lambda df, *names: df.select("tok", *(F.col(c).alias(f"{c}_a") for c in names))
+        every = held.groupBy("tok", "n", "pos").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        small = held.where("comp <> most").groupBy("tok", "n", "pos").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        apart = ~((F.col("low") == F.col("high")) & (F.col("low_a") == F.col("high_a")) & (F.col("low") == F.col("low_a")))
+        near = other(small, "n", "pos", "low", "high").join(every, "tok").where(_near("n_a", "pos_a", "n", "pos", self.num, self.den) & apart)
+        near = near.select("tok", "n_a", "pos_a", "n", "pos")
+        lone = other(held.where("comp <> most"), "node", "n", "pos", "comp").join(near, ["tok", "n_a", "pos_a"])
+        pair = lone.join(held, ["tok", "n", "pos"]).where((F.col("comp_a") != F.col("comp")) & ((F.col("comp") == F.col("most")) | (F.col("node_a") < F.col("node"))))
+        return pair.select(F.least("node_a", "node").alias("u"), F.greatest("node_a", "node").alias("v")), held
 
     def labels(self) -> DataFrame:
         """node, label of every node with a link."""
@@ -290,18 +308,52 @@ class Join:
         links = self.verify(self.star_pairs(shared))
         label = components(links)
         reclaim(self.spark)
-        more = self.verify(self.cross_pairs(shared, label))
+        pairs, held = self.cross_pairs(shared, label)
+        more = self.verify(pairs)
+        dropped(shared, held)
         if more.isEmpty():
             return label
         return components(links.union(more))
 
 
+#: Keys that a component's answer is copied to, so that a component with a third of all nodes is dealt to as many tasks.
+SALTS = 32
+
+
+def _components(join: Join) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, node of every row; node and first of every node with a set).
+
+    first is (no doc_id, doc_id, key) of the component's first row, by that order.
+    """
+    held = join.features.select("doc_id", "key", "n", "node")
+    own = held.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("own"))
+    node = stored(own.join(join.labels(), "node", "left"), "nodes")  # as many rows as distinct sets
+    linked = node.where("label is not null")
+    first = linked.groupBy("label").agg(F.min("own").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    answered = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(first, ["label", "salt"]).select("node", "first")
+    return held, node.where("label is null").select("node", F.col("own").alias("first")).union(answered)
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links of similarity num / den or more)."""
-    join = Join(docs, k, num, den)
-    held = join.features.select("doc_id", "n", "node")
-    least = held.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    node = least.join(join.labels(), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
-    low = node.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = node.join(low, "label").select("node", "component_id")
-    return held.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    held, node = _components(Join(docs, k, num, den))
+    least = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return held.join(node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row of smallest doc_id stays, whole.
+
+    The choice is by row: rows of one doc_id with different texts are rows of their own, equal ids are told apart by a
+    hash of the text, a null doc_id comes last, and of rows with equal doc_id and text one stays. Rows without words are
+    linked with nothing and all stay. Columns pass through whatever their names.
+    """
+    held, node = _components(Join(docs, k, num, den))
+    doc = F.coalesce(F.col("doc_id"), F.lit(0)).alias("doc")
+    per = held.where("node is not null").groupBy("node", "key", doc).agg(F.count("*").alias("rows")).join(node, "node")
+    per = stored(per.select("key", "doc", (F.col("key") == F.col("first.key")).alias("stays"), "rows"), "choice")
+    rows = docs.select(F.struct("*").alias("row"), row_key(docs), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("doc"))
+    gone = per.where("not stays or rows > 1").select("key", "doc")
+    again = per.where("stays and rows > 1").select("key", "doc")
+    single = rows.join(again, ["key", "doc"], "left_semi").groupBy("key", "doc").agg(F.first("row").alias("row"))
+    return rows.join(gone, ["key", "doc"], "left_anti").select("row.*").union(single.select("row.*"))

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 from lexipulse.llm import ann, graph, jaccard, lm, mixing, substring, workspace
 from lexipulse.llm.queries import oracle_sql, queries
@@ -177,6 +178,71 @@ def test_mixing(spark):
     assert abs(h(t) - 0.9) < 1e-3 and mixing.exponent(sources, 10.0, None) == pytest.approx(0.5, abs=1e-4)
 
 
+def mixed_by_hand(have, repeats, budget):
+    """source -> tokens wanted, for sources with tokens: the definition, by halving."""
+    n = {s: x for s, x in have.items() if x}
+    total = min(budget, repeats * sum(n.values())) if budget else None
+
+    def want(t):
+        s = sum(x**t for x in n.values())
+        return {k: total * x**t / s if total else x**t * max(n.values()) ** (1 - t) for k, x in n.items()}
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        t = (low + high) / 2
+        low, high = (low, t) if max(w / n[k] for k, w in want(t).items()) <= repeats else (t, high)
+    return want(low if max(w / n[k] for k, w in want(low).items()) <= repeats else high)
+
+
+@pytest.mark.parametrize("repeats,budget", [(1.0, None), (2.0, None), (3.5, None), (2.0, 3000), (4.0, 20000), (2.0, 10**9)])
+def test_every_block_of_a_mix(spark, repeats, budget):
+    rng = random.Random(9)
+    size = {"big": 200, "mid": 50, "small": 15, None: 6}
+    rows = [(s, "w " * rng.randrange(1, 60)) for s, n in size.items() for _ in range(n)] + [("empty", None), ("empty", "")]
+    rows += rows[-30:]  # repeated rows
+    ids = [None if i % 17 == 3 else i if i < 250 else i - 100 for i in range(len(rows))]  # null and repeated ids
+    docs = spark.createDataFrame([(d, t, "en", s, 0, "", "") for d, (s, t) in zip(ids, rows)], DOC)
+    got = mixing.mix_report(docs, repeats=repeats, budget=budget, blocks=16).collect()
+    have = collections.Counter()
+    for s, t in rows:
+        have[s or ""] += len((t or "").split())
+    want = mixed_by_hand(have, repeats, budget)
+    # readings of each block in each epoch, and the key of its place there
+    read, place, tokens = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        read[r.source, r.epoch, r.block] += r.tokens
+        place[r.source, r.epoch, r.block] = r.place
+    assert len(place) == len(set(place.values()))
+    for s, n in have.items():
+        if not n:
+            assert sorted(r.epoch for r in got if r.source == s) == [0] * sum((x or "") == s for x, _ in rows)
+            continue
+        ratio = want[s] / n
+        whole = math.floor(ratio + 1e-7)
+        every = {b: x for (src, e, b), x in read.items() if src == s and e == 0}
+        if whole:
+            assert sum(every.values()) == n
+            for e in range(1, whole):
+                assert {b: x for (src, e_, b), x in read.items() if (src, e_) == (s, e)} == every
+        # the last part: blocks by place, each that still fits
+        last = {b: x for (src, e, b), x in read.items() if (src, e) == (s, whole)}
+        assert not any(e > whole for (src, e, _) in read if src == s)
+        if whole:
+            key = spark.createDataFrame([(s, whole, b) for b in every], "s string, e int, b int").select("b", functions.xxhash64(functions.lit(11), "s", "e", "b").alias("p"))
+            order, used, take = sorted((r.p, r.b) for r in key.collect()), 0, {}
+            for _, b in order:
+                if every[b] and used + every[b] <= (ratio - whole) * n + 0.5:
+                    used, take[b] = used + every[b], every[b]
+            assert last == take
+        assert sum(last.values()) <= (ratio - whole) * n + 0.5
+    if budget is None:
+        assert collections.Counter(r.doc_id for r in got if r.epoch == 0) == collections.Counter(ids)
+    else:
+        total = sum(r.tokens for r in got)
+        asked = min(budget, repeats * sum(have.values()))
+        assert total <= asked + 1 and total > asked - sum(max((x for (src, _, b), x in read.items() if src == s), default=n) for s, n in have.items())
+
+
 def test_mixing_goes_past_a_block_that_does_not_fit(spark):
     rows = [("big", "w " * 30000)] + [("small", "w " * 20) for _ in range(300)] + [("small", "w " * 10000)]
     for first, null in ((0, False), (1, False), (2, False), (3, False), (0, True)):  # null doc_ids lie in one block
@@ -188,6 +254,12 @@ def test_mixing_goes_past_a_block_that_does_not_fit(spark):
     assert rows
 
 
+def exact(x, q, k):
+    s = x.astype(float) @ x[q].astype(float)
+    s[q] = -np.inf
+    return np.lexsort((np.arange(len(x)), -s))[:k], s
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(900, 16)).astype(np.float32)
@@ -195,15 +267,13 @@ def test_neighbours(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, []), (1040, [0.0] * 16), (1060, [float("nan")] * 16), (1080, [None] * 16), (1100, [1.0] * 3), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "id long, vector array<float>")
     got = collections.defaultdict(list)
-    for r in ann.search(df, lambda i: i % 20 == 0, k=20, cells=8, share=0.7, least=50, piece=64).collect():
+    for r in ann.search(df, lambda i: i % 20 == 0, k=20, cells=8, piece=64, block=10, wave=20).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     assert sorted(got) == list(range(0, 900, 20))
     hit = 0
     for q, found in got.items():
         found.sort()
-        s = x.astype(float) @ x[q].astype(float)
-        s[q] = -np.inf
-        want = np.lexsort((np.arange(900), -s))[:20]
+        want, s = exact(x, q, 20)
         assert [r for r, *_ in found] == list(range(1, 21)) and q not in [v for _, v, _ in found]
         assert all(math.isclose(c, s[v], rel_tol=1e-12) for _, v, c in found)
         assert [(-c, v) for _, v, c in found] == sorted((-c, v) for _, v, c in found)
@@ -213,6 +283,77 @@ def test_neighbours(spark):
     assert few.count() == 3 and ann.search(df.where("id >= 1000"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_neighbours_at_production_parameters(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(300, 32))
+    share = {}
+    for kind, n in (("loose", 2_400), ("loose", 12_000), ("clusters", 2_400), ("clusters", 12_000)):
+        x = (rng.normal(size=(n, 32)) if kind == "loose" else centre[rng.integers(0, 300, n)] + 0.3 * rng.normal(size=(n, 32))).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+        index = ann.Index(df, lambda i: i % 20 == 0, 20, 64, 16_384, 12, 0.95, 64, 8_192, 7)
+        share[kind, n] = index.want / n
+        got = collections.defaultdict(set)
+        for r in ann.search(df, lambda i: i % 20 == 0).collect():
+            got[r.query_id].add(r.vec_id)
+        hit = [len(got[q] & set(exact(x, q, 20)[0].tolist())) / 20 for q in range(0, n, 20)]
+        assert len(got) == len(hit) and np.mean(hit) >= 0.9
+    # the walk is a falling share of the table, and a small one where vectors have clusters
+    assert share["loose", 12_000] < 0.95 * share["loose", 2_400] and share["clusters", 12_000] < 0.15 and share["clusters", 12_000] < 0.8 * share["clusters", 2_400]
+
+
+def test_neighbours_of_repeated_ids_and_doubles(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4))
+    rows = [(i % 40, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 2  # ids 0 to 19 twice; one row three times
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, lambda i: i % 20 == 0, k=3, recall=1.0, cells=4).collect())
+    want = []
+    for q in (0, 20, 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        order = sorted(range(60), key=lambda j: (-s[j], j % 40))[:3]
+        want += [(q % 40, k + 1, j % 40, s[j]) for k, j in enumerate(order)]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], rtol=1e-12)
+
+
+def templated(n, own):
+    rng, page = random.Random(1), [f"c{i}" for i in range(102)]
+    for _ in range(n):
+        w = list(page)
+        for _ in range(own):
+            w.insert(rng.randrange(len(w) + 1), f"u{rng.randrange(10**12)}")
+        yield " ".join(w)
+
+
+def test_common_page_without_links_costs_no_pairs(spark):
+    """Unique words amid one page of 100 shingles: candidates must not grow with the square of the rows."""
+    candidates = {}
+    for n in (250, 1000):
+        join = jaccard.Join(frame(spark, list(templated(n, 3))), 3, 90, 100)
+        shared = join.shared()
+        label = graph.components(join.verify(join.star_pairs(shared)))
+        candidates[n] = join.cross_pairs(shared, label)[0].count() + join.star_pairs(shared).count()
+        assert shared.count() > n
+    assert candidates[1000] <= 1000
+    texts = list(templated(120, 2)) + list(templated(60, 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert got == components(texts, 3, 90, 100)
+
+
+def test_near_duplicates_by_row(spark):
+    """Nothing but copies goes: neither rows that share a doc_id nor columns of working names are lost."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = a.replace("a39", "z")
+    rows = [(1, a, "1"), (5, a, "2"), (5, b, "3"), (None, a, "4"), (None, " ".join(f"n{i}" for i in range(9)), "5"), (7, b, "6"), (9, near, "7"), (5, b, "8"), (11, None, "9"), (11, "", "9"), (11, None, "9")]
+    names = ["row", "key", "doc", "node", "grp", "n", "label", "first", "salt", "stays", "rows", "comp", "tok"]
+    df = spark.createDataFrame([(*r, *[r[2]] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in ["n_chars", *names]))
+    got = jaccard.without_near_duplicates(df).collect()
+    assert got and df.columns == jaccard.without_near_duplicates(df).columns
+    kept = sorted((r.n_chars for r in got))
+    assert kept in (["1", "3", "5", "9", "9", "9"], ["1", "5", "8", "9", "9", "9"]) and all(set(r[3:]) == {r.n_chars} for r in got)
+    assert jaccard.without_near_duplicates(df.where("false")).count() == 0
+
+
 def test_packed_hashes_and_words():
     rng = np.random.default_rng(9)
     for n in (0, 1, 2, 1000):
