@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexipulse.llm import bpe, jaccard, mixing, pii, quality
 from lexipulse.llm.queries import VOCABULARY
-from lexipulse.llm.workspace import stored
+from lexipulse.llm.workspace import dropped, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,13 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of 5-word shingle similarity 0.8 or more, the document of smallest doc_id stays.
-
-    Rows of one doc_id stay or go together; rows without a doc_id stay.
-    """
-    found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of 5-word shingle similarity 0.8 or more, the row of smallest doc_id stays."""
+    return jaccard.without_near_duplicates(docs, k=5, num=80, den=100)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +29,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources repeat, twice at most; every document is there at least once."""
-    return mixing.mixed(docs, repeats=2.0).select(docs.columns)
+    return mixing.mixed(docs, repeats=2.0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written and read again."""
+    """All stages over documents; each but the last is written and read again, and deleted once the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), "stage")
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
