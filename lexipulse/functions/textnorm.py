@@ -1,16 +1,20 @@
 """Text normalisation, tokens and n-grams as column expressions.
 
-Only HTML entities and NFKC need Python: an Arrow function gets the texts with an ampersand or a character beyond
+HTML entities and NFKC need Python: an Arrow function gets the texts with an ampersand or a character beyond
 ASCII, and null for all others, so plain rows cost a null each and the table is scanned once.
 """
 
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -39,6 +43,7 @@ system systems application applications process processes structure structures m
 work works et al fig table
 """.split())
 
+# What a token is, and which tokens are numbers
 TOKEN = r"[a-z0-9][a-z0-9\-.]*[a-z0-9]|[a-z0-9]"
 NUMERIC = r"^[0-9.\-]+$"
 BLANK = r"(?U)[\s\x1c-\x1f]+"
@@ -96,23 +101,52 @@ def numeric(token: Column) -> Column:
     return token.rlike(NUMERIC)
 
 
+def _tagged(words: list[str], stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: does it stand alone, start, end, or stand inside an n-gram."""
+    inside = np.array([not re.search(NUMERIC, w) for w in words], bool)
+    edge = inside & np.array([w not in stop for w in words], bool)
+    size = np.array([len(w) for w in words], np.int64)
+    return edge & (size >= 4), edge & (size >= 3), edge & (size >= 2), inside
+
+
+def token_ngrams(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> pa.ListArray:
+    """The distinct n-grams of each list of tokens, by place and length. Each distinct token is looked at once."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(toks), 0), np.int64)
+    flat = toks.flatten().dictionary_encode()
+    code, words = np.asarray(flat.indices, np.int64), flat.dictionary
+    alone, first, last, inside = _tagged(words.to_pylist(), stop)
+    doc = np.repeat(np.arange(len(size)), size)
+    place, grams, owner = [], [], []
+    for n in range(1, longest + 1):
+        start = np.arange(max(0, len(code) - n + 1))
+        ok = doc[start] == doc[start + n - 1]
+        ok &= alone[code[start]] if n == 1 else first[code[start]] & last[code[start + n - 1]]
+        for k in range(1, n - 1):
+            ok &= inside[code[start + k]]
+        start = start[ok]
+        key = doc[start]
+        for k in range(n):  # equal keys: the same document and words so far
+            key = np.unique(key * len(words) + code[start + k], return_inverse=True)[1]
+        start = start[np.sort(np.unique(key, return_index=True)[1])]
+        parts = [words.take(pa.array(code[start + k])) for k in range(n)]
+        grams.append(pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0])
+        place.append(start * longest + n)
+        owner.append(doc[start])
+    order = np.argsort(np.concatenate(place), kind="stable")
+    edge = np.r_[0, np.cumsum(np.bincount(np.concatenate(owner), minlength=len(size)))]
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.concat_arrays(grams).take(pa.array(order)), mask=toks.is_null())
+
+
 def ngrams(text: Column, longest: int = 3, stop: frozenset[str] = STOP_WORDS) -> Column:
-    """The distinct n-grams of a text, one to ``longest`` tokens.
+    """The distinct n-grams of a text, one to ``longest`` tokens; null for null.
 
     The first token has three characters or more (four if alone) and the last two, neither is a stop word, and no token
-    is a number; stop words may stand inside.
+    is a number; stop words may stand inside. Tokens are cut by the JVM; an Arrow function on whole batches joins them,
+    as lambdas over arrays are interpreted for every token.
     """
-    stops = sorted(stop)
-
-    def from_here(toks: Column, t: Column, i: Column) -> Column:
-        grams, clean = [F.when(F.length(t) >= 4, t)], F.lit(True)
-        for k in range(1, longest):
-            last = F.get(toks, i + k)
-            clean = clean & ~numeric(last)
-            gram = F.array_join(F.slice(toks, i + 1, k + 1), " ")
-            grams.append(F.when(last.isNotNull() & clean & ~last.isin(stops) & (F.length(last) >= 2), gram))
-        good = ~t.isin(stops) & ~numeric(t) & (F.length(t) >= 3)
-        return F.when(good, F.array_compact(F.array(*grams))).otherwise(F.array().cast("array<string>"))
-
-    # the tokens are bound once: an expression inside a lambda would run again for every token
-    return F.get(F.transform(F.array(tokens(text)), lambda toks: F.array_distinct(F.flatten(F.transform(toks, lambda t, i: from_here(toks, t, i))))), 0)
+
+    @F.arrow_udf("array<string>")
+    def joined(toks: pa.Array) -> pa.Array:
+        return token_ngrams(toks, longest, stop)
+
+    return joined(tokens(text))

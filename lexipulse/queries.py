@@ -1,6 +1,7 @@
 """One query for each operator over the driver's tables, and the DuckDB SQL with the same rows.
 
-SQL is missing where it cannot say the same: full normalisation needs Unicode tables, and hash samples need Spark's hash.
+DuckDB knows neither HTML entities nor NFKC: the SQL of full normalisation replaces the entities that the driver's tables
+hold, whose other characters NFKC leaves alone; other texts are covered by the tests.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def inverted_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("item_id", records.inverted_index_text(F.col("m")).alias("text"))
 
 
-@_query()
+@_query("SELECT doc_id, lang FROM documents WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 0")
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.hash_sample(table(spark, sf_dir, "documents"), "doc_id", 10).select("doc_id", "lang")
 
@@ -149,6 +150,62 @@ def warehouse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.from_warehouse(kept).select("id", "year", "date", "venue")
 
 
+_SHORT = "regexp_extract_all(text, '[A-Za-z]+')"
+
+
+@_query(f"""SELECT CASE WHEN item_id % 3 = 0 THEN concat('https://arxiv.org/abs/', item_id) WHEN item_id % 2 = 0 THEN concat('https://doi.org/10.1/', item_id) ELSE concat('https://openalex.org/W', item_id) END AS id,
+ CAST(CASE WHEN item_id % 5 = 0 THEN 0 ELSE 2000 + item_id % 20 END AS INTEGER) AS year, md5(array_to_string({_SHORT}, ' ')) AS digest, CASE WHEN item_id % 2 = 0 THEN concat('https://doi.org/10.1/', item_id) ELSE concat('https://openalex.org/W', item_id) END AS url,
+ CAST(coalesce(CASE WHEN item_id % 4 = 0 THEN NULL ELSE item_id END, 0) AS BIGINT) AS cited FROM benchmark""")
+def openalex_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as records with an inverted index: identifiers, landing pages, years and counts that may be missing."""
+    key = F.col("item_id").cast("string")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("p", "w"))
+    index = b.groupBy("item_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("item_id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("w", "ps")), lambda e: e["w"].isNotNull())).alias("abstract_inverted_index"))
+    landing = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/"), key)).otherwise("https://example.org")
+    rec = index.select(
+        F.concat(F.lit("https://openalex.org/W"), key).alias("id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("https://doi.org/10.1/"), key)).otherwise("").alias("doi"), F.lit(None).cast("string").alias("title"),
+        F.when(F.col("item_id") % 5 != 0, 2000 + F.col("item_id") % 20).cast("int").alias("publication_year"), F.lit("2020-01-01").alias("publication_date"), "abstract_inverted_index",
+        F.struct(landing.alias("landing_page_url"), F.struct(F.lit("venue").alias("display_name")).alias("source")).alias("primary_location"), F.lit("article").alias("type"),
+        F.when(F.col("item_id") % 4 != 0, F.col("item_id")).cast("long").alias("cited_by_count"), F.struct(F.lit(None).cast("string").alias("pmid")).alias("ids"),
+    )
+    out = records.from_openalex(rec, "arxiv")
+    return out.select("id", "year", F.md5("abstract").alias("digest"), "url", F.col("extra.cited_by").alias("cited"))
+
+
+@_query("""SELECT CAST(l_orderkey AS VARCHAR) AS id, CAST(year AS INTEGER) AS year, date, concat('https://patents.google.com/patent/', l_orderkey) AS url, CAST(l_linenumber AS VARCHAR) AS title FROM (
+ SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate) AS r FROM (SELECT l_orderkey, l_linenumber, l_shipdate, year(l_shipdate) AS year, strftime(l_shipdate, '%d/%m/%Y') AS date FROM lineitem WHERE l_linenumber % 3 <> 1)) WHERE r = 1""")
+def patent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as rows of a patent export: rows without a date go, then the first row of an id stays."""
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.select(
+        (F.col("l_linenumber") * 100_000 + F.datediff("l_shipdate", F.lit("1990-01-01"))).cast("long").alias("k"), F.concat(F.lit(" "), F.col("l_orderkey").cast("string")).alias("id"), F.col("l_linenumber").cast("string").alias("title"), F.lit("x").alias("assignee"),
+        F.when(F.col("l_linenumber") % 3 != 1, F.date_format("l_shipdate", "dd/MM/yyyy")).otherwise("none").alias("filing/creation date"), F.lit("19990101").alias("publication date"), F.lit("").alias("result link"), F.lit("a.csv").alias("file"),
+    )
+    return records.from_patent_csv(rows).select("id", "year", "date", "url", "title")
+
+
+@_query("""SELECT concat(c_custkey, 'v2') AS id, c_name || ' ' || c_mktsegment AS title, CAST(1990 + c_custkey % 30 AS INTEGER) AS year, concat(1990 + c_custkey % 30, '-05-06') AS date, CASE WHEN c_custkey % 2 = 0 THEN 'cs.AI,' || c_mktsegment ELSE '' END AS venue FROM customer""")
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as entries of a feed: ids from URLs, titles on one line, years from timestamps, tags that may be missing."""
+    c, year = table(spark, sf_dir, "customer"), (1990 + F.col("c_custkey") % 30).cast("string")
+    rec = c.select(
+        F.concat(F.lit("http://arxiv.org/abs/"), F.col("c_custkey").cast("string"), F.lit("v2")).alias("id"), F.concat(F.lit("\n  "), "c_name", F.lit("\n "), "c_mktsegment").alias("title"), F.lit(None).cast("string").alias("summary"),
+        F.concat(year, F.lit("-05-06T07:08:09Z")).alias("published"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("cs.AI"), F.col("c_mktsegment"))).alias("tags"), F.lit("cs.AI").alias("primary_category"),
+    )
+    return records.from_arxiv(rec).select("id", "title", "year", "date", "venue")
+
+
+@_query("SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 2014 + doc_id % 13 WHEN doc_id % 4 = 2 THEN 1999 ELSE NULL END AS INTEGER) AS year FROM documents")
+def year_of_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year of raw lines before they are parsed: the first four digits after the key, or none."""
+    from .sources.jsonl import year_of_line as year
+
+    d = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 4)
+    number = (2014 + F.col("doc_id") % 13).cast("string")
+    line = F.when(F.col("k") == 0, F.lit('{"id": "a"}')).when(F.col("k") == 1, F.concat(F.lit('{"id": "a", "year":  '), number, F.lit("}"))).when(F.col("k") == 2, F.lit('{"year":1999, "x": {"year": 2001}}')).otherwise('{"year": 12}')
+    return d.select("doc_id", year(line).alias("year"))
+
+
 # --- text -----------------------------------------------------------------------------------------
 
 _BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -187,7 +244,14 @@ def normalise_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(n).cast("long").alias("chars"), F.md5(n).alias("digest"))
 
 
-@_query()
+_ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">"}
+_UNESCAPED = "text"
+for _k, _v in _ENTITIES.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, {sql_text(_k)}, {sql_text(_v)})"
+_UNESCAPED = f"regexp_replace({_UNESCAPED}, '&amp;?', '&', 'g')"
+
+
+@_query(f"WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT page_id, html FROM pages), u AS (SELECT doc_id, {_UNESCAPED} AS text FROM d) SELECT doc_id, md5({_NORM}) AS digest FROM u")
 def normalise_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text").union(table(spark, sf_dir, "pages").select("page_id", "html"))
     return d.select("doc_id", F.md5(textnorm.normalise(F.col("text"))).alias("digest"))
@@ -223,6 +287,18 @@ def doc_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(textnorm.ngrams(F.col("text"))).cast("long").alias("grams"))
 
 
+_ODD = ("CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS title", "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '' ELSE text END AS abstract")
+
+
+@_query(f"SELECT doc_id, md5(concat(coalesce(title, ''), '. ', coalesce(abstract, ''))) AS digest FROM (SELECT doc_id, {", ".join(_ODD)} FROM documents)")
+def text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and abstract as one text; null parts count as empty."""
+    from .schema import full_text
+
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", *_ODD)
+    return d.select("doc_id", F.md5(full_text(F.col("title"), F.col("abstract"))).alias("digest"))
+
+
 # --- matching -------------------------------------------------------------------------------------
 
 
@@ -260,6 +336,18 @@ def plural_and_hyphen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(F.col("p_name").rlike(presence(["hot-ring", "Hot rod"]))).groupBy(F.col("p_name").alias("text")).agg(F.count("*").alias("parts"))
 
 
+_RAW = ("re:(?i)HO[T]\\s+r\\w+", "re:(?:gizmo|widget)$", "cold gear")
+
+
+@_query(f"WITH {DL} SELECT text, count(*) AS docs FROM dl WHERE regexp_matches(text, {sql_text('(?i:HO[T]' + chr(92) + 's+r' + chr(92) + 'w+)')}) OR regexp_matches(text, '(?:gizmo|widget)$') OR regexp_matches(text, {sql_text(linear_presence(['cold gear']))}) GROUP BY text")
+def raw_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concept whose synonyms are raw patterns, one of them in any case, beside a plain one."""
+    from .taxonomy import Concept
+
+    raw = Concept("RAW", "raw", "x", _RAW)
+    return line_docs(spark, sf_dir).where(match.has_concept(F.col("text"), raw)).groupBy("text").agg(F.count("*").alias("docs"))
+
+
 _SYN = " UNION ALL ".join(
     f"SELECT *, {sql_text(c.key)} AS concept, CASE " + " ".join(f"WHEN regexp_matches(text, {sql_text(linear_presence([s]))}) THEN {sql_text(s)}" for s in c.synonyms) + f" END AS synonym FROM m WHERE in_domain AND {sql_flag(PARTS, c.key)}" for c in PARTS.concepts
 )
@@ -271,6 +359,13 @@ def synonym_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("concept", "synonym", "text").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
 
 
+@_query(f"WITH {M}, s AS ({_SYN}) SELECT concept, synonym, count(*) AS docs, count(*) AS occurrences FROM s GROUP BY concept, synonym")
+def hit_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of a document as a map of maps, read key by key."""
+    m = match.with_hits(matched_lines(spark, sf_dir), PARTS).select(F.explode(match.hit_map(F.col("hits"))).alias("concept", "m"))
+    return m.select("concept", F.explode("m").alias("synonym", "n")).groupBy("concept", "synonym").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
+
+
 @_query(f"WITH m AS (SELECT item_id, text FROM benchmark), {sql_hits(PROSE, gated=False)} SELECT item_id, concept FROM hits")
 def keyword_tester(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").withColumn("text", F.col("text"))
@@ -285,6 +380,22 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_totals(matched_lines(spark, sf_dir)), "abstract_rate")
 
 
+@_query(f"""WITH {M}, {T}, mt AS (SELECT DISTINCT source, year, 1000 * (year - 1990) AS total FROM t WHERE source <> 'R')
+ SELECT t.source, t.year, fetched, in_domain, CAST(coalesce(total, fetched) AS DOUBLE) AS source_total, round(CAST(coalesce(total, fetched) AS DOUBLE) / fetched, 6) AS scale FROM t LEFT JOIN mt ON mt.source = t.source AND mt.year = t.year""")
+def totals_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals scaled to what the sources report; a source without a report keeps what was analysed."""
+    counts = measures.year_counts(matched_lines(spark, sf_dir))
+    meta = counts.where("source <> 'R'").select("source", "year", (1000 * (F.col("year") - 1990)).alias("total"))
+    return rounded(measures.totals(counts, AS_OF_LINES, meta).select("source", "year", "fetched", "in_domain", "source_total", "scale"), "scale")
+
+
+@_query(f"WITH {M} SELECT source, year, count(*) AS docs FROM m WHERE year IN (1994, 1996, 1998) GROUP BY source, year")
+def years_of_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only years that the metadata know count."""
+    years = spark.createDataFrame([(1994,), (1996,), (1998,), (2050,)], "year int")
+    return matched_lines(spark, sf_dir).join(F.broadcast(years), "year", "left_semi").groupBy("source", "year").agg(F.count("*").alias("docs"))
+
+
 _SAMPLED = f"""s AS (SELECT *, unnest([source, 'all']) AS tag FROM m), yn AS (SELECT year, count(*) AS sample_n FROM m GROUP BY year), sd AS (SELECT s.tag AS source, s.year, count(*) AS fetched, count(*) FILTER (WHERE in_domain) AS in_domain_analysed,
  1000.0 * (s.year - 1990) * count(*) FILTER (WHERE in_domain) / max(sample_n) AS in_domain, 1000.0 * (s.year - 1990) * count(*) / max(sample_n) AS source_total FROM s JOIN yn ON yn.year = s.year WHERE s.tag IN ('all', 'A', 'R') GROUP BY s.tag, s.year)"""
 
@@ -360,6 +471,12 @@ def first_peak_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _growth(spark, sf_dir).select("source", "concept", "first_year_ge3", "peak_year")
 
 
+@_query(f"""{G}, sp AS (SELECT source, concat(min(year) FILTER (WHERE age <= 3), '-', max(year) FILTER (WHERE age <= 3)) AS recent_years, concat(min(year) FILTER (WHERE age BETWEEN 4 AND 6), '-', max(year) FILTER (WHERE age BETWEEN 4 AND 6)) AS prior_years FROM y GROUP BY source)
+ SELECT g.source, concept, recent_years, prior_years FROM g JOIN sp ON sp.source = g.source""")
+def growth_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _growth(spark, sf_dir).select("source", "concept", "recent_years", "prior_years")
+
+
 _LIFT = f"""WITH {HR}, {P}, k AS (SELECT source, concept, count(*) AS n FROM hits GROUP BY source, concept), dm AS (SELECT source, CAST(count(*) FILTER (WHERE in_domain) AS DOUBLE) AS in_domain FROM m GROUP BY source),
  co AS (SELECT p.source, concept_a, concept_b, docs_both, ka.n AS docs_a, kb.n AS docs_b, dm.in_domain, docs_both * dm.in_domain / greatest(ka.n * kb.n, 1) AS lift, docs_both * 1.0 / greatest(ka.n + kb.n - docs_both, 1) AS jaccard
  FROM p JOIN k ka ON ka.source = p.source AND ka.concept = concept_a JOIN k kb ON kb.source = p.source AND kb.concept = concept_b JOIN dm ON dm.source = p.source)"""
@@ -386,6 +503,14 @@ def examples_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.examples(matched_lines(spark, sf_dir), AS_OF_LINES).drop("url")
 
 
+@_query(f"""WITH {H}, b AS (SELECT source, concept, id, cited, year, text, row_number() OVER (PARTITION BY source, concept, id ORDER BY cited DESC, year DESC, text DESC) AS r FROM hits WHERE year >= {AS_OF_LINES - 3}),
+ x AS (SELECT *, row_number() OVER (PARTITION BY source, concept ORDER BY cited DESC, year DESC, id DESC, text DESC) AS rank FROM b WHERE r = 1) SELECT CAST(row_number() OVER (ORDER BY source, concept, rank) AS INTEGER) AS line, source, concept, id FROM x WHERE rank <= 3""")
+def example_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of examples with the line that each stands on; it has three rows a source and concept."""
+    rows = views.example_list(measures.examples(matched_lines(spark, sf_dir), AS_OF_LINES))
+    return rows.select(F.row_number().over(Window.orderBy("source", "concept", "rank")).alias("line"), "source", "concept", "id")
+
+
 @_query(f"WITH {M}, {T} SELECT CAST(sum(fetched) AS BIGINT) AS docs_analysed, CAST(sum(in_domain_analysed) AS BIGINT) AS docs_in_domain_analysed, sum(in_domain) AS corpus_in_domain_est, list_aggregate(list_sort(list(DISTINCT year)), 'string_agg', ',') AS years FROM t")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = measures.summary(_totals(matched_lines(spark, sf_dir)))
@@ -521,6 +646,13 @@ def headline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(views.line_table(_tables(spark, sf_dir)[2], ["GEAR", "HOT"]), "share_pct", "last_share")
 
 
+@_query(f"""{CY}, l AS (SELECT source, concept, share_pct AS last_share FROM (SELECT *, row_number() OVER (PARTITION BY source, concept ORDER BY year DESC) AS r FROM cy WHERE NOT partial_year) WHERE r = 1),
+ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY round(last_share, 9) DESC, concept) AS INTEGER) AS rank FROM l) SELECT source, concept, rank, round(last_share, 6) AS last_share FROM k WHERE rank <= 4""")
+def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = views.line_table(_tables(spark, sf_dir)[2], PARTS.keys).withColumn("last_share", F.round("last_share", 9))
+    return rounded(views.labelled_lines(lines), "last_share").select("source", "concept", "rank", "last_share")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _ALL.items()}
 

@@ -89,8 +89,8 @@ def warehouse_filter(rows: DataFrame, first: int, last: int, cpc_prefix: str, ki
 
 
 def hash_sample(rows: DataFrame, key: str, share: int) -> DataFrame:
-    """The same n-th of all keys in every run."""
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)
+    """The same n-th of all keys in every run and every engine with MD5: by the first eight hexadecimal digits."""
+    return rows.where(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % share == 0)
 
 
 def from_warehouse(rows: DataFrame) -> DataFrame:
