@@ -38,6 +38,8 @@ from .workspace import bounded_batches, bucket_edges, buckets, dropped, hashed_w
 CELLS, SLICES = 1 << 22, 64
 PARITY = 16
 FLAGS = 1 << 22
+#: Pairs of one node that one task verifies.
+PAIRS = 64
 
 
 def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -267,10 +269,14 @@ class Join:
         flags[got["word"].to_numpy()] = got["bits"].to_numpy(np.int64).view(np.uint64)
         shared = spark.sparkContext.broadcast(flags.tolist())
         sets = self.text.select("text").mapInArrow(lambda it: _sets(it, k, shared), "node long, hashes binary").dropDuplicates(["node"])  # shuffled once for both joins
-        with_v = close.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("hashes_v")), "v")
-        both = with_v.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("hashes_u")), "u").select("u", "v", "hashes_u", "hashes_v")
+        # a node with many pairs is copied, so that its pairs are dealt to several tasks
+        many = stored(close.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).where("parts > 1"), "many")
+        salted = close.join(many, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+        copies = sets.select(F.col("node").alias("u"), F.col("hashes").alias("hashes_u")).join(many, "u", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        with_v = salted.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("hashes_v")), "v")
+        both = with_v.join(copies, ["u", "salt"]).select("u", "v", "hashes_u", "hashes_v")
         links = stored(both.mapInArrow(lambda it: _verified(it, num, den), "u long, v long"), "links")
-        dropped(close)
+        dropped(close, many)
         return links
 
     def star_pairs(self, shared: DataFrame) -> DataFrame:
