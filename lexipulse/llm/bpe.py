@@ -57,6 +57,9 @@ class Bpe:
             raise ValueError(f"{path}: not a word-end BPE vocabulary of the supported kind")
         library = Tokenizer.from_file(path)
         self._normalise, self._pretokenise = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        every = "".join(map(chr, range(33, 127)))
+        if self._normalise(every) != every.lower() or self._normalise("ÀÖØÞßĄŽɎ") != "àöøþßąžɏ":  # what words of Latin letters rely on
+            raise ValueError(f"{path}: its normaliser does more than lower the case of Latin text")
         vocab = dict(model["vocab"])
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*vocab.values(), *added.values()]) + 1

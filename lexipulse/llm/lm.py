@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .workspace import bounded_batches, bucket_edges, buckets, first_of_runs, hashed_words, only_cache, pack_sorted, shuffle_parts, text_blocks, unpack_sorted, window_hashes
+from .workspace import bounded_batches, bucket_edges, buckets, by_number, first_of_runs, hashed_words, only_cache, pack_sorted, shuffle_parts, text_blocks, unpack_sorted, window_hashes
 
 
 def pack_counts(n: np.ndarray) -> bytes:
@@ -171,6 +171,6 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
         else:
             asked = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asker(n, k), ASK)
         # dealt by block here, so that later orders read this exchange again instead of counting anew
-        got = asked.groupBy("bucket").applyInArrow(_count, ANSWER).repartition(shuffle_parts(spark), "block")
+        got = by_number(by_number(asked, "bucket", n).groupBy("bucket").applyInArrow(_count, ANSWER), "block", shuffle_parts(spark))
         answers = got if answers is None else answers.union(got)
     return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, n, alpha, tokens, order), "doc_id long, n_words long, log_score double, mean_log_score double")

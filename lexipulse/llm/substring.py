@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .workspace import CACHES, WordHashes, bounded_batches, bucket_edges, buckets, first_of_runs, only_cache, pack_sorted, text_blocks, unpack_sorted, window_hashes
+from .workspace import CACHES, WordHashes, bounded_batches, bucket_edges, buckets, by_number, first_of_runs, only_cache, pack_sorted, shuffle_parts, text_blocks, unpack_sorted, window_hashes
 
 PERIOD, COVER = 7, (0, 1, 3)
 NO_ID = np.int64(2**63 - 1)
@@ -140,7 +140,7 @@ def _unpack_ids(raw: bytes) -> np.ndarray:
 
 
 def _smallest(table: pa.Table) -> pa.Table:
-    """For each block of a bucket, the windows that two blocks hold or that start in two of its documents, with the smallest doc_id."""
+    """For each block of a bucket, all windows it asked for, with the smallest doc_id that they start in."""
     asked = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
     ids = [_unpack_ids(x) for x in table.column("extra").to_pylist()]
     h, key = np.concatenate(asked), np.concatenate(ids)
@@ -191,11 +191,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, digest: bool = False) ->
         raise ValueError(f"window must be at least {PERIOD}")
     spark = docs.sparkSession
     bounded_batches(spark)
-    n, base = buckets(spark), text_blocks(docs)
+    n, base, blocks = buckets(spark), text_blocks(docs, per_part=2), 2 * shuffle_parts(spark)
     message = "block int, bucket int, hashes binary, extra binary"
     anchors = base.groupBy("block").applyInArrow(lambda t: _ask_anchors(t, window, n), message)
-    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, "block int, bucket int, hashes binary")
+    shared = by_number(by_number(anchors, "bucket", n).groupBy("bucket").applyInArrow(_shared_anchors, "block int, bucket int, hashes binary"), "block", blocks)
     asked = base.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _ask_windows(a, b, window, n), message)
-    known = asked.groupBy("bucket").applyInArrow(_smallest, message)
+    known = by_number(by_number(asked, "bucket", n).groupBy("bucket").applyInArrow(_smallest, message), "block", blocks)
     text = "kept_sha256 string" if digest else "kept string"
     return base.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _kept(a, b, window, digest), f"doc_id long, n_words long, n_removed long, {text}")

@@ -214,17 +214,25 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 # --- blocks of documents and buckets of hashes ---------------------------------------------------
 
 def text_blocks(docs: DataFrame, per_part: int = 2) -> DataFrame:
-    """block, doc_id, text: documents dealt by hash to a few blocks for each shuffle partition.
+    """block, doc_id, text: documents dealt by hash to a few blocks for each shuffle partition, block i to partition i.
 
     The block of a row depends on the row alone, and the exchange is the same wherever it is used in a plan, so Spark
-    shuffles the texts once and every stage that takes blocks reads that shuffle again.
+    shuffles the texts once and every stage that takes blocks reads that shuffle again. Equal rows lie in one block;
+    their texts are one entry of a message, however many they are.
     """
     from pyspark.sql import functions as F
 
-    n = shuffle_parts(docs.sparkSession)
+    n = per_part * shuffle_parts(docs.sparkSession)
     text = docs["text"].cast("string")
-    block = F.pmod(F.xxhash64(docs["doc_id"], text), F.lit(per_part * n)).cast("int")
-    return docs.select(block.alias("block"), "doc_id", text.alias("text")).repartition(n, "block")
+    block = F.pmod(F.xxhash64(docs["doc_id"], text), F.lit(n)).cast("int")
+    return by_number(docs.select(block.alias("block"), "doc_id", text.alias("text")), "block", n)
+
+
+def by_number(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """``rows`` dealt so that number i of ``column`` (0 to n - 1) lies in partition i: even where a hash of few numbers is not."""
+    from pyspark.sql import functions as F
+
+    return rows.repartitionById(n, F.col(column))
 
 
 def buckets(spark: SparkSession) -> int:
