@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lexipulse.llm import bpe, pii, quality, token_store, toxicity
+from lexipulse.llm import bpe, mixing, pii, quality, token_store, toxicity
 from lexipulse.llm.queries import VOCABULARY
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, decoded string, hashes string"
@@ -243,3 +244,172 @@ def test_rows_of_one_id_have_one_order(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [sorted((r.start, r.ids_crc32) for r in token_store.read_tokens(spark, token_store.write_tokens(d, VOCABULARY, 1), digest=True).collect()) for d in (docs, docs.orderBy("text"), docs.repartition(3))]
     assert len(got[0]) == 80 and got[0] == got[1] == got[2]
+
+
+def skip_grams(text, bits):
+    """Places of words, pairs and pairs with one word between, by their definition, in plain integers."""
+    m = (1 << 64) - 1
+    k = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    h = [xxhash.xxh3_64_intdigest(w.encode()) for w in re.findall(r"\w+", (text or "").lower())]
+    out = [mix(x) for x in h]
+    for gap in (1, 2):
+        out += [mix((a * k[gap - 1] + (b ^ k[2]) * k[gap]) & m) for a, b in zip(h, h[gap:])]
+    return {x >> (64 - bits) for x in out}
+
+
+def test_features_equal_plain_integers():
+    texts = [None, "", "one", "one two", "A b c a B", "x " * 9, "été naïve 12 _y"]
+    doc, place = toxicity.features(texts, 18)
+    for i, t in enumerate(texts):
+        assert set(place[doc == i].tolist()) == skip_grams(t, 18)
+
+
+def test_ftrl_equals_plain_python():
+    rng = random.Random(8)
+    rows = [(float(rng.random() < 0.4), np.array(sorted(rng.sample(range(12), rng.randrange(0, 6))), np.int64)) for _ in range(150)]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.3, 0.1
+    z, n = collections.defaultdict(float), collections.defaultdict(float)  # "b" is the bias, without L1
+
+    def weight(k):
+        cut = 0.0 if k == "b" else l1
+        return 0.0 if abs(z[k]) <= cut else -(z[k] - math.copysign(cut, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(2):
+        for label, at in rows:
+            keys = ["b", *at.tolist()]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for k in keys:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+    model = toxicity.fitted(rows, 5, 2, alpha, beta, l1, l2)
+    assert np.allclose(model.weights(np.arange(12)), [weight(k) for k in range(12)]) and math.isclose(model.bias, weight("b"), rel_tol=1e-9)
+    assert (model.weights(np.arange(12, 32)) == 0).all()
+
+
+def test_toxicity_bound_and_repeats(spark):
+    """At most ``most`` documents train, one row each, however often an id or a label is there."""
+    rng = random.Random(5)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:200]
+    text = {i: " ".join(rng.choice(["vile", "rotten"] if i % 4 == 0 and rng.random() < 0.3 else ["mild", "soft", "kind", "calm"]) for _ in range(30)) for i in ids}
+    docs = spark.createDataFrame([(i, t) for i, t in text.items()] * 1, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids] * 3 + [(10**6 + i, 1) for i in range(500)], "doc_id long, label int")
+    once = toxicity.train(docs, lab, bits=16, most=120, l1=0.2)
+    many = toxicity.train(docs.union(docs).union(docs.limit(50)), lab, bits=16, most=120, l1=0.2)
+    assert len(once[0]) and all(np.array_equal(a, b) for a, b in zip(once, many))
+    other = toxicity.train(docs.union(spark.createDataFrame([(ids[0], "")], "doc_id long, text string")), lab, bits=16, most=120, l1=0.2)
+    assert len(other[0])
+    scored = toxicity.toxicity(docs.union(docs), lab.selectExpr("doc_id", "label as toxic"), bits=16).collect()
+    assert len(scored) == 400 and len({(r.doc_id, r.score) for r in scored}) == 200
+    long = spark.createDataFrame([(ids[0], " ".join(f"w{i}" for i in range(9000))), (ids[1], "mild " * 50)], "doc_id long, text string")
+    assert len(toxicity.train(long, spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, label int"), bits=16, places=100, l1=0.0)[0]) <= 102
+
+
+def median(values):
+    v = sorted(values)
+    return v[(len(v) - 1) // 2]
+
+
+def character_losses(texts, order=3):
+    """Mean log loss a character of each text by interpolated modified Kneser-Ney, with dictionaries of strings."""
+    table = quality.symbol_table()
+    rows = [[0] * (order - 1) + [int(table[ord(c)]) for c in t or ""] for t in texts]
+    top = collections.Counter(tuple(r[i - order + 1 : i + 1]) for r in rows for i in range(order - 1, len(r)))
+    counts = {order: top}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[-k:] for g in counts[k + 1])
+    cut = {}
+    for k, c in counts.items():
+        n = [sum(v == x for v in c.values()) for x in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        cut[k] = [0.0] + [min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1)]
+    after = {k: collections.defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, v in c.items():
+            after[k][g[:-1]].append(v)
+
+    def p(g):
+        if not g:
+            return 1 / 64
+        k, seen = len(g), after[len(g)].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        v = counts[k].get(g, 0)
+        return (v - cut[k][min(v, 3)] + sum(cut[k][min(x, 3)] for x in seen) * p(g[1:])) / sum(seen)
+
+    return [-sum(math.log(p(tuple(r[i - order + 1 : i + 1]))) for i in range(order - 1, len(r))) / (len(r) - order + 1) if len(r) >= order else None for r in rows]
+
+
+def test_quality_verdict_by_brute_force(spark):
+    """log_perplexity, both bands and kept of every row, from the definitions; languages, nulls, repeats and odd columns."""
+    rng = random.Random(11)
+    vocabulary = {"en": [f"{a}{b}er" for a in "bcdfg" for b in "aeiou"], "de": [f"{a}ö{b}en" for a in "klmnp" for b in "rstvw"], None: ["x", "yz", "zzy", "w"]}
+    rows = []
+    for i in range(150):
+        lang = rng.choice(["en", "en", "de", None])
+        w = [rng.choice(vocabulary[lang]) for _ in range(rng.randrange(40, 120))]
+        if i % 25 == 7:
+            w = [x + rng.choice(["$$$", "%%%"]) for x in w]
+        rows.append((i if i % 40 else None, " ".join(w), lang))
+    rows += [(200, None, "en"), (201, "", None), (202, "b" * 40_000, "en"), rows[7], rows[7], (7, rows[8][1], "en")]
+    names = ["row", "key", "doc", "slot", "tongue", "kept", "median", "lower", "quality_slot"]
+    docs = spark.createDataFrame([(*r, *["c"] * len(names)) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in names))
+    got = quality.quality(docs).collect()
+    assert len(got) == len(rows)
+    loss, word = {}, {}
+    band, word_band = {}, {}
+    for lang in ("en", "de", None):
+        at = [i for i, r in enumerate(rows) if r[2] == lang]
+        for i, x in zip(at, character_losses([rows[i][1] for i in at])):
+            loss[i] = x
+        own = {i: collections.Counter((rows[i][1] or "").split()) for i in at}
+        every, total = sum(own.values(), collections.Counter()), sum(sum(c.values()) for c in own.values())
+        for i in at:
+            n = sum(own[i].values())
+            real = sum(k for w, k in own[i].items() if re.search(r"[A-Za-z0-9\x80-\U0010ffff]", w))
+            rest = max(total - n, 1)
+            word[i] = round((n * math.log(rest) - sum(k * math.log(max(every[w] - k, 0.4)) for w, k in own[i].items())) / max(real, 1), 6) if n else None
+        for values, out, wide in ((loss, band, lambda d: (max(8 * 1.4826 * d, 0.6), max(8 * 1.4826 * d, 1.5))), (word, word_band, lambda d: (6 * 1.4826 * d,) * 2)):
+            have = [values[i] for i in at if values[i] is not None]
+            m = median(have)
+            low, high = wide(median([abs(x - m) for x in have]))
+            out[lang] = (m - low, m + high)
+    want = collections.Counter()
+    for i, (d, t, lang) in enumerate(rows):
+        w = (t or "").split()
+        c = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {j + k for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for k in range(3)}
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        inside = loss[i] is None or band[lang][0] <= loss[i] <= band[lang][1]
+        known = word[i] is None or word_band[lang][0] - 1e-6 <= word[i] <= word_band[lang][1] + 1e-6
+        want[d, len(w), failed, not failed and inside and known, None if loss[i] is None else round(loss[i], 5)] += 1
+    have = collections.Counter((r.doc_id, r.n_words, r.base_failed, r.kept, None if r.log_perplexity is None else round(r.log_perplexity, 5)) for r in got)
+    assert have == want
+    kept = quality.kept_documents(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, len((r.text or "").split())) for r in kept.collect()) == collections.Counter((k[0], k[1]) for k, n in want.items() for _ in range(n) if k[3])
+
+
+def test_stages_pass_any_columns(spark):
+    """Every working name as a column of its own, with null and repeated ids: rows and columns come through whole."""
+    names = ["row", "base", "found", "email", "iban", "account", "pii_email", "mix_source", "mix_block", "mix_tokens", "mix_epoch", "mix_copies", "Found", "place", "tokens", "whole", "rest", "blocks", "a.b", "x y"][:-2]
+    names.remove("Found")
+    rows = [(None, "mail a@b.co", "s"), (1, "mail a@b.co", "s"), (1, "clean", None), (1, "mail a@b.co", "s"), (None, None, "t"), (2, "", "t")]
+    docs = spark.createDataFrame([(*r, *[f"{c}!" for c in names], "dot") for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names) + ", `a.b` string")
+    clean = pii.redacted(docs)
+    assert clean.columns == docs.columns
+    got = clean.collect()
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in spark.createDataFrame([(d, t and t.replace("a@b.co", "[EMAIL]"), s, *[f"{c}!" for c in names], "dot") for d, t, s in rows], docs.schema).collect())
+    found = pii.find_pii(docs)
+    assert found.columns == [c for c in docs.columns if c not in ("base", "found")] + ["base", "found"] and found.count() == 6
+    twice = mixing.mixed(docs, repeats=1.0)
+    assert twice.columns == docs.columns and sorted(map(repr, twice.collect())) == sorted(map(repr, docs.collect()))
