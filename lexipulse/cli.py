@@ -1,40 +1,82 @@
-"""Command line: analyze, report, test-keywords."""
+"""Command line: fetch, analyze, report, all, test-keywords.
+
+Fetching needs a client from outside (``--client module:function``): the engine makes the queries, keeps the ledger and
+takes the waits; the client sends one request and gives back records.
+"""
 
 from __future__ import annotations
 
 import argparse
 import datetime
+import importlib
 import json
+import time
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.textnorm import normalise
 from .operators import match
 from .plans import analysis, report
-from .sources import jsonl
+from .sources import jsonl, search
 from .taxonomy import Taxonomy, load
 
 
-def session() -> SparkSession:
-    return SparkSession.builder.appName("lexipulse").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+def session(workers: int | None = None) -> SparkSession:
+    """A session; ``workers`` threads of this machine where no cluster is named."""
+    b = SparkSession.builder.appName("lexipulse").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    return (b.master(f"local[{workers}]") if workers else b).getOrCreate()
+
+
+#: One request: (route, query, year) -> (done, documents of that year, wait asked for by the server).
+Client = Callable[[str, str, int], tuple[bool, Iterable[dict], float | None]]
+
+
+def fetched(client: Client, folder: str, route: str, taxonomy: Taxonomy, years: range, share: tuple[int, int] = (0, 1), sleep: Callable[[float], None] = time.sleep) -> int:
+    """Writes the documents of the domain's query, year by year, with the sidecar of totals; years the sidecar holds are done.
+
+    ``share`` (index, of) is one worker's part of the years. A year's lines are written before the sidecar names it, so a
+    run that was cut short asks for that year again; readers drop its repeated ids.
+    """
+    build = {"s2": search.bulk_query, "openalex": search.openalex_query, "ieee": search.ieee_query, "arxiv": search.arxiv_query}[route]
+    query, raw = build(taxonomy.domain_terms), Path(folder, f"{'arxiv_direct' if route == 'arxiv' else 'ieee_direct' if route == 'ieee' else 'openalex_arxiv' if route == 'openalex' else 's2_sample'}.jsonl")
+    raw.parent.mkdir(parents=True, exist_ok=True)
+    meta = jsonl.sidecar(raw)
+    meta = meta if meta.get("query") == query else {"source": route, "query": query, "years": {}}
+    for year in search.shard([y for y in years if str(y) not in meta["years"]], *share):
+        docs = list(search.BACKOFF[route].call(lambda: client(route, query, year), sleep))
+        with raw.open("a", encoding="utf-8") as out:
+            out.writelines(json.dumps(d, ensure_ascii=False) + "\n" for d in docs)
+        meta["years"][str(year)] = {"total": len(docs), "fetched": len(docs)}
+        raw.with_name(raw.stem + "_meta.json").write_text(json.dumps(meta, indent=2), encoding="utf-8")
+    return sum(v["fetched"] for v in meta["years"].values())
 
 
-def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: int, window: int, wanted: list[str] | None, keep: str | None = None) -> analysis.Result:
-    """Runs the analysis that the raw files of a folder call for; n-gram counts are kept in ``keep`` between runs."""
+def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: int, window: int, wanted: list[str] | None, keep: str | None = None, stage: str | None = None) -> analysis.Result:
+    """Runs the analysis that the raw files of a folder call for.
+
+    N-gram counts are kept in ``keep`` between runs, documents by source and year in ``stage``: a run over the same files
+    parses no line again and reads only the partitions it needs.
+    """
+
+    def read(paths: list, **own) -> DataFrame:
+        make = lambda: jsonl.read_tolerant(spark, [str(p) for p in paths]).withColumns(own)
+        return jsonl.staged(spark, stage, jsonl.fingerprint(paths, *sorted(own)), make) if stage else make()
+
     found = jsonl.discover(folder, wanted)
     if not found:
         raise SystemExit(f"no raw documents in {folder}")
     if "s2" in found:
         metas = [json.loads(p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("s2_meta*.json"))]
         years, cut = jsonl.pool_meta(spark, metas)
-        sample = jsonl.read_tolerant(spark, [str(Path(folder, "s2_sample.jsonl"))])
+        sample = read([Path(folder, "s2_sample.jsonl")])
         kept = (keep, jsonl.fingerprint([Path(folder, "s2_sample.jsonl"), Path(folder, "s2_meta.json")])) if keep else None
-        return analysis.two_pool(sample, jsonl.read_tolerant(spark, [str(p) for p in found["s2"]]), taxonomy, years, cut, as_of_year, recent_window=window, kept=kept)
+        return analysis.two_pool(sample, read(found["s2"]), taxonomy, years, cut, as_of_year, recent_window=window, kept=kept)
     docs = meta = None
     for source, paths in found.items():
-        one = jsonl.read_tolerant(spark, [str(p) for p in paths]).withColumn("source", F.lit(source))
+        one = read(paths, source=F.lit(source))
         total = jsonl.year_totals(spark, source, jsonl.sidecar(paths[0]))
         docs, meta = (one, total) if docs is None else (docs.unionByName(one), meta.unionByName(total))
     kept = (keep, jsonl.fingerprint([p for paths in found.values() for p in paths])) if keep else None
@@ -52,23 +94,43 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="lexipulse")
     p.add_argument("--taxonomy", required=True)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("analyze", "report"):
+    for name in ("fetch", "analyze", "report", "all"):
         c = sub.add_parser(name)
         c.add_argument("raw")
+        if name in ("fetch", "all"):
+            c.add_argument("--client", required=name == "fetch", help="module:function that sends one request")
+            c.add_argument("--via", choices=["s2", "openalex", "ieee", "arxiv"], default="s2")
+            c.add_argument("--years", default="2014-2026")
+            c.add_argument("--shard", default="0/1", help="part i of n, as i/n")
+        if name == "fetch":
+            continue
         c.add_argument("out")
+        c.add_argument("--workers", type=int, help="threads of this machine; without it, the session's own master")
         c.add_argument("--sources", nargs="*")
         c.add_argument("--recent-window", type=int, default=3)
         c.add_argument("--as-of-year", type=int, default=datetime.date.today().year)
         c.add_argument("--main-source", default="all")
         c.add_argument("--keep", help="folder for n-gram counts kept between runs")
+        c.add_argument("--stage", help="folder for documents by source and year kept between runs")
     sub.add_parser("test-keywords").add_argument("text")
     a = p.parse_args(argv)
-    spark, taxonomy = session(), load(a.taxonomy)
+    taxonomy = load(a.taxonomy)
+    if getattr(a, "client", None):
+        module, _, name = a.client.partition(":")
+        index, _, of = a.shard.partition("/")
+        print(fetched(getattr(importlib.import_module(module), name), a.raw, a.via, taxonomy, search.year_range(a.years), (int(index), int(of or 1))), "documents")
+    if a.command == "fetch":
+        return
+    spark = session(getattr(a, "workers", None))
     if a.command == "test-keywords":
         print(tested(spark, taxonomy, a.text))
         return
-    result = analysed(spark, a.raw, taxonomy, a.as_of_year, a.recent_window, a.sources, a.keep)
-    if a.command == "analyze":
+    result = analysed(spark, a.raw, taxonomy, a.as_of_year, a.recent_window, a.sources, a.keep, a.stage)
+    if a.command in ("analyze", "all"):
         result.write(a.out)
-    else:
-        report.build(result, a.main_source, a.out)
+    if a.command in ("report", "all"):
+        report.build(result, a.main_source, a.out if a.command == "report" else str(Path(a.out, "report.html")))
+
+
+if __name__ == "__main__":
+    main()

@@ -63,11 +63,14 @@ class Result:
         return measures.summary(self.totals, self.two_pool).withColumns({"partial_year": F.lit(self.as_of_year), "recent_window": F.lit(self.recent_window), "mode": F.lit("two-pool" if self.two_pool else "plain")})
 
     def write(self, folder: str) -> None:
-        """Each table as Parquet and as one CSV file, the matches by source and year, and summary.json."""
+        """Each table as Parquet and as one CSV file, the matches by source and year as Parquet and JSON, and summary.json."""
         for name in self.ORDER:
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
             self.ordered(name).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
-        self.matched.where(F.size("concepts") > 0).select("source", "year", "id", "hits", "cited", "title", "url").write.mode("overwrite").partitionBy("source", "year").parquet(f"{folder}/matches.parquet")
+        more = ["sources", "retrieved_for"] if self.two_pool else []
+        found = self.matched.where(F.size("concepts") > 0).select("source", "year", "id", "hits", "cited", "title", "url", *(c for c in more if c in self.matched.columns))
+        found.write.mode("overwrite").partitionBy("source", "year").parquet(f"{folder}/matches.parquet")
+        found.withColumn("concepts", match.hit_map(F.col("hits"))).drop("hits").write.mode("overwrite").partitionBy("source").json(f"{folder}/matches.json")
         Path(folder, "summary.json").write_text(json.dumps(self.summary().first().asDict(), indent=2))
 
 
@@ -114,7 +117,8 @@ def two_pool(sample: DataFrame, pool: DataFrame, taxonomy: Taxonomy, year_meta:
     s = match.with_matches(measures.first_wins(prepared(sample), *order_of(sample)).join(year_meta.select("year"), "year", "left_semi"), taxonomy).persist(StorageLevel.MEMORY_AND_DISK)
     total = measures.sampled_totals(s, list(tags), year_meta, as_of_year)
     one = measures.merged_retrieval(prepared(pool), *order_of(pool)).join(year_meta.select("year"), "year", "left_semi")
-    m = measures.by_tag(_matched(one, taxonomy).drop("source")).where(F.col("source").isin(*tags))
+    own = _matched(one, taxonomy).drop("source")
+    m = own.withColumn("source", F.explode("sources")).where(F.col("source").isin(*tags))
     gate = "retrieved_for"
     cy = measures.concept_year(measures.concept_counts(m, cut, gate), total, taxonomy, weighted=True)
     both = measures.cooccurrence(m, cy, total, gate if pairs == "gated" else None)

@@ -14,10 +14,17 @@ from .analysis import Result
 STYLE = "body{font:15px/1.5 system-ui,sans-serif;max-width:70rem;margin:2rem auto;padding:0 1rem}table{border-collapse:collapse}td,th{padding:.2rem .6rem;border-bottom:1px solid #ccc}td.n{text-align:right}svg{max-width:100%}tr.new{background:#fff4d6}@media(prefers-color-scheme:dark){body{background:#16181c;color:#e6e6e6}tr.new{background:#4a3b12}}"
 
 
-def shown(v: object) -> str:
+def shown(v: object, column: str = "") -> str:
+    """A value as text: shares in percent, growth as a multiple with an arrow, slopes with their sign, thousands grouped."""
     if v is None or v != v:
         return "–"
     if isinstance(v, float):
+        if column.endswith("_pct") or column == "pct":
+            return f"{v:.2f}%"
+        if column == "growth_ratio":
+            return f"{'▲' if v >= 1 else '▼'} {v:.2f}×"
+        if column in ("slope_pp_per_year", "delta_pp", "log2_ratio"):
+            return f"{v:+.3f}"
         return f"{v:,.2f}" if abs(v) < 1000 else f"{v:,.0f}"
     return f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) and abs(v) > 9999 else str(v)
 
@@ -26,7 +33,7 @@ def grid(df: DataFrame, mark: str | None = None) -> str:
     rows = df.collect()
     columns = [c for c in df.columns if c != mark]
     number = {c for c, t in df.dtypes if t in ("int", "bigint", "double", "float")}
-    cell = lambda c, v: f"<td{' class=n' if c in number else ''}>{html.escape(shown(v))}</td>"
+    cell = lambda c, v: f"<td{' class=n' if c in number else ''}>{html.escape(shown(v, c))}</td>"
     body = "".join(f"<tr{' class=new' if mark and r[mark] else ''}>" + "".join(cell(c, r[c]) for c in columns) + "</tr>" for r in rows)
     return "<table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in columns) + f"</tr>{body}</table>"
 

@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +21,16 @@ def read_strict(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_tolerant(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Documents with file_rank (place of the file in ``paths``) and line_key (byte-order key of the line).
+    """Documents with file_rank (place of the file in ``paths``) and line_key (order key of the line in its file).
 
     Malformed lines, such as the last of a file still being written, and lines without a four-digit year are left out.
-    Lines come from the text reader, whose task-wise growing ids keep their order within a file.
+    All files are one scan. A line's key is the start of its split and a number that grows within a task.
     """
-    lines = None
-    for rank, path in enumerate(paths):
-        one = spark.read.text(path).select(F.lit(rank).alias("file_rank"), F.monotonically_increasing_id().alias("line_key"), "value")
-        lines = one if lines is None else lines.unionByName(one)
+    names = [quote(p.split("://", 1)[-1], safe="/:@!$&'()*+,;=~-._") for p in paths]
+    at = F.col("_metadata.file_path")
+    rank = F.coalesce(*(F.when(at.endswith(n), F.lit(i)) for i, n in enumerate(names)), F.lit(len(paths))) if paths else F.lit(0)
+    lines = spark.read.text(paths) if paths else spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(F.lit("").alias("file_path"), F.lit(0).cast("long").alias("file_block_start")))
+    lines = lines.select(rank.alias("file_rank"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n")).alias("line_key"), "value")
     bad = T.StructType([*DOC.fields, T.StructField("_bad", T.StringType())])
     parsed = lines.withColumn("d", F.from_json("value", bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return parsed.where("d is not null and d._bad is null and d.id is not null and d.year between 1000 and 9999").select("d.*", "file_rank", "line_key").drop("_bad")
@@ -49,6 +51,14 @@ def stage(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("source", "year").parquet(path)
 
 
+def staged(spark: SparkSession, folder: str | Path, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The documents of this key by source and year; parsed and written first if they are not there whole."""
+    path = Path(folder) / f"documents-{key}.parquet"
+    if not (path / "_SUCCESS").exists():
+        stage(make(), str(path))
+    return spark.read.parquet(str(path)).withColumns({"source": F.col("source").cast("string"), "year": F.col("year").cast("int")})
+
+
 def fingerprint(paths: list[str | Path], *parts: object) -> str:
     """A key of raw files (name, size, time of change) and whatever else a derived table depends on."""
     files = [(str(p), Path(p).stat().st_size, Path(p).stat().st_mtime_ns) for p in sorted(map(str, paths))]

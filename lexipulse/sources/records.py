@@ -71,6 +71,15 @@ def from_arxiv(entries: DataFrame) -> DataFrame:
     )
 
 
+FEED = "id string, title string, summary string, published string, category array<struct<_term:string>>, primary_category struct<_term:string>"
+
+
+def read_feed(spark, paths: str | list[str]) -> DataFrame:
+    """Entries of Atom files as ``from_arxiv`` takes them; namespaces are ignored."""
+    xml = spark.read.schema(FEED).option("rowTag", "entry").option("ignoreNamespace", True).format("xml").load(paths)
+    return xml.select("id", "title", "summary", "published", F.transform("category", lambda c: c["_term"]).alias("tags"), F.col("primary_category._term").alias("primary_category"))
+
+
 def iso_date(yyyymmdd: Column) -> Column:
     s = yyyymmdd.cast("string")
     return F.when(F.length(s) == 8, F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2))).otherwise("")
@@ -105,25 +114,41 @@ def from_warehouse(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_patent_csv(spark, path: str) -> DataFrame:
-    """An export with or without a preamble line, header names in lower case, and file."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.monotonically_increasing_id().alias("k"))
-    head = [r.value for r in lines.orderBy("k").limit(2).collect()]  # preamble and header
-    at = next((i for i, v in enumerate(head) if v.replace('"', "").lower().startswith("id,")), 0)
-    header = spark.read.csv(spark.sparkContext.parallelize([head[at]])).first() if head else ()
-    names = [str(h).strip().lower() for h in header]
-    body = lines.where(~F.col("value").isin(head[: at + 1])).where(F.trim("value") != "")
-    kind = ", ".join(f"`{n}` string" for n in names)
-    return body.select("k", F.from_csv("value", kind).alias("r")).select("k", "r.*", F.lit(path.rsplit("/", 1)[-1]).alias("file"))
+#: Columns that an export may have at most.
+CSV_WIDTH = 64
+
+
+def read_patent_csv(spark, paths: str | list[str]) -> DataFrame:
+    """The rows of exports with or without a preamble line, in the order of ``paths``, under lower-case header names.
+
+    Quoted fields may hold line breaks, so a file is one task. k orders rows within a file, file_rank files; file is the
+    file's name; dated is the date column that comes first among those the file has.
+    """
+    out = None
+    cells = ", ".join(f"c{i} string" for i in range(CSV_WIDTH))
+    for rank, path in enumerate([paths] if isinstance(paths, str) else paths):
+        raw = spark.read.schema(cells).option("multiLine", True).option("escape", '"').csv(path).withColumn("k", F.monotonically_increasing_id())
+        clean = F.lower(F.trim(F.regexp_replace("c0", "\ufeff", "")))
+        head = [r for r in raw.orderBy("k").limit(2).collect()]  # preamble and header
+        at = next((r for r in head if str(r.c0 or "").replace("\ufeff", "").strip().lower() == "id"), head[0] if head else None)
+        if at is None:
+            continue
+        names = {str(v).replace("\ufeff", "").strip().lower(): f"c{i}" for i, v in reversed(list(enumerate(at[:CSV_WIDTH]))) if v is not None}
+        body = raw.where((F.col("k") > at.k) & ((clean != "id") | clean.isNull()))
+        dated = next((F.col(names[c]) for c in CSV_DATES if c in names), F.lit(None).cast("string"))
+        one = body.select(F.lit(rank).alias("file_rank"), "k", *(F.col(c).alias(n) for n, c in names.items()), dated.alias("dated"), F.lit(path.rsplit("/", 1)[-1]).alias("file"))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "file_rank int, k long, id string, dated string, file string")
 
 
 def from_patent_csv(rows: DataFrame) -> DataFrame:
-    """Rows of ``read_patent_csv``: the first date column that is there gives the year; rows without one go, then the first row of an id stays."""
+    """Rows of ``read_patent_csv``: the first date column that is there gives the year; rows without one go, then the first row of an id over all files stays."""
     pick = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in rows.columns else F.lit("")
-    date = pick(next((c for c in CSV_DATES if c in rows.columns), "no date"))
+    date = pick("dated" if "dated" in rows.columns else next((c for c in CSV_DATES if c in rows.columns), "no date"))
+    order = F.struct(*(c for c in ("file_rank", "k") if c in rows.columns))
     year = F.regexp_extract(date, r"(\d{4})", 1).try_cast("int")
     dated = rows.withColumns({"csv_year": year, "csv_date": date, "id": F.trim("id")}).where("csv_year is not null and id <> ''")
-    firsts = dated.groupBy("id").agg(F.min_by(F.struct("*"), "k").alias("r")).select("r.*")
+    firsts = dated.groupBy("id").agg(F.min_by(F.struct("*"), order).alias("r")).select("r.*")
     return as_docs(
         firsts, source=F.lit("google_patents"), id=F.col("id"), title=pick("title"), abstract=pick("abstract"), year=F.col("csv_year"), date=F.col("csv_date"), venue=F.lit("csv-export"), doc_type=F.lit("patent"),
         url=F.coalesce(filled(pick("result link")), F.concat(F.lit("https://patents.google.com/patent/"), F.col("id"))), extra_assignee=pick("assignee"), extra_file=F.col("file"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,9 @@ def any_of(terms: Iterable[str], joint: str = " OR ") -> str:
 
 
 def bulk_term(term: str) -> str:
-    """A term of letters and digits stays bare; any other is quoted, with single spaces for spaces and hyphens."""
+    """A term of letters and digits stays bare; any other is quoted once, with single spaces for spaces and hyphens."""
     bare = re.sub(r"[\s\-]+", " ", term.strip())
-    return bare if bare.isascii() and bare.isalnum() else f'"{bare}"'
+    return bare if bare.isascii() and bare.isalnum() else '"' + bare.strip('"') + '"'
 
 
 def bulk_query(terms: Iterable[str]) -> str:
@@ -28,15 +29,14 @@ def bulk_query(terms: Iterable[str]) -> str:
 
 def concept_query(synonyms: Iterable[str], extra: Iterable[str] = ()) -> str:
     """Plain synonyms, the joined form of those that have one of six characters or more, then extras; the first of equals stays."""
-    seen: dict[str, str] = {}
-    for s in (*synonyms, *extra):
-        if is_raw(s):
-            continue
+    forms = []
+    for s in filter(lambda x: not is_raw(x), synonyms):
         joined = re.sub(r"[\s\-]+", "", s)
-        wide = joined != s and joined.isascii() and joined.isalnum() and len(joined) >= 6 and s not in extra
-        for form in (s, joined) if wide else (s,):
-            seen.setdefault(bulk_term(form).lower(), bulk_term(form))
-    return any_of(seen.values(), " | ")
+        forms += [s, joined] if joined != s and joined.isascii() and joined.isalnum() and len(joined) >= 6 else [s]
+    first: dict[str, str] = {}
+    for term in map(bulk_term, [*forms, *extra]):
+        first.setdefault(term.lower(), term)
+    return any_of(first.values(), " | ")
 
 
 def openalex_query(terms: Iterable[str]) -> str:
@@ -54,15 +54,17 @@ def arxiv_query(terms: Iterable[str]) -> str:
 
 @dataclass(frozen=True)
 class Backoff:
-    """Waits of a connector: first wait, factor, longest wait, attempts."""
+    """Waits of a connector: first wait, factor, longest wait, attempts, and how long all waits may be together."""
 
     first: float
     factor: float
     longest: float
     attempts: int
+    total: float = float("inf")
 
     def waits(self) -> list[float]:
-        return [min(self.first * self.factor**i, self.longest) for i in range(self.attempts)]
+        every = [min(self.first * self.factor**i, self.longest) for i in range(self.attempts)]
+        return [w for w, before in zip(every, accumulate(every, initial=0.0)) if before < self.total]
 
     def call(self, request: Callable[[], tuple[bool, object, float | None]], sleep: Callable[[float], None]) -> object:
         """Calls ``request`` (done, result, wait asked for by the server) until done; the last failure is raised."""
@@ -71,11 +73,11 @@ class Backoff:
             if done:
                 return result
             sleep(min(max(wait, asked or 0), self.longest))
-        raise TimeoutError(f"no answer in {self.attempts} attempts")
+        raise TimeoutError(f"no answer in {len(self.waits())} attempts")
 
 
 # Waits by service
-BACKOFF = {"s2": Backoff(4, 1.8, 120, 12), "openalex": Backoff(3, 2, 600, 10), "arxiv": Backoff(5, 2, 60, 8), "ieee": Backoff(10, 1, 10, 10)}
+BACKOFF = {"s2": Backoff(4, 1.8, 120, 12), "openalex": Backoff(3, 2, 600, 10), "arxiv": Backoff(5, 2, 60, 12, 300), "ieee": Backoff(10, 1, 10, 10)}
 
 
 def year_range(spec: str) -> range:

@@ -74,7 +74,53 @@ def test_patent_csv(spark, tmp_path):
     assert got == [("A", "one, two", 2019, "https://patents.google.com/patent/A", "export.csv"), ("C", "three", 2021, "http://r", "export.csv")]
 
 
+def test_patent_csv_files_in_order(spark, tmp_path):
+    a, b, c = (tmp_path / n for n in ("a.csv", "b.csv", "c.csv"))
+    a.write_text('search URL:,https://x\nID,Title,Filing Date,Grant Date\nA,"two\nlines, ""quoted""",2018-01-01,2000\nB,early,,2019\n', encoding="utf-8")
+    b.write_text("\ufeffid,title,grant date,Abstract\nA,second file,2017,x\nB,B of b,2016-02-03,text\nid,title,grant date,Abstract\n", encoding="utf-8")
+    c.write_text("", encoding="utf-8")
+    got = sorted((r.id, r.title, r.year, r.abstract, r.extra.file) for r in records.from_patent_csv(records.read_patent_csv(spark, [str(a), str(b), str(c)])).collect())
+    assert got == [("A", 'two\nlines, "quoted"', 2018, "", "a.csv"), ("B", "B of b", 2016, "text", "b.csv")]
+    assert records.from_patent_csv(records.read_patent_csv(spark, [])).count() == 0
+
+
+def test_feed_file(spark, tmp_path):
+    (tmp_path / "feed.xml").write_text(
+        '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><title>q</title>'
+        '<entry><id>http://arxiv.org/abs/2001.1v1</id><title>A &amp; b\n  c</title><summary> s </summary><published>2020-05-06T07:08:09Z</published>'
+        '<arxiv:primary_category term="cs.AI"/><category term="cs.AI"/><category term="cs.LG"/></entry>'
+        "<entry><id>http://arxiv.org/abs/2001.2v3</id><title>T</title><published>2021-01-01T00:00:00Z</published></entry></feed>"
+    )
+    got = sorted((r.id, r.title, r.abstract, r.year, r.venue, r.extra.primary_category) for r in records.from_arxiv(records.read_feed(spark, str(tmp_path / "feed.xml"))).collect())
+    assert got == [("2001.1v1", "A & b c", "s", 2020, "cs.AI,cs.LG", "cs.AI"), ("2001.2v3", "T", "", 2021, "", None)]
+
+
+def test_fetch_hook_and_all(spark, tmp_path):
+    asked, slept = [], []
+
+    def client(route, query, year):
+        asked.append(year)
+        return (False, [], 7.0) if asked.count(year) == 1 and year == 2016 else (True, [json.loads(line(f"{year}-{i}", year)) for i in range(3)], None)
+
+    tax, raw = from_dict(TAX), str(tmp_path / "raw dir")
+    assert cli.fetched(client, raw, "arxiv", tax, range(2015, 2018), sleep=slept.append) == 9 and asked == [2015, 2016, 2016, 2017] and slept == [7.0]
+    assert cli.fetched(client, raw, "arxiv", tax, range(2015, 2019), sleep=slept.append) == 12 and asked[4:] == [2018]
+    r = cli.analysed(spark, raw, tax, 2019, 3, None, stage=str(tmp_path / "kept"))
+    again = cli.analysed(spark, raw, tax, 2019, 3, None, stage=str(tmp_path / "kept"))
+    key = lambda x: sorted(map(str, x.totals.collect()))
+    assert key(again) == key(r) and len(key(r)) == 4 and len(list((tmp_path / "kept").glob("documents-*"))) == 1
+    r.write(str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "matches.json")).where("concepts.GAN.GaN = 1").count() == 12
+
+
+def test_formats():
+    assert [report.shown(v, c) for v, c in ((12.346, "share_pct"), (0.5, "growth_ratio"), (2.0, "growth_ratio"), (0.1234, "slope_pp_per_year"), (1234567, "docs"), (None, "x"), (float("nan"), "pct"))] == ["12.35%", "▼ 0.50×", "▲ 2.00×", "+0.123", "1,234,567", "–", "–"]
+
+
 def test_queries_and_retries(spark):
+    assert search.bulk_query(['"quoted term"', " x "]) == '"quoted term" | x'
+    assert search.concept_query(["nano sheet"], ["nano sheet", "re:raw"]) == '"nano sheet" | nanosheet | "re:raw"'
+    assert sum(search.BACKOFF["arxiv"].waits()) >= 300 and sum(search.BACKOFF["arxiv"].waits()[:-1]) < 300
     assert search.bulk_query(["GaN", "thin film", "III-V"]) == 'GaN | "thin film" | "III V"'
     assert search.concept_query(["nano sheet", "re:x+", "nanosheet", "3D IC"], ["Nano-Sheet", "extra one"]) == '"nano sheet" | nanosheet | "3D IC" | "extra one"'
     assert search.openalex_query(["a", "b c"]) == 'a OR "b c"' and search.ieee_query(["a"]) == '"a"' and search.arxiv_query(["a", "b c"]) == '(abs:a OR abs:"b c")'
