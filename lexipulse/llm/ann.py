@@ -231,11 +231,8 @@ class Index:
         return entries.groupBy("piece").cogroup(probes.groupBy("piece")).applyInArrow(lambda a, b: _rerank(a, b, k, right, start), "query_id long, query_own long, vec_id long, own long, score double")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, cells: int = 64, sample: int = 16_384, rounds: int = 12, recall: float = 0.95, fitted: int = 64, piece: int = 8_192, block: int = 1_024, wave: int = 32_768, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for the rows of ``vectors`` (id, vector) where ``is_query``."""
-    index = Index(vectors, is_query, k, cells, sample, rounds, recall, fitted, piece, seed)
-    if index.empty:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+def answers(index: Index, k: int, block: int, wave: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found for the queries of an index."""
     waves = max(1, -(-index.queries.count() // wave))
     found = None
     for w in range(waves):
@@ -245,3 +242,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, cells: int = 64, sample: i
         best = stored(best, "wave") if waves > 1 else best
         found = best if found is None else found.union(best)
     return found
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, cells: int = 64, sample: int = 16_384, rounds: int = 12, recall: float = 0.95, fitted: int = 64, piece: int = 8_192, block: int = 1_024, wave: int = 32_768, seed: int = 7) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found for the rows of ``vectors`` (id, vector) where ``is_query``."""
+    index = Index(vectors, is_query, k, cells, sample, rounds, recall, fitted, piece, seed)
+    if index.empty:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return answers(index, k, block, wave)
