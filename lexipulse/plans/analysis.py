@@ -8,7 +8,6 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -71,7 +70,7 @@ class Result:
         found = self.matched.where(F.size("concepts") > 0).select("source", "year", "id", "hits", "cited", "title", "url", *(c for c in more if c in self.matched.columns))
         found.write.mode("overwrite").partitionBy("source", "year").parquet(f"{folder}/matches.parquet")
         found.withColumn("concepts", match.hit_map(F.col("hits"))).drop("hits").write.mode("overwrite").partitionBy("source").json(f"{folder}/matches.json")
-        Path(folder, "summary.json").write_text(json.dumps(self.summary().first().asDict(), indent=2))
+        jsonl.write_text(self.matched.sparkSession, f"{folder}/summary.json", json.dumps(self.summary().first().asDict(), indent=2))
 
 
 def _matched(docs: DataFrame, taxonomy: Taxonomy) -> DataFrame:

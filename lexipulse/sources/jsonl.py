@@ -53,10 +53,10 @@ def stage(docs: DataFrame, path: str) -> None:
 
 def staged(spark: SparkSession, folder: str | Path, key: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The documents of this key by source and year; parsed and written first if they are not there whole."""
-    path = Path(folder) / f"documents-{key}.parquet"
-    if not (path / "_SUCCESS").exists():
-        stage(make(), str(path))
-    return spark.read.parquet(str(path)).withColumns({"source": F.col("source").cast("string"), "year": F.col("year").cast("int")})
+    path = f"{folder}/documents-{key}.parquet"
+    if not is_whole(spark, path):
+        stage(make(), path)
+    return spark.read.parquet(path).withColumns({"source": F.col("source").cast("string"), "year": F.col("year").cast("int")})
 
 
 def fingerprint(paths: list[str | Path], *parts: object) -> str:
@@ -65,12 +65,32 @@ def fingerprint(paths: list[str | Path], *parts: object) -> str:
     return hashlib.sha256(json.dumps([files, [str(x) for x in parts]]).encode()).hexdigest()[:20]
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of any path that Spark can read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    fs, where = hadoop_path(spark, f"{path}/_SUCCESS")
+    return fs.exists(where)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, on any file system that Spark writes to."""
+    fs, where = hadoop_path(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
 def reused(spark: SparkSession, folder: str | Path, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` of this key from ``folder``; made and written first if it is not there whole."""
-    path = Path(folder) / f"{name}-{key}.parquet"
-    if not (path / "_SUCCESS").exists():
-        make().write.mode("overwrite").parquet(str(path))
-    return spark.read.parquet(str(path))
+    path = f"{folder}/{name}-{key}.parquet"
+    if not is_whole(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
