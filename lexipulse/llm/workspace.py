@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh3_64_intdigest
 
@@ -54,6 +55,28 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits of the filter of ``split_by``: at least, and at most (a table of 2**20 rows).
+FILTER_BITS = (1 << 16, 1 << 26)
+
+
+def split_by(rows: DataFrame, keys: DataFrame, on: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(rows that no row of ``keys`` can match on the columns ``on``; all others), told by a filter on the 64-bit number ``on[0]``.
+
+    The filter has 16 bits a key up to a fixed size, so it may be broadcast. Only the second part, the matches and some
+    false ones, needs a join and its shuffle; where the keys are too many for the filter, that part is larger, not wrong.
+    """
+    from pyspark.sql import functions as F
+
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * keys.count()).bit_length()))
+    cell = F.pmod(F.col(on[0]), F.lit(bits))
+    place, bit = F.shiftright(cell, 6).cast("int"), (cell % 64).cast("int")
+    words = keys.select(place.alias("filter_place"), bit.alias("bit")).groupBy("filter_place").agg(F.expr("bit_or(shiftleft(cast(1 as bigint), bit))").alias("filter_bits"))
+    marked = rows.withColumn("filter_place", place).join(F.broadcast(words), "filter_place", "left")
+    hit = F.coalesce(F.expr(f"(shiftright(filter_bits, cast(pmod({on[0]}, {bits}) % 64 as int)) & 1) = 1"), F.lit(False))
+    part = lambda test: marked.where(test).select(rows.columns)
+    return part(~hit), part(hit)
+
+
 def reclaim(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps: it does so once their plans are collected as garbage."""
     gc.collect()
@@ -97,6 +120,7 @@ def only_cache(name: str | None) -> None:
         if other != name:
             empty()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not every C library has it
