@@ -6,7 +6,7 @@ rank, merges all its places at once and drops the words without a pair. Ids and
 ``tokenizers`` library (checked against it, document by document, in the tests).
 
 Nulls count as empty texts and give no ids. Texts of any length are encoded whole; one batch holds at most
-``workspace.BATCH_BYTES`` bytes or one text. Repeated documents give repeated rows; further input columns are ignored.
+``workspace.BATCH_BYTES`` bytes or one text. Repeated documents give repeated rows, a null doc_id stays null; further input columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ occur elsewhere only if both n-grams one word shorter do, so higher orders ask o
 no word, however frequent, is more than one entry of a block's message. N-grams are told apart by 64-bit hashes.
 
 Words are runs without ASCII white space, with A-Z in lower case. Null and empty texts have no words, score 0 and a
-null mean. Repeated rows score each other as others. An empty table gives no rows.
+null mean. Repeated rows score each other as others; so do rows of one doc_id or none, each a document of its own. An
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ The patterns match what the plain forms match, without their backtracking: a run
 or where the last match ended (``\\G``), and never given back, so long runs cost linear time and no deep stack. Offsets
 are code points; they come from the lengths of the pieces between matches.
 
-A null or empty text has no spans. Texts are read whole. No shuffle.
+A null or empty text has no spans. Texts are read whole. Repeated rows give repeated results, a null doc_id stays null. No
+shuffle.
 """
 
 from __future__ import annotations

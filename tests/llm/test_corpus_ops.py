@@ -145,6 +145,13 @@ def test_lm_scores_of_lone_blocks(spark):
     assert got[1][2] == pytest.approx(3 * math.log(0.4 / 14) + 3 * math.log(0.4))
 
 
+def test_lm_scores_of_repeated_and_null_ids(spark):
+    rows = [(None, "a b c"), (None, "a b d"), (1, "a b c"), (1, "x y"), (1, None)]
+    one = sorted((r.n_words, round(r.log_score, 9)) for r in lm.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    two = sorted((r.n_words, round(r.log_score, 9)) for r in lm.backoff_scores(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect())
+    assert one == two and len(one) == 5
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     size = {"big": 300, "mid": 60, "small": 20, None: 10}

@@ -413,3 +413,15 @@ def test_stages_pass_any_columns(spark):
     assert found.columns == [c for c in docs.columns if c not in ("base", "found")] + ["base", "found"] and found.count() == 6
     twice = mixing.mixed(docs, repeats=1.0)
     assert twice.columns == docs.columns and sorted(map(repr, twice.collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_null_ids_repeats_and_long_texts(spark, library):
+    long = " ".join(f"word{i % 977}, a@b{i}.org 10.0.{i % 300}.7" for i in range(6000))
+    rows = [(None, "no id"), (None, None), (4, long), (4, long), (4, "other x@y.zz"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.bpe_digests(docs, VOCABULARY).collect())
+    ids = [library.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    assert got == collections.Counter((d, len(x), sha(np.array(x, "<u4").tobytes())) for (d, _), x in zip(rows, ids))
+    found = collections.Counter((r.doc_id, r.n_email, r.n_ip, r.base_sha256) for r in pii.pii_report(docs).collect())
+    want = [base_spans(t) for _, t in rows]
+    assert found == collections.Counter((d, w.count("email:"), w.count("ip:"), sha(w.encode())) for (d, _), w in zip(rows, want)) and want[2].count("ip:") > 5000
