@@ -361,6 +361,6 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int
     rows = docs.select(F.struct("*").alias("row"), row_key(docs), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("doc"))
     gone = per.where("not stays or rows > 1").select("key", "doc")
     again = per.where("stays and rows > 1").select("key", "doc")
-    clear, maybe = split_by(rows, gone, ("key", "doc"))  # what is in again is in gone
-    single = maybe.join(again, ["key", "doc"], "left_semi").groupBy("key", "doc").agg(F.first("row").alias("row"))
-    return clear.select("row.*").union(maybe.join(gone, ["key", "doc"], "left_anti").select("row.*")).union(single.select("row.*"))
+    clear, maybe = split_by(rows, gone, ("key", "doc"))  # what is in again is in gone; neither has a bound, so neither is broadcast
+    single = maybe.join(again.hint("merge"), ["key", "doc"], "left_semi").groupBy("key", "doc").agg(F.first("row").alias("row"))
+    return clear.select("row.*").union(maybe.join(gone.hint("merge"), ["key", "doc"], "left_anti").select("row.*")).union(single.select("row.*"))
