@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, lm, mixing, pii, quality, substring, token_store, toxicity
+from . import ann, bpe, imatch, jaccard, lm, mixing, pii, quality, substring, token_store, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -70,8 +70,13 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, lambda i: i % 20 == 0, k=20)
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return imatch.fingerprints(table(spark, sf_dir, "documents"), low_idf=3.0, lexicon=500_000, least=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op3_lm_scores, op4_pii, op5_token_store, op6_temperature_mix, op7_quality_rules, op8_substring_dedup, op9_toxicity, op10_multi_index)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_ngram_jaccard, op3_lm_scores, op4_pii, op5_token_store, op6_temperature_mix, op7_quality_rules, op8_substring_dedup, op9_toxicity, op10_multi_index, op11_imatch)}
 
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -104,6 +109,33 @@ SUBSTRING_SQL = f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')
  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(m.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN o ON o.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id"""
 
 
+IMATCH_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ e AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS x FROM d),
+ f AS (SELECT doc_id, n, t, concat(substr(t, 1, n - n // 4), substr(x, 1, n // 4)) AS u FROM e),
+ s AS (SELECT doc_id, 0 AS side, t FROM f UNION ALL SELECT doc_id, 1, u FROM f),
+ w AS (SELECT doc_id, side, list_transform(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), lambda w: CAST('0x' || substr(md5(w), 1, 15) AS BIGINT)) AS ts FROM s),
+ c AS (SELECT h, count(*) AS df FROM (SELECT unnest(ts) AS h FROM w WHERE side = 0) GROUP BY h),
+ b AS (SELECT h, df FROM c WHERE df >= 2 AND df <= greatest(2.0, (SELECT count(*) FROM d) / exp(3.0))),
+ q AS (SELECT k, (SELECT count(*) FROM b WHERE df >= CAST(1 AS BIGINT) << CAST(k - 1 AS INTEGER)) AS terms FROM range(2, 40) r(k)),
+ lexicon AS (SELECT h FROM b WHERE df >= (SELECT CAST(1 AS BIGINT) << CAST(min(k) - 1 AS INTEGER) FROM q WHERE terms <= 500000)),
+ l AS (SELECT *, greatest(6, CASE WHEN len(ts) > 1 THEN length(bin(len(ts) - 1)) ELSE 1 END) AS level FROM w),
+ g AS (SELECT doc_id, side, level, h FROM (SELECT doc_id, side, level, unnest(ts) AS h FROM l) WHERE h & ((CAST(1 AS BIGINT) << level) - 1) < 64),
+ k AS (SELECT g.*, lexicon.h IS NOT NULL AS known FROM g LEFT JOIN lexicon ON lexicon.h = g.h),
+ m AS (SELECT doc_id, side, level + up AS level, h, band FROM k, (VALUES (0), (1)) u(up), (VALUES (true), (false)) v(band) WHERE (up = 0 OR h & (CAST(1 AS BIGINT) << level) = 0) AND (known OR NOT band)),
+ n AS (SELECT doc_id, side, band, lower(printf('%02x', level) || printf('%02x', h & 63)) AS place, substr(md5(string_agg(CAST(h AS VARCHAR), ' ' ORDER BY h)), 1, 4) AS hashed FROM m GROUP BY doc_id, side, band, place),
+ o AS (SELECT doc_id, side, coalesce(list(place || hashed ORDER BY place) FILTER (band), []) AS banded, coalesce(list(place || hashed ORDER BY place) FILTER (NOT band), []) AS every FROM n GROUP BY doc_id, side),
+ p AS (SELECT l.doc_id, l.side, coalesce(banded, []) AS banded, coalesce(every, []) AS every FROM l LEFT JOIN o ON o.doc_id = l.doc_id AND o.side = l.side),
+ h AS (SELECT *, array_to_string(banded, '') || '|' || array_to_string(every, '') AS fp FROM p),
+ y AS (SELECT doc_id, side, banded, every, fp, coalesce(lead(banded) OVER o, first_value(banded) OVER o) AS b2, coalesce(lead(every) OVER o, first_value(every) OVER o) AS e2, coalesce(lead(fp) OVER o, first_value(fp) OVER o) AS f2 FROM h WHERE side = 0 WINDOW o AS (ORDER BY doc_id)),
+ z AS (SELECT doc_id, 'next' AS what, fp = f2 AS same, CASE WHEN len(banded) >= 8 AND len(b2) >= 8 THEN banded ELSE every END AS x, CASE WHEN len(banded) >= 8 AND len(b2) >= 8 THEN b2 ELSE e2 END AS y FROM y
+ UNION ALL SELECT i.doc_id, 'edited', i.fp = j.fp, CASE WHEN len(i.banded) >= 8 AND len(j.banded) >= 8 THEN i.banded ELSE i.every END, CASE WHEN len(i.banded) >= 8 AND len(j.banded) >= 8 THEN j.banded ELSE j.every END FROM h i JOIN h j ON j.doc_id = i.doc_id AND i.side = 0 AND j.side = 1),
+ a AS (SELECT *, list_intersect(list_transform(x, lambda e: substr(e, 1, 2)), list_transform(y, lambda e: substr(e, 1, 2))) AS levels FROM z),
+ r AS (SELECT doc_id, what, same, len(list_intersect(x, y)) AS hit, len(list_distinct(list_transform(list_filter(list_concat(x, y), lambda e: list_contains(levels, substr(e, 1, 2))), lambda e: substr(e, 1, 4)))) AS places FROM a),
+ v AS (SELECT doc_id, what, CASE WHEN same THEN 1.0 WHEN places > 0 THEN hit / places ELSE 0.0 END AS near FROM r)
+ SELECT f.doc_id, CAST(f.n AS BIGINT) AS n_chars, sha256(f.u) AS edited_sha256, i.fp AS fingerprint, j.fp AS edited_fingerprint, CAST(ve.near AS DOUBLE) AS near_edited, CAST(vn.near AS DOUBLE) AS near_next
+ FROM f JOIN h i ON i.doc_id = f.doc_id AND i.side = 0 JOIN h j ON j.doc_id = f.doc_id AND j.side = 1 JOIN v ve ON ve.doc_id = f.doc_id AND ve.what = 'edited' JOIN v vn ON vn.doc_id = f.doc_id AND vn.what = 'next'"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What DuckDB can say. Not: library encodings (1, 5), look-around patterns (4), Spark's hash (6), trained models (7, 9), an approximate index (10)."""
-    return {"op2_ngram_jaccard": JACCARD_SQL, "op3_lm_scores": LM_SQL, "op8_substring_dedup": SUBSTRING_SQL}
+    return {"op2_ngram_jaccard": JACCARD_SQL, "op3_lm_scores": LM_SQL, "op8_substring_dedup": SUBSTRING_SQL, "op11_imatch": IMATCH_SQL}
