@@ -197,6 +197,29 @@ def hashed_words(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.n
     return h, np.diff(np.searchsorted(start, edge))
 
 
+def byte_runs(texts: list[bytes], inside_of: Callable[[np.ndarray], np.ndarray], least: int = 1) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(all maximal runs of bytes where ``inside_of`` holds, A-Z lower-cased, in order; the text each comes from).
+
+    Runs of fewer than ``least`` code points are left out. A blank must not be inside.
+    """
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    edge = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    turn = np.flatnonzero(np.diff(np.concatenate([[False], inside_of(data)]).astype(np.int8)))
+    start, end = turn[::2], turn[1::2]  # the last byte is a blank, so every run ends
+    if least > 1:
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        enough = points[end] - points[start] >= least
+        start, end = start[enough], end[enough]
+    within = np.zeros(len(data) + 1, np.int8)
+    within[start] += 1
+    within[end] -= 1
+    kept = data[np.cumsum(within[:-1]).astype(bool)]
+    lower = np.where((kept >= 0x41) & (kept <= 0x5A), kept | 0x20, kept)
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(lower.tobytes()))
+    return words.dictionary_encode(), np.searchsorted(edge, start, side="right") - 1
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all windows of ``k`` consecutive word hashes."""
     n = len(words) - k + 1

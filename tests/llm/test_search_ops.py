@@ -8,9 +8,10 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
-from lexipulse.llm import imatch
+from lexipulse.llm import imatch, variants
 
 DOC = "doc_id long, text string, lang string, bucket string, term string, at int, next string"
 
@@ -116,3 +117,91 @@ def test_fingerprints_tell_copies_from_others(spark):
     got = imatch.fingerprints(frame(spark, enumerate(texts))).collect()
     assert sum(r.near_edited > 0.3 for r in got) >= 0.95 * len(got)
     assert sum(r.near_next < 0.3 for r in got) >= 0.95 * len(got)
+
+
+# --- spelling variants
+
+RUN = "[A-Za-zÀ-ÿ]+"
+
+
+def words_by_hand(rows, least=7, often=2, every=31):
+    n = collections.Counter()
+    for i, t in rows:
+        for run in re.findall(RUN, t or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    return {w: k for w, k in n.items() if len(w) >= least and k >= often}
+
+
+def apart_by_one(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants_by_hand(rows, **how):
+    n = words_by_hand(rows, **how)
+    near = {w: [x for x in n if x != w and apart_by_one(w, x)] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        if best is not None and n[best] >= 10 * n[w]:
+            form[w] = best
+    out = set()
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.add((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return out
+
+
+def misspelt(seed, n=400):
+    """Words in the thousands and their slips, slips of slips, anagrams, doubled and accented letters, very long runs."""
+    rng = random.Random(seed)
+    stem = ["".join(rng.choice("abcÀéßzZ") for _ in range(rng.randrange(6, 13))) for _ in range(25)] + ["aaaaaaaa", "abababab", "babababa", "aabbaabb"]
+    rows = []
+    for i in range(n):
+        w = []
+        for _ in range(rng.randrange(0, 60)):
+            x = list(stem[min(int(rng.expovariate(0.2)), len(stem) - 1)])
+            for _ in range(rng.choice([0] * 12 + [1, 1, 2])):
+                p, kind = rng.randrange(len(x)), rng.randrange(4)
+                x[p : p + 1] = [[], [x[p], rng.choice("abñ")], [rng.choice("abcÿ")], x[p : p + 2][::-1]][kind] or []
+            w.append("".join(x))
+        rows.append((i * 3 - 9, rng.choice([" ", "1", "，", "-", "Ā"]).join(w)))
+    long = "".join(rng.choice("xyé") for _ in range(5000))
+    return [*rows, (7, None), (8, ""), (9, "short"), (None, "nullified nullified"), (1, "repeated repeated"), (1, "repeated repeated"), (2, long), (3, long + " " + long[:-1] + " " + long[:-1])]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_variants(spark, seed):
+    rows = misspelt(seed)
+    want = variants_by_hand(rows)
+    assert any(f and r != f for _, f, r, *_ in want) or seed  # a chain of forms
+    got = variants.variants(frame(spark, rows)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_variants_other_bounds_and_no_words(spark):
+    rows = misspelt(5, 60)
+    got = variants.variants(frame(spark, rows), least=3, often=1, every=2).collect()
+    assert {tuple(r) for r in got} == variants_by_hand(rows, least=3, often=1, every=2)
+    assert variants.variants(frame(spark, [])).collect() == [] == variants.variants(frame(spark, [(1, None), (2, "a b")])).collect()
+
+
+def test_roots_of_a_chain(spark):
+    links = spark.createDataFrame([(f"w{i:02}", f"w{i + 1:02}") for i in range(19)] + [("x", "w05")], "word string, form string")
+    assert {r.root for r in variants.roots(links).collect()} == {"w19"}
+
+
+def test_checksums_of_pairs_equal_the_library():
+    rng = random.Random(3)
+    heads, tails = [f"{i}:".encode() for i in range(20)], [rng.randbytes(n) for n in (0, 1, 7, 63, 64, 65, 400)]
+    pairs = [(a, b) for a in range(20) for b in range(7)]
+    got = variants.joined_crc(np.array([zlib.crc32(h) for h in heads], np.uint32), np.array([a for a, _ in pairs]), tails, np.array([b for _, b in pairs]))
+    assert got.tolist() == [zlib.crc32(heads[a] + tails[b]) for a, b in pairs]
