@@ -9,7 +9,7 @@ The lexicon is dealt at random to 2**j subsets, the first 64 of which are hashed
 digest is c modulo 2**j. A text of m distinct terms uses the level j with 2**j >= m, 6 at least, and the next one, so a
 subset holds about one of its terms, however long it is. For each subset the text's distinct terms of the lexicon in it
 are sorted and hashed; subsets without one have no entry. A fingerprint lists level, subset and hash, eight hexadecimal
-digits in all, in this order; behind a bar come the same entries without regard to the band, for texts of common or unique
+digits in all, the first four in capitals, in this order; behind a bar come the same entries without regard to the band, for texts of common or unique
 words alone.
 
 The likeness of two fingerprints is the share of equal entries among the subsets that either has at levels that both
@@ -31,24 +31,33 @@ from pyspark.sql import functions as F
 
 from .workspace import bounded_batches, by_number, shuffle_parts, stored
 
-#: What separates terms: ASCII but letters and digits.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What separates terms, beside blanks: ASCII but letters and digits.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != " ")
 #: Subsets hashed at a level; the least level has as many.
 SUBSETS, LEAST_LEVEL = 64, 6
 
 
+def words(text: Column) -> Column:
+    """The distinct terms of a text, and the empty one: no pattern is matched, one character table does."""
+    return F.array_distinct(F.split(F.translate(text, BETWEEN + UPPER, " " * len(BETWEEN) + LOWER), " "))
+
+
+def digest(word: Column) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
+
+
 def digests(text: Column) -> Column:
     """The distinct terms of a text, as 60-bit numbers."""
-    words = F.array_remove(F.array_distinct(F.split(F.translate(text, UPPER, LOWER), BETWEEN)), "")
-    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long"))
+    return F.transform(F.array_remove(words(text), ""), digest)
 
 
 def lexicon_of(docs: DataFrame, low_idf: float, most: int) -> DataFrame:
     """term: the digests of the band, ``most`` at most."""
     n = docs.count()
-    df = docs.select(F.explode(digests(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = stored(df.where((F.col("df") >= 2) & (F.col("df") <= max(2.0, n / math.exp(low_idf)))), "lexicon")
+    df = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    inside = (F.col("df") >= 2) & (F.col("df") <= max(2.0, n / math.exp(low_idf))) & (F.col("word") != "")
+    band = stored(df.where(inside).select(digest(F.col("word")).alias("term"), "df"), "lexicon")
     sizes = {r.bits: r["count"] for r in band.groupBy(F.length(F.bin("df")).alias("bits")).count().collect()}  # 63 rows at most
     lo = next(b for b in range(2, 65) if sum(v for k, v in sizes.items() if k >= b) <= most)
     return band.where(F.col("df") >= F.lit(1 << (lo - 1))).select("term")
@@ -106,7 +115,7 @@ def _entries(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     subset = F.col("term").bitwiseAND(F.lit(SUBSETS - 1))
     long = long.select("bucket", "at", "side", "info", "term", subset.alias("subset"), F.explode(kinds).alias("band"), levels.alias("levels")).withColumn("level", F.explode("levels"))
     hashed = F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ")), 1, 4)
-    two = lambda c: F.lower(F.lpad(F.hex(F.col(c).cast("long")), 2, "0"))
+    two = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
     sets = long.groupBy("bucket", "at", "side", "band", "level", "subset").agg(hashed.alias("hashed"), F.max("info").alias("info")).withColumn("entry", F.concat(two("level"), two("subset"), "hashed"))
     gathered = (F.array_sort(F.collect_list(F.when((F.col("side") == s) & (F.col("band") == F.lit(b)), F.col("entry")))).alias(f"{'band' if b else 'all'}_{s}") for s in (0, 1) for b in (True, False))
     return sets.groupBy("bucket", "at").agg(F.max("info").alias("info"), *gathered)
@@ -116,21 +125,24 @@ def written(band: str, every: str) -> Column:
     return F.concat(F.array_join(band, ""), F.lit("|"), F.array_join(every, ""))
 
 
-def _share(x: Column, y: Column) -> Column:
-    """Equal entries among the subsets of either, at common levels."""
-    levels = lambda a: F.array_distinct(F.transform(a, lambda e: F.left(e, F.lit(2))))
-    common = F.array_intersect(levels(x), levels(y))
-    there = lambda a: F.filter(a, lambda e: F.array_contains(common, F.left(e, F.lit(2))))
-    subsets = F.size(F.array_distinct(F.transform(F.concat(there(x), there(y)), lambda e: F.left(e, F.lit(4)))))
-    return F.when(subsets > 0, F.size(F.array_intersect(x, y)) / subsets).otherwise(F.lit(0.0))
+def _near(df: DataFrame, name: str, a: tuple[str, str], b: tuple[str, str], least: int) -> DataFrame:
+    """``df`` with the likeness of two pairs of entry lists, of the band and all; one column a step, as a lambda evaluates all of its body for every entry."""
+    inside = (F.size(a[0]) >= least) & (F.size(b[0]) >= least)
+    pick = lambda p: F.when(inside, F.col(p[0])).otherwise(F.col(p[1]))
+    levels = lambda c: F.array_distinct(F.transform(c, lambda e: F.left(e, F.lit(2))))
+    there = lambda c: F.transform(F.filter(c, lambda e: F.array_contains("_common", F.left(e, F.lit(2)))), lambda e: F.left(e, F.lit(4)))
+    out = df.withColumns({"_x": pick(a), "_y": pick(b)}).withColumn("_common", F.array_intersect(levels("_x"), levels("_y")))
+    out = out.withColumn("_sets", F.size(F.array_union(there("_x"), there("_y"))))
+    share = F.when(F.col("_sets") > 0, F.size(F.array_intersect("_x", "_y")) / F.col("_sets")).otherwise(F.lit(0.0))
+    same = F.col(a[0]).eqNullSafe(F.col(b[0])) & F.col(a[1]).eqNullSafe(F.col(b[1]))
+    return out.withColumn(name, F.when(same, F.lit(1.0)).otherwise(share)).drop("_x", "_y", "_common", "_sets")
 
 
-def likeness(a: Column, b: Column, least: int = 8) -> Column:
-    """Of two fingerprints, 0 to 1."""
-    part = lambda f, i: F.regexp_extract_all(F.split_part(f, F.lit("|"), F.lit(i)), F.lit("[0-9a-f]{8}"), F.lit(0))
-    x, y = part(a, 1), part(b, 1)
-    inside = (F.size(x) >= least) & (F.size(y) >= least)
-    return F.when(a == b, F.lit(1.0)).when(inside, _share(x, y)).otherwise(_share(part(a, 2), part(b, 2)))
+def with_likeness(df: DataFrame, name: str, a: str, b: str, least: int = 8) -> DataFrame:
+    """``df`` with the likeness, 0 to 1, of the fingerprints in its columns ``a`` and ``b``, which come from one table of documents."""
+    part = lambda f, i: F.regexp_extract_all(F.split_part(f, F.lit("|"), F.lit(i)), F.lit("[0-9A-Fa-f]{8}"), F.lit(0))
+    parts = {f"_{f}{i}": part(F.col(f), i) for f in {a, b} for i in (1, 2)}
+    return _near(df.withColumns(parts), name, (f"_{a}1", f"_{a}2"), (f"_{b}1", f"_{b}2"), least).drop(*parts)
 
 
 def fingerprints(docs: DataFrame, low_idf: float = 3.0, lexicon: int = 500_000, least: int = 8) -> DataFrame:
@@ -147,7 +159,8 @@ def fingerprints(docs: DataFrame, low_idf: float = 3.0, lexicon: int = 500_000,
     edited = F.expr("concat(substring(text, 1, length(text) - length(text) div 4), substring(coalesce(next, ''), 1, cast(length(text) div 4 as int)))")
     rows = rows.withColumn("edited", edited).select("bucket", "at", info.alias("info"), digests(F.col("text")).alias("d0"), digests(F.col("edited")).alias("d1"))
     parts = _entries(rows.select("bucket", "at", "info", _sampled("d0").alias("s0"), _sampled("d1").alias("s1")), known)
-    out = parts.select("bucket", "at", "info.*", written("band_0", "all_0").alias("fingerprint"), written("band_1", "all_1").alias("edited_fingerprint"))
-    out = out.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("at"))).where(~F.col("ghost"))
-    near = lambda b: likeness(F.col("fingerprint"), F.col(b), least)
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
+    after = Window.partitionBy("bucket").orderBy("at")
+    out = parts.select("bucket", "at", "info.*", "band_0", "all_0", "band_1", "all_1", F.lead("band_0").over(after).alias("band_2"), F.lead("all_0").over(after).alias("all_2")).where(~F.col("ghost"))
+    for name, k in (("near_edited", 1), ("near_next", 2)):
+        out = _near(out, name, ("band_0", "all_0"), (f"band_{k}", f"all_{k}"), least)
+    return out.select("doc_id", "n_chars", "edited_sha256", written("band_0", "all_0").alias("fingerprint"), written("band_1", "all_1").alias("edited_fingerprint"), "near_edited", "near_next")

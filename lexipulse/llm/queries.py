@@ -132,7 +132,7 @@ IMATCH_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
  g AS (SELECT doc_id, side, level, h FROM (SELECT doc_id, side, level, unnest(ts) AS h FROM l) WHERE h & ((CAST(1 AS BIGINT) << level) - 1) < 64),
  k AS (SELECT g.*, lexicon.h IS NOT NULL AS known FROM g LEFT JOIN lexicon ON lexicon.h = g.h),
  m AS (SELECT doc_id, side, level + up AS level, h, band FROM k, (VALUES (0), (1)) u(up), (VALUES (true), (false)) v(band) WHERE (up = 0 OR h & (CAST(1 AS BIGINT) << level) = 0) AND (known OR NOT band)),
- n AS (SELECT doc_id, side, band, lower(printf('%02x', level) || printf('%02x', h & 63)) AS place, substr(md5(string_agg(CAST(h AS VARCHAR), ' ' ORDER BY h)), 1, 4) AS hashed FROM m GROUP BY doc_id, side, band, place),
+ n AS (SELECT doc_id, side, band, printf('%02X', level) || printf('%02X', h & 63) AS place, substr(md5(string_agg(CAST(h AS VARCHAR), ' ' ORDER BY h)), 1, 4) AS hashed FROM m GROUP BY doc_id, side, band, place),
  o AS (SELECT doc_id, side, coalesce(list(place || hashed ORDER BY place) FILTER (band), []) AS banded, coalesce(list(place || hashed ORDER BY place) FILTER (NOT band), []) AS every FROM n GROUP BY doc_id, side),
  p AS (SELECT l.doc_id, l.side, coalesce(banded, []) AS banded, coalesce(every, []) AS every FROM l LEFT JOIN o ON o.doc_id = l.doc_id AND o.side = l.side),
  h AS (SELECT *, array_to_string(banded, '') || '|' || array_to_string(every, '') AS fp FROM p),
