@@ -86,7 +86,7 @@ def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: i
 def tested(spark: SparkSession, taxonomy: Taxonomy, text: str) -> dict[str, dict[str, int]]:
     """Concepts and synonyms of one text, whether or not it lies in the domain."""
     one = spark.createDataFrame([(text,)], "text string").select(normalise(F.col("text")).alias("text"))
-    row = match.with_hits(match.with_matches(one, taxonomy, gated=False), taxonomy).select("hits").first()
+    row = match.matched(one, taxonomy, gated=False).select("hits").first()
     return {h.concept: {s.synonym: s.n for s in h.synonyms} for h in row.hits}
 
 

@@ -1,15 +1,18 @@
-"""Taxonomy matching as column expressions.
+"""Taxonomy matching.
 
-Patterns are literals, so each is compiled once a task. A concept's flag is one look for any synonym, then the veto of
-``exclude`` and the demand of ``require``; which synonym matched how often is asked only where the flag holds.
+All concepts without raw patterns, and the domain's terms, are extracted in one scan of a text (``scan``). Concepts with
+raw patterns are column expressions: one look for any synonym, then which matched how often, only where one did. The veto
+of ``exclude`` and the demand of ``require`` are asked only of texts where the concept was found.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..taxonomy import Concept, Taxonomy, pattern, presence
+from . import scan
 
 
 def in_domain(text: Column, taxonomy: Taxonomy) -> Column:
@@ -17,12 +20,17 @@ def in_domain(text: Column, taxonomy: Taxonomy) -> Column:
 
 
 def has_concept(text: Column, concept: Concept) -> Column:
-    flag = text.rlike(presence(list(concept.synonyms)))
+    return text.rlike(presence(list(concept.synonyms))) & passes(text, concept)
+
+
+def passes(text: Column, concept: Concept) -> Column:
+    """Whether neither the veto nor the demand of a concept keeps it from a text."""
+    out = F.lit(True)
     if concept.exclude:
-        flag = flag & ~text.rlike(pattern(concept.exclude))
+        out = out & ~text.rlike(pattern(concept.exclude))
     if concept.require:
-        flag = flag & text.rlike(pattern(concept.require))
-    return flag
+        out = out & text.rlike(pattern(concept.require))
+    return out
 
 
 def concepts_of(text: Column, taxonomy: Taxonomy) -> Column:
@@ -40,18 +48,47 @@ def synonym_hits(text: Column, concept: Concept) -> Column:
     return F.filter(F.array(*found), lambda h: h["n"] > 0)
 
 
-def with_matches(docs: DataFrame, taxonomy: Taxonomy, text: str = "text", gated: bool = True) -> DataFrame:
-    """``docs`` with in_domain and concepts; ``gated`` gives documents outside the domain no concepts."""
-    inside, keys = in_domain(F.col(text), taxonomy), concepts_of(F.col(text), taxonomy)
-    out = docs.withColumn("in_domain", inside)
-    return out.withColumn("concepts", F.when(F.col("in_domain"), keys).otherwise(F.array().cast("array<string>")) if gated else keys)
+HIT = "struct<concept:string,synonyms:array<struct<synonym:string,n:int>>>"
+
+
+def matched(docs: DataFrame, taxonomy: Taxonomy, text: str = "text", gated: bool = True) -> DataFrame:
+    """``docs`` with in_domain, concepts and hits: array<struct<concept, synonyms: array<struct<synonym, n>>>>.
+
+    Both arrays are in the taxonomy's order; ``gated`` gives documents outside the domain none.
+    """
+    plain = [c for c in taxonomy.concepts if scan.searchable(c.synonyms)]
+    rest = [c for c in taxonomy.concepts if c not in plain]
+    raw_terms = [t for t in taxonomy.domain_terms if not scan.searchable((t,))]
+    lexicon = scan.Lexicon([tuple(t for t in taxonomy.domain_terms if t not in raw_terms), *(c.synonyms for c in plain)])
+    keys, early = [c.key for c in plain], gated and not raw_terms
+
+    @F.arrow_udf(scan.FOUND)
+    def found(texts: pa.Array) -> pa.Array:
+        return scan.as_found(lexicon, keys, texts, early)
+
+    t, hits = F.col(text), F.col("found.hits")
+    out = docs.withColumn("found", found.asNondeterministic()(t))  # or a filter on its result would run it again
+    inside = F.col("found.inside") | t.rlike("|".join(map(pattern, raw_terms))) if raw_terms else F.col("found.inside")
+    out = out.withColumn("in_domain", inside)
+    if rest:
+        more = [F.when(has_concept(t, c), F.struct(F.lit(c.key).alias("concept"), synonym_hits(t, c).alias("synonyms"))) for c in rest]
+        both = F.concat(hits, F.array_compact(F.array(*more)))
+        hits = F.array_compact(F.transform(F.array(*map(F.lit, taxonomy.keys)), lambda k: F.get(F.filter("all_hits", lambda h: h["concept"] == k), 0)))
+        out = out.withColumn("all_hits", both)
+    ruled = [c for c in plain if c.exclude or c.require]
+    if ruled:
+        has = lambda c: F.exists("found.hits", lambda h: h["concept"] == c.key)
+        out = out.withColumn("ruled_out", F.array_compact(F.array(*(F.when(has(c) & ~passes(t, c), F.lit(c.key)) for c in ruled))))
+        allowed = lambda h: ~F.array_contains("ruled_out", h["concept"])
+        hits = F.filter(hits, allowed)
+    none = F.array().cast(f"array<{HIT}>")
+    out = out.withColumn("hits", F.coalesce(F.when(F.col("in_domain"), hits).otherwise(none) if gated else hits, none))
+    return out.drop("found", "all_hits", "ruled_out").withColumn("concepts", F.transform("hits", lambda h: h["concept"]))
 
 
-def with_hits(matched: DataFrame, taxonomy: Taxonomy, text: str = "text") -> DataFrame:
-    """``matched`` with hits: array<struct<concept, synonyms: array<struct<synonym, n>>>>."""
-    kind = "struct<concept:string,synonyms:array<struct<synonym:string,n:int>>>"
-    each = [F.when(F.array_contains("concepts", c.key), F.struct(F.lit(c.key).alias("concept"), synonym_hits(F.col(text), c).alias("synonyms"))) for c in taxonomy.concepts]
-    return matched.withColumn("hits", F.array_compact(F.array(*each)) if each else F.array().cast(f"array<{kind}>"))
+def with_matches(docs: DataFrame, taxonomy: Taxonomy, text: str = "text", gated: bool = True) -> DataFrame:
+    """``docs`` with in_domain and concepts; ``gated`` gives documents outside the domain no concepts."""
+    return matched(docs, taxonomy, text, gated).drop("hits")
 
 
 def long_hits(hits: DataFrame, *keep: str) -> DataFrame:

@@ -74,7 +74,7 @@ class Result:
 
 
 def _matched(docs: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    return match.with_hits(match.with_matches(docs, taxonomy), taxonomy).persist(StorageLevel.MEMORY_AND_DISK)
+    return match.matched(docs, taxonomy).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 #: Where a run may keep n-gram counts between runs, and the key of its raw files: (folder, key).

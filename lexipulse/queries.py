@@ -58,7 +58,7 @@ HR = f"{RID}, m AS (SELECT *, {sql_domain(PARTS)} AS in_domain FROM dl), {sql_hi
 
 
 def matched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.with_matches(line_docs(spark, sf_dir), PARTS)
+    return match.matched(line_docs(spark, sf_dir), PARTS)
 
 
 def _totals(m: DataFrame) -> DataFrame:
@@ -355,14 +355,14 @@ _SYN = " UNION ALL ".join(
 
 @_query(f"WITH {M}, s AS ({_SYN}) SELECT concept, synonym, text, count(*) AS docs, count(*) AS occurrences FROM s GROUP BY concept, synonym, text")
 def synonym_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = match.long_hits(match.with_hits(matched_lines(spark, sf_dir), PARTS), "text")
+    hits = match.long_hits(matched_lines(spark, sf_dir), "text")
     return hits.groupBy("concept", "synonym", "text").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
 
 
 @_query(f"WITH {M}, s AS ({_SYN}) SELECT concept, synonym, count(*) AS docs, count(*) AS occurrences FROM s GROUP BY concept, synonym")
 def hit_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits of a document as a map of maps, read key by key."""
-    m = match.with_hits(matched_lines(spark, sf_dir), PARTS).select(F.explode(match.hit_map(F.col("hits"))).alias("concept", "m"))
+    m = matched_lines(spark, sf_dir).select(F.explode(match.hit_map(F.col("hits"))).alias("concept", "m"))
     return m.select("concept", F.explode("m").alias("synonym", "n")).groupBy("concept", "synonym").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
 
 
@@ -446,7 +446,7 @@ def concept_year_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {M}, s AS ({_SYN}) SELECT source, concept, synonym, year, count(*) AS docs FROM s GROUP BY source, concept, synonym, year")
 def synonym_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.synonym_year(match.with_hits(matched_lines(spark, sf_dir), PARTS))
+    return measures.synonym_year(matched_lines(spark, sf_dir))
 
 
 _GROWTH = ("share_recent_pct", "share_prior_pct", "growth_ratio", "delta_pp")
@@ -601,7 +601,7 @@ def heatmap_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
  o AS (SELECT year, CASE WHEN place > 2 THEN 'other' ELSE k.synonym END AS form, least(place, 3) AS place, CAST(sum(docs) AS BIGINT) AS docs FROM k JOIN z ON z.synonym = k.synonym GROUP BY 1, 2, 3), pc AS (SELECT *, 100.0 * docs / sum(docs) OVER (PARTITION BY year) AS pct FROM o)
  SELECT year, form, docs, round(pct, 6) AS pct, round(coalesce(sum(pct) OVER (PARTITION BY year ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS base_pct FROM pc""")
 def surface_form_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    syn = measures.synonym_year(match.with_hits(matched_lines(spark, sf_dir), PARTS)).where("source = 'A'")
+    syn = measures.synonym_year(matched_lines(spark, sf_dir)).where("source = 'A'")
     return rounded(views.surface_forms(syn, "HOT", top=2), "pct", "base_pct")
 
 

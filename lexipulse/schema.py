@@ -52,3 +52,9 @@ def has_abstract(abstract: Column) -> Column:
 def citations(extra: Column) -> Column:
     """The first count that is there and not zero, else zero."""
     return F.coalesce(F.nullif(extra["cited_by"], F.lit(0)), F.nullif(extra["citing_paper_count"], F.lit(0)), F.lit(0)).cast("long")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` in as many partitions as there are cores, where a scan has fewer: one small file would be one task."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
