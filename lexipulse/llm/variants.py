@@ -65,7 +65,7 @@ def joined_crc(heads: np.ndarray, owner: np.ndarray, tails: list[bytes], tail: n
     """
     size = np.fromiter(map(len, tails), np.int64, len(tails))[tail]
     own = np.fromiter(map(zlib.crc32, tails), np.uint32, len(tails))[tail]
-    out = np.zeros(len(tail), np.uint32)
+    out = heads[owner]  # right for empty tails
     order = np.argsort(size, kind="stable")
     bound = np.searchsorted(size[order], np.arange(LONG + 2))
     moved = heads.copy()
