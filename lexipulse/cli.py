@@ -1,17 +1,14 @@
 """Command line: fetch, analyze, report, all, test-keywords.
 
 Fetching needs a client from outside (``--client module:function``): the engine makes the queries, keeps the ledger and
-takes the waits; the client sends one request and gives back records.
+takes the waits; the client sends one request and gives back a page (``sources.fetch``).
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime
-import importlib
 import json
-import time
-from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions.textnorm import normalise
 from .operators import match
 from .plans import analysis, report
-from .sources import jsonl, search
+from .sources import fetch, jsonl, search
 from .taxonomy import Taxonomy, load
 
 
@@ -30,28 +27,15 @@ def session(workers: int | None = None) -> SparkSession:
     return (b.master(f"local[{workers}]") if workers else b).getOrCreate()
 
 
-#: One request: (route, query, year) -> (done, documents of that year, wait asked for by the server).
-Client = Callable[[str, str, int], tuple[bool, Iterable[dict], float | None]]
+#: Folder of fetched pages in a raw folder.
+PAGES = "pages"
 
 
-def fetched(client: Client, folder: str, route: str, taxonomy: Taxonomy, years: range, share: tuple[int, int] = (0, 1), sleep: Callable[[float], None] = time.sleep) -> int:
-    """Writes the documents of the domain's query, year by year, with the sidecar of totals; years the sidecar holds are done.
-
-    ``share`` (index, of) is one worker's part of the years. A year's lines are written before the sidecar names it, so a
-    run that was cut short asks for that year again; readers drop its repeated ids.
-    """
-    build = {"s2": search.bulk_query, "openalex": search.openalex_query, "ieee": search.ieee_query, "arxiv": search.arxiv_query}[route]
-    query, raw = build(taxonomy.domain_terms), Path(folder, f"{'arxiv_direct' if route == 'arxiv' else 'ieee_direct' if route == 'ieee' else 'openalex_arxiv' if route == 'openalex' else 's2_sample'}.jsonl")
-    raw.parent.mkdir(parents=True, exist_ok=True)
-    meta = jsonl.sidecar(raw)
-    meta = meta if meta.get("query") == query else {"source": route, "query": query, "years": {}}
-    for year in search.shard([y for y in years if str(y) not in meta["years"]], *share):
-        docs = list(search.BACKOFF[route].call(lambda: client(route, query, year), sleep))
-        with raw.open("a", encoding="utf-8") as out:
-            out.writelines(json.dumps(d, ensure_ascii=False) + "\n" for d in docs)
-        meta["years"][str(year)] = {"total": len(docs), "fetched": len(docs)}
-        raw.with_name(raw.stem + "_meta.json").write_text(json.dumps(meta, indent=2), encoding="utf-8")
-    return sum(v["fetched"] for v in meta["years"].values())
+def work_of(via: str, sources: list[str], taxonomy: Taxonomy, years: range, sample_pages: int = 10, concept_pages: int = 3, most: int = 0, seed: int = 42, share: tuple[int, int] = (0, 1)) -> list[dict]:
+    """The queries of a route: two pools for s2, else one a source and year; google_patents come from exports and the warehouse."""
+    if via == "s2":
+        return fetch.two_pool_work(taxonomy, years, sample_pages, concept_pages, share)
+    return fetch.plain_work(via, [s for s in sources if s != "google_patents"], taxonomy, years, most, seed, share)
 
 
 def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: int, window: int, wanted: list[str] | None, keep: str | None = None, stage: str | None = None) -> analysis.Result:
@@ -66,7 +50,16 @@ def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: i
         return jsonl.staged(spark, stage, jsonl.fingerprint(paths, *sorted(own)), make) if stage else make()
 
     found = jsonl.discover(folder, wanted)
-    if not found:
+    pages = f"{folder}/{PAGES}"
+    kinds = {r.kind for r in fetch.ledger(spark, pages).select("kind").distinct().collect()} if fetch.waves(spark, pages) else set()
+    if {"concept", "sample"} <= kinds and wanted and {"arxiv", "ieee"} & set(wanted):
+        raise ValueError("the fetched pools hold arxiv and ieee already: ask for s2, or use another folder")
+    if {"concept", "sample"} <= kinds and (not wanted or "s2" in wanted):
+        sample, pool, years, cut = fetch.two_pools(spark, pages, taxonomy)
+        kept = (keep, jsonl.fingerprint([], *fetch.waves(spark, pages))) if keep else None
+        return analysis.two_pool(sample, pool, taxonomy, years, cut, as_of_year, recent_window=window, kept=kept)
+    plain = fetch.plain_docs(spark, pages, taxonomy, wanted) if "year" in kinds else None
+    if not found and plain is None:
         raise SystemExit(f"no raw documents in {folder}")
     if "s2" in found:
         metas = [json.loads(p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("s2_meta*.json"))]
@@ -74,12 +67,12 @@ def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: i
         sample = read([Path(folder, "s2_sample.jsonl")])
         kept = (keep, jsonl.fingerprint([Path(folder, "s2_sample.jsonl"), Path(folder, "s2_meta.json")])) if keep else None
         return analysis.two_pool(sample, read(found["s2"]), taxonomy, years, cut, as_of_year, recent_window=window, kept=kept)
-    docs = meta = None
+    docs, meta = plain or (None, None)
     for source, paths in found.items():
         one = read(paths, source=F.lit(source))
         total = jsonl.year_totals(spark, source, jsonl.sidecar(paths[0]))
         docs, meta = (one, total) if docs is None else (docs.unionByName(one), meta.unionByName(total))
-    kept = (keep, jsonl.fingerprint([p for paths in found.values() for p in paths])) if keep else None
+    kept = (keep, jsonl.fingerprint([p for paths in found.values() for p in paths], *fetch.waves(spark, pages))) if keep else None
     return analysis.plain(docs, taxonomy, as_of_year, window, meta, kept=kept)
 
 
@@ -99,8 +92,15 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument("raw")
         if name in ("fetch", "all"):
             c.add_argument("--client", required=name == "fetch", help="module:function that sends one request")
-            c.add_argument("--via", choices=["s2", "openalex", "ieee", "arxiv"], default="s2")
+            c.add_argument("--via", choices=["s2", "openalex", "direct"], default="s2", help="s2: two pools; openalex; direct: each source's own service")
+            c.add_argument("--source", nargs="+", default=["ieee", "arxiv"], choices=["arxiv", "ieee", "google_patents"])
             c.add_argument("--years", default="2014-2026")
+            c.add_argument("--max-per-year", type=int, default=0, help="openalex: a sample of that many a source and year; 0: all")
+            c.add_argument("--seed", type=int, default=42, help="of that sample")
+            c.add_argument("--sample-pages", type=int, default=10, help="s2: pages of the domain's query a year")
+            c.add_argument("--max-pages-concept", type=int, default=3, help="s2: pages of a concept's query a year")
+            c.add_argument("--lanes", type=int, default=3, help="requests at a time")
+            c.add_argument("--pause", type=float, default=1.0, help="seconds between pages of a query")
             c.add_argument("--shard", default="0/1", help="part i of n, as i/n")
         if name == "fetch":
             continue
@@ -115,13 +115,13 @@ def main(argv: list[str] | None = None) -> None:
     sub.add_parser("test-keywords").add_argument("text")
     a = p.parse_args(argv)
     taxonomy = load(a.taxonomy)
+    spark = session(getattr(a, "workers", None))
     if getattr(a, "client", None):
-        module, _, name = a.client.partition(":")
         index, _, of = a.shard.partition("/")
-        print(fetched(getattr(importlib.import_module(module), name), a.raw, a.via, taxonomy, search.year_range(a.years), (int(index), int(of or 1))), "documents")
+        work = work_of(a.via, a.source, taxonomy, search.year_range(a.years), a.sample_pages, a.max_pages_concept, a.max_per_year, a.seed, (int(index), int(of or 1)))
+        print(fetch.fetch(spark, a.client, f"{a.raw}/{PAGES}", work, a.lanes, pause=a.pause), "queries done")
     if a.command == "fetch":
         return
-    spark = session(getattr(a, "workers", None))
     if a.command == "test-keywords":
         print(tested(spark, taxonomy, a.text))
         return

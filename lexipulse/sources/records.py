@@ -10,6 +10,7 @@ from ..schema import as_docs
 S2_RECORD = "paperId string, title string, abstract string, year int, publicationDate string, externalIds struct<DOI:string,ArXiv:string>, venue string, publicationVenue struct<name:string>, citationCount long, publicationTypes array<string>"
 OPENALEX_RECORD = "id string, doi string, title string, publication_year int, publication_date string, abstract_inverted_index map<string,array<int>>, primary_location struct<landing_page_url:string,source:struct<display_name:string>>, type string, cited_by_count long, ids struct<pmid:string>"
 IEEE_RECORD = "article_number string, title string, abstract string, publication_year string, publication_date string, publication_title string, content_type string, citing_paper_count long, doi string, html_url string"
+ARXIV_RECORD = "id string, title string, summary string, published string, tags array<string>, primary_category string"
 WAREHOUSE_RECORD = "publication_number string, country_code string, kind_code string, priority_date long, filing_date long, publication_date long, title_localized array<struct<text:string,language:string>>, abstract_localized array<struct<text:string,language:string>>, cpc array<struct<code:string>>"
 CSV_DATES = ("priority date", "filing/creation date", "filing date", "publication date", "grant date")
 

@@ -1,12 +1,14 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexipulse import cli, streaming
 from lexipulse.plans import report
-from lexipulse.sources import jsonl, records, search
+from lexipulse.sources import fetch, jsonl, records, search
 from lexipulse.taxonomy import from_dict, load
+from tests import fake_client
 
 TAX = {"domain_terms": ["chip"], "categories": {"c": {"GAN": {"synonyms": ["GaN"]}, "SIC": {"synonyms": ["SiC"]}}}}
 
@@ -95,22 +97,75 @@ def test_feed_file(spark, tmp_path):
     assert got == [("2001.1v1", "A & b c", "s", 2020, "cs.AI,cs.LG", "cs.AI"), ("2001.2v3", "T", "", 2021, "", None)]
 
 
-def test_fetch_hook_and_all(spark, tmp_path):
-    asked, slept = [], []
-
-    def client(route, query, year):
-        asked.append(year)
-        return (False, [], 7.0) if asked.count(year) == 1 and year == 2016 else (True, [json.loads(line(f"{year}-{i}", year)) for i in range(3)], None)
-
-    tax, raw = from_dict(TAX), str(tmp_path / "raw dir")
-    assert cli.fetched(client, raw, "arxiv", tax, range(2015, 2018), sleep=slept.append) == 9 and asked == [2015, 2016, 2016, 2017] and slept == [7.0]
-    assert cli.fetched(client, raw, "arxiv", tax, range(2015, 2019), sleep=slept.append) == 12 and asked[4:] == [2018]
-    r = cli.analysed(spark, raw, tax, 2019, 3, None, stage=str(tmp_path / "kept"))
-    again = cli.analysed(spark, raw, tax, 2019, 3, None, stage=str(tmp_path / "kept"))
-    key = lambda x: sorted(map(str, x.totals.collect()))
-    assert key(again) == key(r) and len(key(r)) == 4 and len(list((tmp_path / "kept").glob("documents-*"))) == 1
+def once_each(spark, folder):
+    """Every piece of work was committed once."""
+    done = fetch.pages(spark, folder).where("record is null").groupBy(*fetch.WHAT).count()
+    return done.where("count > 1").count() == 0 and done.count()
+
+
+def test_pages_of_a_query():
+    item = fetch.two_pool_work(from_dict(TAX), range(2020, 2021), sample_pages=2)[0]
+    slept, answers = [], iter([{"wait": 9.0}, {"wait": None}])
+    client = lambda request: next(answers, None) or fake_client.s2(request)
+    rows = list(fetch.asked(client, item, 0.5, slept.append))
+    assert slept == [9.0, 7.2, 0.5] and len(rows) == 5 and rows[-1][5:] == (fake_client.total_of(item), 4, None) and all(r[5:7] == (None, None) for r in rows[:-1])
+    item |= {"pages": 0, "most": 3}
+    assert [r[-1] is None for r in fetch.asked(fake_client.s2, item, sleep=slept.append)] == [False] * 3 + [True]
+
+
+def test_two_pools_by_shards(spark, tmp_path):
+    """Interleaved shards, a wave cut short, a task that fails, a changed query: nothing is done twice, nothing is left out."""
+    tax, folder = from_dict(TAX), str(tmp_path / "raw dir" / cli.PAGES)
+    years, s2 = range(2019, 2022), "tests.fake_client:s2"
+    first, second = (cli.work_of("s2", [], tax, years, 2, 1, share=(i, 2)) for i in (0, 1))
+    assert [w["kind"] for w in first] == ["sample"] * 3 + ["concept"] * 3 and {w["key"] for w in second} == {"SIC"}
+    assert fetch.fetch(spark, s2, folder, first[:2]) == 2
+    assert fetch.fetch(spark, s2, folder, second[:1]) == 1
+    with pytest.raises(Exception, match="service is gone"):
+        fetch.fetch(spark, "tests.fake_client:failing", folder, second)
+    assert once_each(spark, folder) == 3 and len(fetch.waves(spark, folder)) == 2  # the wave that failed is not there
+    assert fetch.fetch(spark, s2, folder, first) == 4
+    (Path(fetch.waves(spark, folder)[-1].removeprefix("file:")) / "_SUCCESS").unlink()  # as if killed before the last wave's end
+    both = cli.work_of("s2", [], tax, years, 2, 1)
+    assert fetch.fetch(spark, s2, folder, both) == 3 and fetch.fetch(spark, s2, folder, both) == 0
+    assert once_each(spark, folder) == len(both) == 9
+    sample, pool, meta, cut = fetch.two_pools(spark, folder, tax)
+    assert {(r.year, r.domain_total) for r in meta.collect()} == {(w["year"], fake_client.total_of(w)) for w in both if w["kind"] == "sample"}
+    assert {tuple(r) for r in cut.collect()} == {(w["key"], w["year"], fake_client.total_of(w), 2) for w in both if w["kind"] == "concept"}
+    assert sample.count() == sum(min(4, fake_client.total_of(w)) for w in both if w["kind"] == "sample") and {r.extra.retrieved_for for r in pool.collect()} == {"GAN", "SIC"}
+    assert {r.year for r in sample.collect()} == set(years)  # records without a year have the query's
+    other = from_dict(TAX | {"domain_terms": ["chip", "wafer"]})
+    assert fetch.fetch(spark, s2, folder, cli.work_of("s2", [], other, years, 2, 1)) == 3  # the samples alone
+    assert fetch.two_pools(spark, folder, tax)[2].count() == 3 == fetch.two_pools(spark, folder, other)[2].count()
+
+
+def test_all_by_the_default_route(spark, tmp_path):
+    raw = tmp_path / "raw"
+    (tmp_path / "t.json").write_text(json.dumps(TAX))
+    tax = load(tmp_path / "t.json")
+    fetch.fetch(spark, "tests.fake_client:s2", f"{raw}/{cli.PAGES}", cli.work_of("s2", [], tax, range(2015, 2021), 1, 1), lanes=2, wave=9)
+    r = cli.analysed(spark, str(raw), tax, 2021, 3, None, str(tmp_path / "kept"))
+    totals = {(t.source, t.year): t for t in r.totals.collect()}
+    assert r.two_pool and {y for _, y in totals} == set(range(2015, 2021)) and all(t.scale != 1 for t in totals.values() if t.source == "all")
+    found = r.matched.where("year = 2016 and source = 'all'").collect()
+    assert found and all(set(x.retrieved_for) == {"GAN", "SIC"} for x in found)
+    assert r.concept_year.where("docs > docs_raw").count() > 0 and r.growth.count() > 0
     r.write(str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "matches.json")).where("concepts.GAN.GaN = 1").count() == 12
+    with pytest.raises(ValueError):
+        cli.analysed(spark, str(raw), tax, 2021, 3, ["arxiv"])
+    with pytest.raises(SystemExit):
+        cli.analysed(spark, str(tmp_path), tax, 2021, 3, None)
+
+
+@pytest.mark.parametrize("via, sources, client", [("openalex", ["ieee", "arxiv"], "openalex"), ("direct", ["arxiv"], "arxiv")])
+def test_plain_routes(spark, tmp_path, via, sources, client):
+    tax, raw = from_dict(TAX), str(tmp_path)
+    work = cli.work_of(via, [*sources, "google_patents"], tax, range(2018, 2021), most=4 if via == "openalex" else 0, seed=5)
+    assert fetch.fetch(spark, f"tests.fake_client:{client}", f"{raw}/{cli.PAGES}", work) == 3 * len(sources)
+    r = cli.analysed(spark, raw, tax, 2021, 3, None)
+    want = {(w["key"], w["year"]): (fake_client.total_of(w), min(w["most"] or 99, fake_client.total_of(w))) for w in work}
+    got = {(t.source, t.year): (int(t.source_total), t.fetched) for t in r.totals.where("source <> 'all'").collect()}
+    assert got == want
 
 
 def test_formats():
