@@ -8,10 +8,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
-from lexipulse.llm import imatch, variants
+from lexipulse.llm import imatch, maxscore, variants, workspace
+from lexipulse.llm.queries import oracle_sql, queries
 
 DOC = "doc_id long, text string, lang string, bucket string, term string, at int, next string"
 
@@ -210,3 +212,82 @@ def test_checksums_of_pairs_equal_the_library():
     pairs = [(a, b) for a in range(20) for b in range(7)]
     got = variants.joined_crc(np.array([zlib.crc32(h) for h in heads], np.uint32), np.array([a for a, _ in pairs]), tails, np.array([b for _, b in pairs]))
     assert got.tolist() == [zlib.crc32(heads[a] + tails[b]) for a, b in pairs]
+
+
+# --- ranked search
+
+TERM = "[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
+
+
+def terms_by_hand(text):
+    return re.findall(TERM, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def ranked_by_hand(rows, items, k=10):
+    docs = [(i, collections.Counter(terms_by_hand(t))) for i, t in rows]
+    n, length = sum(bool(c) for _, c in docs), sum(c.total() for _, c in docs)
+    df = collections.Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c in docs:
+            m = 10 + 90 * c.total() * n // max(length, 1)
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 8 * m)) for t in set(terms_by_hand(text)) if c[t])
+            if score > 0:
+                scored.append((-score, i is None, i or 0, i))
+        out += [(item, r + 1, s[3], -s[0]) for r, s in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=str)
+
+
+def asked(spark, items):
+    return spark.createDataFrame([(i, t, "clash", 1) for i, t in items], "item_id long, text string, doc_id string, rank int")
+
+
+@pytest.mark.parametrize("seed, k, block, rows_a_batch", [(0, 10, 1 << 22, 4096), (1, 3, 200, 4096), (2, 1, 1 << 22, 7)])
+def test_ranked_search(spark, seed, k, block, rows_a_batch, monkeypatch):
+    monkeypatch.setattr(workspace, "BATCH_ROWS", rows_a_batch)  # many small shards, so thresholds go from one to the next
+    rng = random.Random(seed)
+    texts = prose(seed, 300)
+    rows = [*((i * 5 - 40, t) for i, t in enumerate(texts)), (None, texts[40]), (None, texts[60]), (3, texts[40]), (3, texts[40])]
+    rng.shuffle(rows)
+    items = [(i, " ".join(rng.sample((texts[rng.randrange(8, len(texts))] or "").split() or ["x"], 1) + (texts[rng.randrange(8, len(texts))] or "").split()[: rng.randrange(1, 40)])) for i in range(30)]
+    items += [(90, None), (91, ""), (92, "nowhere"), (93, items[0][1]), (93, items[0][1]), (None, "one two three x1 漢字"), (94, "one one ONE two")]
+    got = maxscore.search(frame(spark, rows).repartition(3), asked(spark, items), k=k, block=block).collect()
+    assert sorted(map(tuple, got), key=str) == ranked_by_hand(rows, dict.fromkeys(items), k)
+
+
+def test_ranked_search_edges(spark):
+    some = frame(spark, [(1, "a b c"), (2, "a a a"), (3, None), (4, "...")])
+    assert maxscore.search(some, asked(spark, [])).collect() == [] == maxscore.search(frame(spark, []), asked(spark, [(1, "a")])).collect()
+    rows = [(1, "a b"), (1, "a c"), (2, "a")]  # one id with two texts: two answers
+    got = maxscore.search(some, asked(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == ranked_by_hand([(1, "a b c"), (2, "a a a"), (3, None), (4, "...")], rows)
+    long = [(i, "w " * 200_000 if i == 7 else f"w{i} common " * (i + 1)) for i in range(20)]
+    assert sorted(map(tuple, maxscore.search(frame(spark, long), asked(spark, [(5, "w common w3")])).collect()), key=str) == ranked_by_hand(long, [(5, "w common w3")])
+
+
+def test_non_essential_postings_are_probed_only_where_a_document_can_qualify():
+    rng = np.random.default_rng(4)
+    everywhere, rare = np.arange(4096), np.sort(rng.choice(4096, 30, replace=False))
+    lists = [(everywhere, rng.integers(1, 100, 4096)), (rare, rng.integers(900, 1000, 30))]
+    full = np.zeros(4096, np.int64)
+    for places, c in lists:
+        full[places] += c
+    for least, most in ((1, 4126), (200, 60), (950, 60), (1200, 0)):
+        places, score, looked = maxscore.rank_shard(lists, 4096, least)
+        assert places.tolist() == np.flatnonzero(full >= least).tolist() and score.tolist() == full[full >= least].tolist() and looked <= most
+    assert maxscore.rank_shard([], 5, 1)[0].tolist() == []
+
+
+# --- all queries
+
+@pytest.mark.parametrize("name", ["op11_imatch", "op12_variants", "op13_maxscore"])
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_query_equals_sql(spark, name):
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    df, want = queries()[name](spark, folder), con.execute(oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
