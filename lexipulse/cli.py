@@ -9,7 +9,6 @@ from __future__ import annotations
 import argparse
 import datetime
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,39 +40,34 @@ def work_of(via: str, sources: list[str], taxonomy: Taxonomy, years: range, samp
 def analysed(spark: SparkSession, folder: str, taxonomy: Taxonomy, as_of_year: int, window: int, wanted: list[str] | None, keep: str | None = None, stage: str | None = None) -> analysis.Result:
     """Runs the analysis that the raw files of a folder call for.
 
-    N-gram counts are kept in ``keep`` between runs, documents by source and year in ``stage``: a run over the same files
-    parses no line again and reads only the partitions it needs.
+    N-gram counts are kept in ``keep`` by source and year, documents by file, source and year in ``stage``: a later run
+    parses only files that have changed, and counts only source-years whose documents have.
     """
 
-    def read(paths: list, **own) -> DataFrame:
-        make = lambda: jsonl.read_tolerant(spark, [str(p) for p in paths]).withColumns(own)
-        return jsonl.staged(spark, stage, jsonl.fingerprint(paths, *sorted(own)), make) if stage else make()
+    def read(paths: list[str], **own) -> DataFrame:
+        return jsonl.staged(spark, stage, paths, **own) if stage else jsonl.read_tolerant(spark, paths).withColumns(own)
 
-    found = jsonl.discover(folder, wanted)
+    found = jsonl.discover(spark, folder, wanted)
     pages = f"{folder}/{PAGES}"
     kinds = {r.kind for r in fetch.ledger(spark, pages).select("kind").distinct().collect()} if fetch.waves(spark, pages) else set()
     if {"concept", "sample"} <= kinds and wanted and {"arxiv", "ieee"} & set(wanted):
         raise ValueError("the fetched pools hold arxiv and ieee already: ask for s2, or use another folder")
     if {"concept", "sample"} <= kinds and (not wanted or "s2" in wanted):
         sample, pool, years, cut = fetch.two_pools(spark, pages, taxonomy)
-        kept = (keep, jsonl.fingerprint([], *fetch.waves(spark, pages))) if keep else None
-        return analysis.two_pool(sample, pool, taxonomy, years, cut, as_of_year, recent_window=window, kept=kept)
+        return analysis.two_pool(sample, pool, taxonomy, years, cut, as_of_year, recent_window=window, keep=keep)
     plain = fetch.plain_docs(spark, pages, taxonomy, wanted) if "year" in kinds else None
     if not found and plain is None:
         raise SystemExit(f"no raw documents in {folder}")
     if "s2" in found:
-        metas = [json.loads(p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("s2_meta*.json"))]
+        metas = [json.loads(jsonl.read_text(spark, path)) for n, (path, _, _) in sorted(jsonl.listing(spark, folder).items()) if n.startswith("s2_meta") and n.endswith(".json")]
         years, cut = jsonl.pool_meta(spark, metas)
-        sample = read([Path(folder, "s2_sample.jsonl")])
-        kept = (keep, jsonl.fingerprint([Path(folder, "s2_sample.jsonl"), Path(folder, "s2_meta.json")])) if keep else None
-        return analysis.two_pool(sample, read(found["s2"]), taxonomy, years, cut, as_of_year, recent_window=window, kept=kept)
+        return analysis.two_pool(read([f"{folder}/s2_sample.jsonl"]), read(found["s2"]), taxonomy, years, cut, as_of_year, recent_window=window, keep=keep)
     docs, meta = plain or (None, None)
     for source, paths in found.items():
         one = read(paths, source=F.lit(source))
-        total = jsonl.year_totals(spark, source, jsonl.sidecar(paths[0]))
-        docs, meta = (one, total) if docs is None else (docs.unionByName(one), meta.unionByName(total))
-    kept = (keep, jsonl.fingerprint([p for paths in found.values() for p in paths], *fetch.waves(spark, pages))) if keep else None
-    return analysis.plain(docs, taxonomy, as_of_year, window, meta, kept=kept)
+        total = jsonl.year_totals(spark, source, jsonl.sidecar(spark, paths[0]))
+        docs, meta = (one, total) if docs is None else (docs.unionByName(one, allowMissingColumns=True), meta.unionByName(total))
+    return analysis.plain(docs, taxonomy, as_of_year, window, meta, keep=keep)
 
 
 def tested(spark: SparkSession, taxonomy: Taxonomy, text: str) -> dict[str, dict[str, int]]:
@@ -129,7 +123,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command in ("analyze", "all"):
         result.write(a.out)
     if a.command in ("report", "all"):
-        report.build(result, a.main_source, a.out if a.command == "report" else str(Path(a.out, "report.html")))
+        report.build(result, a.main_source, a.out if a.command == "report" else f"{a.out}/report.html")
 
 
 if __name__ == "__main__":

@@ -12,7 +12,6 @@ import unicodedata
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -49,10 +48,13 @@ NUMERIC = r"^[0-9.\-]+$"
 BLANK = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf(StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    """HTML entities resolved, then NFKC; null stays null."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", html.unescape(t)), na_action="ignore")
+@F.arrow_udf(StringType())
+def unescaped(texts: pa.Array) -> pa.Array:
+    """HTML entities resolved, then NFKC; null stays null.
+
+    Python's normalise returns at once where nothing is to do; Arrow's own kernel leaves accented letters in two parts.
+    """
+    return pa.array((t if t is None else unicodedata.normalize("NFKC", html.unescape(t)) for t in texts.to_pylist()), texts.type)
 
 
 def strip_tags(text: Column) -> Column:

@@ -39,26 +39,41 @@ def burst_scores(df: DataFrame, analysed: DataFrame, as_of_year: int, width: int
 
 def _greedy(top: int, overlap: float):
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "term"], ascending=[False, True])
+        """The rows already ``held``, and what of the others, all behind them, stays beside them."""
+        rows = rows.sort_values(["held", "score", "term"], ascending=[False, False, True])
         kept: list[tuple[str, int]] = []
         taken = []
-        for i, (term, df) in enumerate(zip(rows["term"], rows["recent_df"])):
-            if len(kept) == top:
-                break
-            if not any(term in longer and n >= overlap * df for longer, n in kept):
+        for i, (held, term, df) in enumerate(zip(rows["held"], rows["term"], rows["recent_df"])):
+            if held or len(kept) < top and not any(term in longer and n >= overlap * df for longer, n in kept):
                 kept.append((term, df))
                 taken.append(i)
-        return rows.iloc[taken]
+        return rows.iloc[taken].drop(columns="held")
 
     return keep
 
 
-def without_contained(scores: DataFrame, top: int = 80, overlap: float = 0.7) -> DataFrame:
+def without_contained(scores: DataFrame, top: int = 80, overlap: float = 0.7, block: int = 2048) -> DataFrame:
     """The best ``top`` terms of each source; a term inside a better one of ``overlap`` times its frequency goes.
 
-    The scan is sequential by nature and runs once a source over its terms of enough recent documents.
+    A task gets the next ``block`` terms of a source by rank and the at most ``top`` kept before. Whether a term stays depends
+    on the kept terms before it alone, and once ``top`` are kept none behind can join them; so reading by falling rank in
+    blocks gives what one reading of all terms gives, and terms below the last block read change nothing. Another block is
+    read only for sources with fewer than ``top`` kept and terms left, mostly for none.
     """
-    return scores.groupBy("source").applyInPandas(_greedy(top, overlap), scores.schema)
+    scores = scores.persist()
+    order = Window.partitionBy("source").orderBy(F.desc("score"), "term")
+    kept, rest = scores.limit(0), scores
+    while True:
+        ranked = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= block)
+        both = ranked.drop("place").withColumn("held", F.lit(False)).unionByName(kept.withColumn("held", F.lit(True)))
+        kept = both.groupBy("source").applyInPandas(_greedy(top, overlap), scores.schema).persist()
+        full = kept.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= top).select("source")
+        ends = ranked.where(F.col("place") == block).select("source", F.struct((-F.col("score")).alias("s"), F.col("term").alias("t")).alias("last"))
+        more = ends.join(full, "source", "left_anti").collect()  # a row a source that goes on
+        if not more:
+            return kept
+        behind = F.struct((-F.col("score")).alias("s"), F.col("term").alias("t")) > F.col("last")
+        rest = scores.join(scores.sparkSession.createDataFrame(more, ends.schema), "source").where(behind).select(scores.columns)
 
 
 def with_coverage(terms: DataFrame, taxonomy: Taxonomy) -> DataFrame:

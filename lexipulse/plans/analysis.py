@@ -77,21 +77,32 @@ def _matched(docs: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return match.matched(docs, taxonomy).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-#: Where a run may keep n-gram counts between runs, and the key of its raw files: (folder, key).
-Kept = tuple[str, str] | None
+def kept_ngrams(docs: DataFrame, min_df: int, keep: str, *parts: object) -> DataFrame:
+    """``ngram_df`` of ``docs``, kept in ``keep`` by source and year.
+
+    A source-year is known by the number of its documents and two sums over hashes of their ids and texts, and by whatever
+    ``parts`` the documents were chosen by. Only source-years that are not there yet are counted.
+    """
+    spark, own = docs.sparkSession, ("id", "text")
+    marked = docs.groupBy("source", "year").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*own)).alias("x"), F.sum(F.pmod(F.xxhash64(*own, F.lit(1)), F.lit(1 << 31))).alias("s"))
+    marks = {hashlib.sha256(repr((min_df, parts, tuple(r))).encode()).hexdigest()[:20]: (r.source, r.year) for r in marked.collect()}  # a row a source-year
+
+    def counted(missing: list[str]) -> DataFrame:
+        of = spark.createDataFrame([(*marks[m], m) for m in missing], "source string, year int, mark string")
+        return em.ngram_df(docs.join(of.select("source", "year"), ["source", "year"], "left_semi"), min_df).join(of, ["source", "year"])
+
+    schema = em.ngram_df(docs, min_df).withColumn("mark", F.lit("")).schema
+    return jsonl.kept_parts(spark, f"{keep}/ngrams", sorted(marks), schema, counted).drop("mark")
 
 
-def _emerging(docs: DataFrame, counts: DataFrame, taxonomy: Taxonomy, as_of_year: int, width: int, min_df: int, kept: Kept = None) -> DataFrame:
-    df = em.ngram_df(docs.where("in_domain"), min_df)
-    if kept:  # the domain gate feeds the counts, so its terms are part of the key
-        key = hashlib.sha256(repr((kept[1], taxonomy.domain_terms, min_df)).encode()).hexdigest()[:20]
-        made = df
-        df = jsonl.reused(docs.sparkSession, kept[0], "ngrams", key, lambda: made)
+def _emerging(docs: DataFrame, counts: DataFrame, taxonomy: Taxonomy, as_of_year: int, width: int, min_df: int, keep: str | None = None) -> DataFrame:
+    inside = docs.where("in_domain")  # the domain gate feeds the counts, so its terms are part of their key
+    df = kept_ngrams(inside, min_df, keep, taxonomy.domain_terms) if keep else em.ngram_df(inside, min_df)
     scores = em.burst_scores(df, counts.select("source", "year", F.col("in_domain_analysed").alias("n")), as_of_year, width)
     return em.with_coverage(em.without_contained(scores), taxonomy)
 
 
-def plain(docs: DataFrame, taxonomy: Taxonomy, as_of_year: int, recent_window: int = 3, meta: DataFrame | None = None, min_df: int = 5, kept: Kept = None) -> Result:
+def plain(docs: DataFrame, taxonomy: Taxonomy, as_of_year: int, recent_window: int = 3, meta: DataFrame | None = None, min_df: int = 5, keep: str | None = None) -> Result:
     """Every document of each source-year is there; with more than one source, ``all`` sums them up."""
     m = _matched(measures.first_wins(prepared(docs), *order_of(docs), by=("source", "year", "id")), taxonomy)
     counts = measures.year_counts(m)
@@ -99,13 +110,13 @@ def plain(docs: DataFrame, taxonomy: Taxonomy, as_of_year: int, recent_window: i
     cy = measures.concept_year(measures.concept_counts(m), total, taxonomy)
     examples, synonyms = measures.examples(m, as_of_year), measures.synonym_year(m)
     pairs = measures.cooccurrence(m, cy, total)
-    terms = _emerging(m, counts, taxonomy, as_of_year, recent_window, min_df, kept)
+    terms = _emerging(m, counts, taxonomy, as_of_year, recent_window, min_df, keep)
     if total.select("source").distinct().limit(2).count() > 1:
         cy, total = measures.with_all_sources(cy, total)
     return Result(m, total, cy, synonyms, measures.growth(cy, as_of_year, recent_window), pairs, examples, terms, False, as_of_year, recent_window)
 
 
-def two_pool(sample: DataFrame, pool: DataFrame, taxonomy: Taxonomy, year_meta: DataFrame, cut: DataFrame, as_of_year: int, tags: tuple[str, ...] = ("all", "ieee", "arxiv"), ngram_tags: tuple[str, ...] = ("all", "ieee"), recent_window: int = 3, min_df: int = 5, pairs: str = "all", kept: Kept = None) -> Result:
+def two_pool(sample: DataFrame, pool: DataFrame, taxonomy: Taxonomy, year_meta: DataFrame, cut: DataFrame, as_of_year: int, tags: tuple[str, ...] = ("all", "ieee", "arxiv"), ngram_tags: tuple[str, ...] = ("all", "ieee"), recent_window: int = 3, min_df: int = 5, pairs: str = "all", keep: str | None = None) -> Result:
     """A sample gives denominators, pools by concept give numerators, weighted where a query was cut short.
 
     A pool document counts for a concept only if that concept's query returned it; with ``pairs="all"`` pairs count all
@@ -122,5 +133,5 @@ def two_pool(sample: DataFrame, pool: DataFrame, taxonomy: Taxonomy, year_meta:
     cy = measures.concept_year(measures.concept_counts(m, cut, gate), total, taxonomy, weighted=True)
     both = measures.cooccurrence(m, cy, total, gate if pairs == "gated" else None)
     tagged = measures.by_tag(s.drop("source")).where(F.col("source").isin(*ngram_tags))
-    terms = _emerging(tagged, measures.year_counts(tagged), taxonomy, as_of_year, recent_window, min_df, kept)
+    terms = _emerging(tagged, measures.year_counts(tagged), taxonomy, as_of_year, recent_window, min_df, keep)
     return Result(m, total, cy, measures.synonym_year(m, gate), measures.growth(cy, as_of_year, recent_window), both, measures.examples(m, as_of_year, gate=gate), terms, True, as_of_year, recent_window)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import html
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.jsonl import write_text
 from . import views
 from .analysis import Result
 
@@ -75,4 +75,4 @@ def build(result: Result, source: str, path: str, headline: list[str] | None = N
         ("Examples", grid(views.example_list(result.examples))),
     ]
     body = "".join(f"<h2>{html.escape(t)}</h2>{x}" for t, x in parts)
-    Path(path).write_text(f"<!doctype html><meta charset=utf-8><title>Term trends</title><style>{STYLE}</style><h1>Term trends</h1>{body}", encoding="utf-8")
+    write_text(result.matched.sparkSession, path, f"<!doctype html><meta charset=utf-8><title>Term trends</title><style>{STYLE}</style><h1>Term trends</h1>{body}")

@@ -523,6 +523,18 @@ def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(measures.year_counts(o).select("year", "source", F.col("analysed").alias("fetched"), "abstract_rate"), "abstract_rate")
 
 
+_SAID = [(c.key, s, sorted({f + p for p in ("", "s", "es") for f in [s]}) if any(x.islower() for x in s) else [s, s + "s"], any(x.islower() for x in s)) for c in PROSE.concepts for s in c.synonyms]
+
+
+@_query(f"""WITH {DD}, m AS (SELECT * FROM dd), {sql_hits(PROSE, gated=False)}, syn(concept, synonym, forms, fold) AS (VALUES {", ".join(f"({sql_text(k)}, {sql_text(s)}, [{', '.join(map(sql_text, forms))}], {str(fold).lower()})" for k, s, forms, fold in _SAID)}),
+ o AS (SELECT year, hits.concept, synonym, len(list_filter(string_split_regex(CASE WHEN fold THEN lower(text) ELSE text END, '[^A-Za-z0-9]+'), lambda t: list_contains(forms, t))) AS n FROM hits JOIN syn ON syn.concept = hits.concept)
+ SELECT concept, synonym, year, count(*) AS docs, CAST(sum(n) AS BIGINT) AS occurrences, CAST(max(n) AS INTEGER) AS most FROM o WHERE n > 0 GROUP BY concept, synonym, year""")
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each synonym stands in the documents of a year; prose repeats its words, so occurrences exceed documents."""
+    m = match.matched(prose_docs(spark, sf_dir), PROSE, gated=False)
+    return match.long_hits(m, "year").groupBy("concept", "synonym", "year").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"), F.max("n").alias("most"))
+
+
 # --- emerging terms -------------------------------------------------------------------------------
 
 _EMD = f"md AS (SELECT *, {sql_domain(PROSE)} AS in_domain FROM dd), dn AS (SELECT year, count(*) AS n FROM md WHERE in_domain GROUP BY year)"

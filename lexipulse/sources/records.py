@@ -1,11 +1,19 @@
-"""Records of the sources' APIs and exports, projected to documents. Built-in expressions only."""
+"""Records of the sources' APIs and exports, projected to documents by built-in expressions."""
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import as_docs
+from .jsonl import with_file_rank
 
 S2_RECORD = "paperId string, title string, abstract string, year int, publicationDate string, externalIds struct<DOI:string,ArXiv:string>, venue string, publicationVenue struct<name:string>, citationCount long, publicationTypes array<string>"
 OPENALEX_RECORD = "id string, doi string, title string, publication_year int, publication_date string, abstract_inverted_index map<string,array<int>>, primary_location struct<landing_page_url:string,source:struct<display_name:string>>, type string, cited_by_count long, ids struct<pmid:string>"
@@ -115,31 +123,47 @@ def from_warehouse(rows: DataFrame) -> DataFrame:
     )
 
 
-#: Columns that an export may have at most.
-CSV_WIDTH = 64
+#: Columns of an export that documents are made of; others are left.
+CSV_COLUMNS = ("id", "title", "abstract", "assignee", "result link")
+
+
+def _export_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each whole file, read by its own header: the first of the first two lines that begins with id, or the first."""
+    for batch in batches:
+        for rank, path, text in zip(*(batch.column(c).to_pylist() for c in ("file_rank", "path", "value"))):
+            lines = enumerate(csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline="")))
+            head = list(itertools.islice(((k, line) for k, line in lines if line), 2))
+            at = next((i for i, (_, line) in enumerate(head) if line[0].strip().lower() == "id"), 0)
+            names: dict[str, int] = {}
+            for i, name in enumerate(head[at][1] if head else ()):
+                names.setdefault(name.strip().lower(), i)
+            dated = next((c for c in CSV_DATES if c in names), None)
+            out: dict[str, list] = {c: [] for c in ("k", *CSV_COLUMNS, "dated")}
+            for k, line in (*head[at + 1 :], *lines):
+                if line and line[0].strip().lower() != "id":
+                    cell = lambda c: line[names[c]] if c in names and names[c] < len(line) else None  # noqa: B023, E731
+                    for c, v in (("k", k), *((c, cell(c)) for c in CSV_COLUMNS), ("dated", cell(dated))):
+                        out[c].append(v)
+            n = len(out["k"])
+            kinds = {"k": pa.int64()}
+            columns = {"file_rank": pa.array([rank] * n, pa.int32())} | {c: pa.array(v, kinds.get(c, pa.string())) for c, v in out.items()}
+            yield pa.RecordBatch.from_pydict(columns | {"file": pa.array([unquote(path.rsplit("/", 1)[-1])] * n, pa.string())})
 
 
 def read_patent_csv(spark, paths: str | list[str]) -> DataFrame:
     """The rows of exports with or without a preamble line, in the order of ``paths``, under lower-case header names.
 
-    Quoted fields may hold line breaks, so a file is one task. k orders rows within a file, file_rank files; file is the
-    file's name; dated is the date column that comes first among those the file has.
+    All files are one scan; quoted fields may hold line breaks, so a file is read whole, in one task, by its own header. k
+    orders rows within a file, file_rank files; file is the file's name; dated is the date column that comes first
+    among those the file has. Columns that a file lacks are null.
     """
-    out = None
-    cells = ", ".join(f"c{i} string" for i in range(CSV_WIDTH))
-    for rank, path in enumerate([paths] if isinstance(paths, str) else paths):
-        raw = spark.read.schema(cells).option("multiLine", True).option("escape", '"').csv(path).withColumn("k", F.monotonically_increasing_id())
-        clean = F.lower(F.trim(F.regexp_replace("c0", "\ufeff", "")))
-        head = [r for r in raw.orderBy("k").limit(2).collect()]  # preamble and header
-        at = next((r for r in head if str(r.c0 or "").replace("\ufeff", "").strip().lower() == "id"), head[0] if head else None)
-        if at is None:
-            continue
-        names = {str(v).replace("\ufeff", "").strip().lower(): f"c{i}" for i, v in reversed(list(enumerate(at[:CSV_WIDTH]))) if v is not None}
-        body = raw.where((F.col("k") > at.k) & ((clean != "id") | clean.isNull()))
-        dated = next((F.col(names[c]) for c in CSV_DATES if c in names), F.lit(None).cast("string"))
-        one = body.select(F.lit(rank).alias("file_rank"), "k", *(F.col(c).alias(n) for n, c in names.items()), dated.alias("dated"), F.lit(path.rsplit("/", 1)[-1]).alias("file"))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], "file_rank int, k long, id string, dated string, file string")
+    every = [paths] if isinstance(paths, str) else list(paths)
+    schema = "file_rank int, k long, " + ", ".join(f"`{c}` string" for c in (*CSV_COLUMNS, "dated", "file"))
+    if not every:
+        return spark.createDataFrame([], schema)
+    whole = spark.read.text(every, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_path").alias("name"), "value")
+    ranked = with_file_rank(whole, every).select("file_rank", F.col("name").alias("path"), "value")
+    return ranked.mapInArrow(_export_rows, schema)
 
 
 def from_patent_csv(rows: DataFrame) -> DataFrame:

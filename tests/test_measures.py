@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,22 @@ def test_report_tables_are_whole(spark):
     from lexipulse.plans import report
 
     assert report.grid(spark.range(700)).count("<tr>") == 701
+
+
+@pytest.mark.parametrize("block", [7, 50, 1000])
+def test_greedy_removal_in_blocks(spark, block):
+    """Blocks of any size give what one reading of all terms gives."""
+    rng = random.Random(2)
+    words = ["ab", "bc", "abc", "cd", "abcd", "de"]
+    rows = [(s, " ".join(rng.choices(words, k=rng.randrange(1, 4))), rng.randrange(15, 60), float(rng.randrange(12))) for s in "xyz" for _ in range({"x": 120, "y": 30, "z": 5}[s])]
+    rows = list({r[:2]: r for r in rows}.values())
+    want = set()
+    for s in "xyz":
+        kept = []
+        for _, term, n, score in sorted((r for r in rows if r[0] == s), key=lambda r: (-r[3], r[1])):
+            if len(kept) < 12 and not any(term in k and m >= 0.7 * n for k, m in kept):
+                kept.append((term, n))
+                want.add((s, term, n, score))
+    scores = spark.createDataFrame(rows, "source string, term string, recent_df long, score double")
+    got = emerging.without_contained(scores, top=12, block=block).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

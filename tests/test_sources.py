@@ -1,4 +1,5 @@
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -35,16 +36,16 @@ def test_tolerant_scan_and_stage(spark, tmp_path):
 def test_discovery_and_sidecars(spark, tmp_path):
     (tmp_path / "openalex_arxiv.jsonl").write_text("x")
     (tmp_path / "arxiv_direct.jsonl").write_text("")
-    assert list(jsonl.discover(tmp_path)["arxiv"])[0].name == "openalex_arxiv.jsonl"
+    assert jsonl.discover(spark, str(tmp_path))["arxiv"][0].endswith("/openalex_arxiv.jsonl")
     for n in ("s2_concepts.jsonl", "s2_concepts.1.jsonl", "s2_sample.jsonl", "s2_meta.json"):
         (tmp_path / n).write_text("{}")
-    found = jsonl.discover(tmp_path)
-    assert list(found) == ["s2"] and [p.name for p in found["s2"]] == ["s2_concepts.1.jsonl", "s2_concepts.jsonl"]
+    found = jsonl.discover(spark, str(tmp_path))
+    assert list(found) == ["s2"] and [p.rsplit("/", 1)[1] for p in found["s2"]] == ["s2_concepts.1.jsonl", "s2_concepts.jsonl"]
     with pytest.raises(ValueError):
-        jsonl.discover(tmp_path, ["arxiv"])
+        jsonl.discover(spark, str(tmp_path), ["arxiv"])
     years, cut = jsonl.pool_meta(spark, [{"years": {"2020": {"domain_total": 9}}, "concepts": {"A": {"2020": {"total": 5, "fetched": 1}}}}, {"concepts": {"A": {"2020": {"total": 6, "fetched": 2}}}}])
     assert [tuple(r) for r in years.collect()] == [(2020, 9)] and [tuple(r) for r in cut.collect()] == [("A", 2020, 6, 2)]
-    assert jsonl.sidecar(tmp_path / "none.jsonl") == {} and jsonl.year_totals(spark, "x", {}).count() == 0
+    assert jsonl.sidecar(spark, str(tmp_path / "none.jsonl")) == {} and jsonl.year_totals(spark, "x", {}).count() == 0
 
 
 def test_records(spark):
@@ -198,9 +199,9 @@ def test_run_report_tester_and_stream(spark, tmp_path):
     r = cli.analysed(spark, str(raw), tax, 2021, 3, None, str(tmp_path / "kept"))
     terms = sorted(map(tuple, r.emerging.collect()))
     again = cli.analysed(spark, str(raw), tax, 2021, 3, None, str(tmp_path / "kept"))
-    assert sorted(map(tuple, again.emerging.collect())) == terms and len(list((tmp_path / "kept").iterdir())) == 1
+    assert sorted(map(tuple, again.emerging.collect())) == terms and len(list((tmp_path / "kept" / "ngrams").glob("*.marks"))) == 1
     cli.analysed(spark, str(raw), from_dict(TAX | {"domain_terms": ["chip", "other"]}), 2021, 3, None, str(tmp_path / "kept"))
-    assert len(list((tmp_path / "kept").iterdir())) == 2  # the gate is part of the key
+    assert len(list((tmp_path / "kept" / "ngrams").glob("*.marks"))) == 2  # the gate is part of the key
     r.write(str(tmp_path / "out"))
     assert json.loads((tmp_path / "out" / "summary.json").read_text())["docs_analysed"] == 60
     assert jsonl.read_table(spark, str(tmp_path / "out" / "growth.csv"), "source string, category string, concept string").count() == 2
@@ -213,3 +214,59 @@ def test_run_report_tester_and_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = {(x.year, x.concept): x.docs for x in streaming.current(spark, str(tmp_path / "counts")).collect()}
     assert sum(n for (_, c), n in got.items() if c is None) == 60 and sum(n for (_, c), n in got.items() if c == "GAN") == 30
+
+
+def test_many_exports_are_one_scan(spark, tmp_path):
+    paths = []
+    for i in range(60):
+        (tmp_path / f"e{i}.csv").write_text(f"ID,Title,{['Priority Date', 'Grant Date'][i % 2]}\nX{i % 40},title {i},20{10 + i % 10}-01-01\n")
+        paths.append(str(tmp_path / f"e{i}.csv"))
+    random.Random(1).shuffle(paths)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    rows = records.read_patent_csv(spark, paths)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) <= len(before) + 1  # the listing, no job a file
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r.id: r.title for r in records.from_patent_csv(rows).collect()}
+    first = {}
+    for p in paths:
+        i = int(Path(p).stem[1:])
+        first.setdefault(f"X{i % 40}", f"title {i}")
+    assert got == first and len(got) == 40
+
+
+def test_order_of_nested_files_and_many_paths(spark, tmp_path):
+    """A path that ends like another, escaped names, and thousands of places."""
+    (tmp_path / "b" / "a").mkdir(parents=True)
+    (tmp_path / "a").mkdir()
+    names = ["b/a/x.jsonl", "a/x.jsonl", "a/odd name +%.jsonl"]
+    for n in names:
+        (tmp_path / n).write_text(line(n, 2020))
+    for order in (names, names[::-1]):
+        got = {r.id: r.file_rank for r in jsonl.read_tolerant(spark, [str(tmp_path / n) for n in order]).collect()}
+        assert got == {n: i for i, n in enumerate(order)}
+    rows = spark.createDataFrame([(f"file:///many/{i}.jsonl",) for i in (0, 77, 4999)] + [("file:/not/there",)], "path string").withColumn("i", F.col("path"))
+    ranked = jsonl.with_file_rank(rows, [f"/many/{i}.jsonl" for i in range(5000)])
+    assert sorted(r.file_rank for r in ranked.collect()) == [0, 77, 4999, 5000]
+
+
+def test_a_new_year_touches_only_its_own_parts(spark, tmp_path):
+    """Files staged and source-years counted before are not read again; results are those of a run without anything kept."""
+    raw, tax = tmp_path / "raw", from_dict(TAX)
+    raw.mkdir()
+    year = lambda y, n=12: "\n".join(line(f"{y}-{i}", y, f"GaN chip of kind alpha{y % 3}") for i in range(n)) + "\n"
+    (raw / "arxiv_direct.jsonl").write_text("".join(map(year, range(2015, 2021))))
+    (raw / "google_patents.jsonl").write_text("".join(map(year, range(2015, 2021))))
+    keep, stage = str(tmp_path / "keep"), str(tmp_path / "stage")
+    run = lambda **how: cli.analysed(spark, str(raw), tax, 2023, 3, None, **how)
+    rows = lambda r: [sorted(map(str, t.collect())) for t in (r.totals, r.concept_year, r.emerging, r.examples)]
+    assert rows(run(keep=keep, stage=stage)) == rows(run())
+    marks = lambda kind: [json.loads(p.read_text()) for p in sorted((tmp_path / kind).glob("*/*.marks"))]
+    assert [len(m) for m in marks("keep")] == [12] and [len(m) for m in marks("stage")] == [1, 1]
+    with (raw / "arxiv_direct.jsonl").open("a") as out:
+        out.write(year(2021))
+    assert rows(run(keep=keep, stage=stage)) == rows(run())
+    assert [len(m) for m in marks("keep")] == [12, 1] and [len(m) for m in marks("stage")] == [1, 1, 1]
+    before = marks("keep"), marks("stage")
+    assert rows(run(keep=keep, stage=stage)) == rows(run()) and (marks("keep"), marks("stage")) == before
+    plan = jsonl.staged(spark, stage, [f"{raw}/google_patents.jsonl"], source=F.lit("google_patents")).where("year = 2016")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2016" in plan
