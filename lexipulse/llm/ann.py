@@ -82,12 +82,23 @@ def _assign(batches, centroids):
         yield batch.append_column("cell", pa.array(cell, pa.int32()))
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
 def best_of(s: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int):
-    """(row, places of the k best, their exact scores) of each row of rough scores ``s`` of queries y against x."""
+    """(row, places of the k best, their exact scores) of each row of rough scores ``s`` of queries y against x.
+
+    A rough score is off by at most the dimension times the rounding unit times both lengths, and so is an exact one; a
+    place is looked at where its score can reach the k-th largest of the others within these bounds, whatever their size.
+    """
     keep = min(k, s.shape[1])
-    cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep] if keep else s
-    for r in range(len(s) if keep else 0):
-        near = np.flatnonzero((s[r] >= cut[r] - 1e-9) & np.isfinite(s[r]))
+    slack = 2 * (x.shape[1] + 1) * np.finfo(np.float64).eps
+    lengths = norms(x)
+    for r, length in enumerate(norms(y) if keep else ()):
+        bound = slack * length * lengths
+        cut = -np.partition(bound - s[r], keep - 1)[keep - 1]
+        near = np.flatnonzero((s[r] + bound >= cut) & (s[r] > -np.inf))
         score = (y[r] * x[near]).sum(1)
         best = np.lexsort((ids[near], -score))[:keep]
         yield r, near[best], score[best]
@@ -187,7 +198,7 @@ class Index:
         self.empty = width is None
         if self.empty:
             return
-        whole = whole.where(F.size("vector") == width.d).select("id", F.xxhash64("id", "vector").alias("own"), "vector")
+        whole = whole.where(F.size("vector") == width.d).select("id", F.xxhash64("id", "vector").alias("own"), "vector").dropDuplicates(["own"])  # copies would fill the lists
         x = matrix(whole.orderBy("own").limit(sample).select("vector").toArrow().column("vector"))
         h = width.d // 2
         self.centroids = spark.sparkContext.broadcast((kmeans(x[:, :h], cells, rounds, seed), kmeans(x[:, h:], cells, rounds, seed + 1)))

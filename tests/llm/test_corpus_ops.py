@@ -323,6 +323,37 @@ def test_neighbours_of_repeated_ids_and_doubles(spark):
     assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], rtol=1e-12)
 
 
+def by_brute_force(x, q, k):
+    """Inner products summed as the operator does, ties to the smaller id."""
+    score = (x * x[q]).sum(1)
+    score[q] = -np.inf
+    best = np.lexsort((np.arange(len(x)), -score))[:k]
+    return [(int(i), float(score[i])) for i in best]
+
+
+@pytest.mark.parametrize("size", [1.0, 1e3, 1e8])
+def test_neighbours_among_near_ties(spark, size):
+    """Vectors that differ in their last digits alone: rough scores say nothing about their order."""
+    rng = np.random.default_rng(3)
+    x = size * (1 + 1e-13 * rng.integers(-50, 50, (400, 32)))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(rows, lambda i: i % 10 == 0, k=20, recall=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert all(got[q] == by_brute_force(x, q, 20) for q in range(0, 400, 10))
+
+
+def test_neighbours_of_rows_repeated_25_times(spark):
+    """A third of the rows are copies of one vector, the others come 25 times each: answers are those of single rows."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    one = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    many = functions.explode(functions.sequence(functions.lit(1), functions.when(functions.col("id") == 7, 3000).otherwise(25)))
+    answer = lambda df: sorted(map(tuple, ann.search(df, lambda i: i % 20 == 0, k=20).collect()))
+    want = answer(one)
+    assert len(want) == 15 * 20 and answer(one.withColumn("copy", many).drop("copy")) == want
+
+
 def templated(n, own):
     rng, page = random.Random(1), [f"c{i}" for i in range(102)]
     for _ in range(n):
