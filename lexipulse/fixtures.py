@@ -40,14 +40,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def line_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as documents: the part's name is the text, the return flag the source, the ship year the year."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
+
+
+def line_docs(spark: SparkSession, sf_dir: str, part: DataFrame | None = None) -> DataFrame:
+    """Order lines as documents: the part's name is the text, the return flag the source, the ship year the year.
+
+    Further columns of ``part`` come along: what depends on the text alone is best found once a part.
+    """
+    part = part if part is not None else part_texts(spark, sf_dir)
     line = table(spark, sf_dir, "lineitem")
     return line.join(part, line["l_partkey"] == part["p_partkey"]).select(
         F.col("l_returnflag").alias("source"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.year("l_shipdate").alias("year"),
-        F.col("p_name").alias("text"), F.col("p_name").alias("title"), F.lit("").alias("url"), F.col("l_quantity").cast("long").alias("cited"), (F.col("l_linestatus") == "F").alias("has_abstract"),
-        F.col("l_extendedprice").alias("price"), F.col("l_linenumber").cast("int").alias("line"),
+        "text", F.col("text").alias("title"), F.lit("").alias("url"), F.col("l_quantity").cast("long").alias("cited"), (F.col("l_linestatus") == "F").alias("has_abstract"),
+        F.col("l_extendedprice").alias("price"), F.col("l_linenumber").cast("int").alias("line"), *(c for c in part.columns if c not in ("p_partkey", "text")),
     )
 
 

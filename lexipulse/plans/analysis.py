@@ -33,6 +33,31 @@ def order_of(docs: DataFrame) -> list:
     return [F.col(c) for c in ("file_rank", "line_key", "title", "url") if c in docs.columns]
 
 
+#: table -> columns it is written in order of, with * before falling ones
+ORDER = {
+    "totals": ("source", "year"), "concept_year": ("source", "category", "concept", "year"), "synonym_year": ("source", "concept", "year", "*docs", "synonym"),
+    "growth": ("source", "*growth_ratio", "concept"), "cooccurrence": ("source", "*docs_both", "concept_a", "concept_b"), "examples": ("source", "concept", "rank"), "emerging": ("source", "*score", "term"),
+}
+
+
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """A result table in the order of its kind."""
+    out = df.orderBy(*(F.desc(c[1:]) if c[0] == "*" else F.asc(c) for c in ORDER[name]))
+    return out.drop("rank") if name == "examples" else out
+
+
+def write_ordered(df: DataFrame, name: str, path: str) -> None:
+    """A result table as one CSV file with a header, in the order of its kind."""
+    in_order(df, name).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_matches(matched: DataFrame, folder: str, *more: str) -> None:
+    """The documents with a concept, by source and year as Parquet, by source as JSON with a map of synonyms."""
+    found = matched.where(F.size("concepts") > 0).select("source", "year", "id", "hits", "cited", "title", "url", *(c for c in more if c in matched.columns))
+    found.write.mode("overwrite").partitionBy("source", "year").parquet(f"{folder}/matches.parquet")
+    found.withColumn("concepts", match.hit_map(F.col("hits"))).drop("hits").write.mode("overwrite").partitionBy("source").json(f"{folder}/matches.json")
+
+
 @dataclass
 class Result:
     matched: DataFrame
@@ -47,29 +72,15 @@ class Result:
     as_of_year: int
     recent_window: int
 
-    #: table -> columns it is written in order of, with * before falling ones
-    ORDER = {
-        "totals": ("source", "year"), "concept_year": ("source", "category", "concept", "year"), "synonym_year": ("source", "concept", "year", "*docs", "synonym"),
-        "growth": ("source", "*growth_ratio", "concept"), "cooccurrence": ("source", "*docs_both", "concept_a", "concept_b"), "examples": ("source", "concept", "rank"), "emerging": ("source", "*score", "term"),
-    }
-
-    def ordered(self, name: str) -> DataFrame:
-        keys = [F.desc(c[1:]) if c[0] == "*" else F.asc(c) for c in self.ORDER[name]]
-        out = getattr(self, name).orderBy(*keys)
-        return out.drop("rank") if name == "examples" else out
-
     def summary(self) -> DataFrame:
         return measures.summary(self.totals, self.two_pool).withColumns({"partial_year": F.lit(self.as_of_year), "recent_window": F.lit(self.recent_window), "mode": F.lit("two-pool" if self.two_pool else "plain")})
 
     def write(self, folder: str) -> None:
         """Each table as Parquet and as one CSV file, the matches by source and year as Parquet and JSON, and summary.json."""
-        for name in self.ORDER:
+        for name in ORDER:
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-            self.ordered(name).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
-        more = ["sources", "retrieved_for"] if self.two_pool else []
-        found = self.matched.where(F.size("concepts") > 0).select("source", "year", "id", "hits", "cited", "title", "url", *(c for c in more if c in self.matched.columns))
-        found.write.mode("overwrite").partitionBy("source", "year").parquet(f"{folder}/matches.parquet")
-        found.withColumn("concepts", match.hit_map(F.col("hits"))).drop("hits").write.mode("overwrite").partitionBy("source").json(f"{folder}/matches.json")
+            write_ordered(getattr(self, name), name, f"{folder}/{name}.csv")
+        write_matches(self.matched, folder, *(["sources", "retrieved_for"] if self.two_pool else []))
         jsonl.write_text(self.matched.sparkSession, f"{folder}/summary.json", json.dumps(self.summary().first().asDict(), indent=2))
 
 

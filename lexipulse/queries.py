@@ -6,17 +6,20 @@ hold, whose other characters NFKC leaves alone; other texts are covered by the t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .fixtures import AS_OF_DOCS, AS_OF_LINES, DD, DL, PARTS, PROSE, line_docs, prose_docs, r6, sql_dim, sql_domain, sql_flag, sql_hits, sql_text, table
+from .fixtures import AS_OF_DOCS, AS_OF_LINES, DD, DL, PARTS, PROSE, line_docs, part_texts, prose_docs, r6, sql_dim, sql_domain, sql_flag, sql_hits, sql_text, table
 from .functions import textnorm
 from .operators import emerging, match, measures
-from .plans import views
-from .sources import records
-from .taxonomy import linear_presence
+from .plans import analysis, views
+from .schema import as_docs
+from .scratch import scratch
+from .sources import jsonl, records
+from .taxonomy import linear_presence, load_shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -58,7 +61,7 @@ HR = f"{RID}, m AS (SELECT *, {sql_domain(PARTS)} AS in_domain FROM dl), {sql_hi
 
 
 def matched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.matched(line_docs(spark, sf_dir), PARTS)
+    return line_docs(spark, sf_dir, match.matched(part_texts(spark, sf_dir), PARTS))
 
 
 def _totals(m: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @_query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(2014 + doc_id % 13 AS INTEGER) AS year, length(text) AS text_chars, length(trim(text)) > 0 AS has_abstract, CAST(coalesce(nullif(n_chars, 0), 0) AS BIGINT) AS cited FROM documents")
 def doc_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .schema import as_docs, citations, has_abstract
+    from .schema import citations, has_abstract
 
     d = table(spark, sf_dir, "documents")
     docs = as_docs(d, source=F.lit("documents"), id=F.col("doc_id"), abstract=F.col("text"), year=2014 + F.col("doc_id") % 13, extra_cited_by=F.col("n_chars"))
@@ -587,6 +590,90 @@ def emerging_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emerging.with_coverage(_kept_terms(spark, sf_dir), PROSE).select("term", "covered_by")
 
 
+# --- files: written, and read again ---------------------------------------------------------------
+
+
+def _orders_as_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return as_docs(o, source=F.lit("orders"), id=F.col("o_orderkey"), title=F.concat(F.lit('say "'), "o_orderpriority", F.lit('",\n\\ ü')), year=F.year("o_orderdate"), date=F.date_format("o_orderdate", "yyyy-MM-dd"), extra_cited_by=F.col("o_custkey"))
+
+
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS id, concat('say \"', o_orderpriority, '\",', chr(10), chr(92), ' ü') AS title, CAST(year(o_orderdate) AS INTEGER) AS year, strftime(o_orderdate, '%Y-%m-%d') AS date, o_custkey AS cited FROM orders")
+def strict_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON lines and back by the strict scan: quotes, line breaks, backslashes and other alphabets."""
+    path = scratch(spark, "lines")
+    jsonl.write_jsonl(_orders_as_docs(spark, sf_dir), path)
+    return jsonl.read_strict(spark, path).select("id", "title", "year", "date", F.col("extra.cited_by").alias("cited"))
+
+
+@_query("SELECT id, year, file FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file) AS r FROM (SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(min(year(o_orderdate)) AS INTEGER) AS year, CAST(ascii(o_orderstatus) % 3 AS INTEGER) AS file FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 GROUP BY o_custkey, ascii(o_orderstatus) % 3)) WHERE r = 1")
+def tolerant_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three folders of lines, some cut short, some without a year; the first file in the given order keeps an id."""
+    o = table(spark, sf_dir, "orders").withColumn("file", F.ascii("o_orderstatus") % 3)
+    years = o.where("o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0").groupBy("o_custkey", "file").agg(F.min(F.year("o_orderdate")).alias("year"))
+    whole = years.select("file", F.to_json(F.struct(F.lit("x").alias("source"), F.col("o_custkey").cast("string").alias("id"), "year")).alias("value"))
+    cut = o.where("o_orderkey % 7 = 0").select("file", F.concat(F.lit('{"source":"x","id":"'), "o_custkey", F.lit('","year":19')).alias("value"))
+    none = o.where("o_orderkey % 7 <> 0 and o_orderkey % 5 = 0").select("file", F.to_json(F.struct(F.col("o_custkey").cast("string").alias("id"))).alias("value"))
+    path = scratch(spark, "tolerant")
+    whole.union(cut).union(none).repartition(3, "file").write.partitionBy("file").text(path)
+    files = sorted((p, name) for k in range(3) for name, (p, _, _) in jsonl.listing(spark, f"{path}/file={k}").items() if name.startswith("part-"))
+    docs = jsonl.read_tolerant(spark, [p for p, _ in files])
+    first = measures.first_wins(docs, F.col("file_rank"), by=("id",))
+    number = F.element_at(F.array(*(F.lit(int(p.rsplit("/file=", 1)[1][0])) for p, _ in files)), F.col("file_rank") + 1) if files else F.lit(0)
+    return first.select("id", "year", number.cast("int").alias("file"))
+
+
+@_query(f"WITH {H} SELECT source, year, concept, count(*) AS docs, CAST(sum(cited) AS BIGINT) AS cited FROM hits GROUP BY source, year, concept")
+def match_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches written by source and year as Parquet and as JSON, and read again from both."""
+    path = scratch(spark, "matches")
+    analysis.write_matches(matched_lines(spark, sf_dir), path)
+    kept = spark.read.parquet(f"{path}/matches.parquet").select("source", "year", "cited", F.explode("hits.concept").alias("concept"))
+    lines = spark.read.schema("source string, concepts map<string,map<string,int>>").json(f"{path}/matches.json").select("source", F.explode(F.map_keys("concepts")).alias("concept"))
+    both = lines.groupBy("source", "concept").agg(F.count("*").alias("lines"))
+    one = kept.groupBy("source", "year", "concept").agg(F.count("*").alias("docs"), F.sum("cited").alias("cited"))
+    agree = one.groupBy("source", "concept").agg(F.sum("docs").alias("lines")).join(both, ["source", "concept", "lines"])
+    return one.join(agree, ["source", "concept"], "left_semi")
+
+
+@_query(f"{_DF} SELECT source, year, term, df FROM ndf")
+def kept_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-gram counts kept by source-year: half of the years counted by a first run, the others by a second, all read by a third."""
+    m, path = _prose_matched(spark, sf_dir).where("in_domain"), scratch(spark, "kept")
+    for part in (m.where("year % 2 = 0"), m):
+        analysis.kept_ngrams(part, 5, path, PROSE.domain_terms).count()
+    return analysis.kept_ngrams(m, 5, path, PROSE.domain_terms)
+
+
+@_query(f"{G}, o AS (SELECT row_number() OVER (ORDER BY source, round(growth_ratio, 6) DESC, concept) AS line, * FROM g) SELECT line, source, concept, docs_total, round(growth_ratio, 6) AS growth_ratio, first_year_ge3 FROM o")
+def table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The growth table as one CSV file in its order, read again with the line each row stands on."""
+    g, path = _growth(spark, sf_dir).withColumn("growth_ratio", F.round("growth_ratio", 6)), scratch(spark, "table")
+    analysis.write_ordered(g.select("source", "concept", "docs_total", "growth_ratio", "first_year_ge3"), "growth", path)
+    rows = jsonl.read_table(spark, path, "source string, concept string, docs_total long, growth_ratio double, first_year_ge3 int")
+    return rows.withColumn("line", F.monotonically_increasing_id() + 1)  # one file, one task
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> dict:
+    """A taxonomy of the nations by region, by their names and keys."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows in every size
+    out: dict = {"domain_terms": ["customer"], "categories": {}}
+    for r in n:
+        out["categories"].setdefault(r.r_name, {})[f"N{r.n_nationkey}"] = {"label": r.n_name, "synonyms": [r.n_name.title()]}
+    return out
+
+
+@_query("SELECT r_name AS category, 'N' || n_nationkey AS concept, n_name AS label, count(*) AS docs FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def taxonomy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A taxonomy written to a file, read again, and found in a sentence about each customer."""
+    path = f"{scratch(spark, 'taxonomy')}/t.json"
+    jsonl.write_text(spark, path, json.dumps(_nations(spark, sf_dir), ensure_ascii=False))
+    tax = load_shared(spark, path)
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    m = match.matched(c.select(F.concat_ws(" ", F.lit("A customer from"), "n_name", "c_name").alias("text")), tax)
+    return m.select(F.explode("concepts").alias("concept")).groupBy("concept").agg(F.count("*").alias("docs")).join(tax.frame(spark), "concept").select("category", "concept", "label", "docs")
+
+
 # --- views ----------------------------------------------------------------------------------------
 
 

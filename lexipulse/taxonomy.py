@@ -129,3 +129,8 @@ def from_dict(spec: dict) -> Taxonomy:
 def load(path: str | Path) -> Taxonomy:
     """Reads a taxonomy file: domain_terms and categories of concepts."""
     return from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
+
+
+def load_shared(spark: SparkSession, path: str) -> Taxonomy:
+    """The same from any file system that Spark reads."""
+    return from_dict(json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())))

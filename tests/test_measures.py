@@ -48,7 +48,7 @@ def test_plain_run(spark):
     assert cy["x", "GAN", 2019] == 1 and cy["x", "GAN", 2020] == 2 and cy["all", "SIC", 2020] == 2 and cy["y", "ZERO", 2020] == 0
     co = r.cooccurrence.collect()
     assert [(c.source, c.concept_a, c.concept_b, c.docs_both, c.docs_a, c.docs_b) for c in co] == [("x", "GAN", "SIC", 1, 3, 1)]
-    ex = [(e.id, e.year, e.cited) for e in r.ordered("examples").where("source = 'x' and concept = 'GAN'").collect()]
+    ex = [(e.id, e.year, e.cited) for e in analysis.in_order(r.examples, "examples").where("source = 'x' and concept = 'GAN'").collect()]
     assert ex == [("2", 2020, 7), ("1", 2019, 5)]  # one row an id, the first of its copies
     s = r.summary().first()
     assert (s.docs_analysed, s.docs_in_domain_analysed, s.years) == (6, 5, [2019, 2020])
@@ -57,8 +57,8 @@ def test_plain_run(spark):
 
 def test_empty_corpus(spark):
     r = analysis.plain(spark.createDataFrame([], DOC), TAX, 2021)
-    for name in r.ORDER:
-        assert r.ordered(name).count() == 0
+    for name in analysis.ORDER:
+        assert analysis.in_order(getattr(r, name), name).count() == 0
 
 
 def test_two_pool(spark):
