@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from xxhash import xxh3_64_intdigest
 
 # Single characters and what replaces them; those without a partner vanish
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2212\u2015\u00ad"
@@ -111,14 +113,52 @@ def _tagged(words: list[str], stop: frozenset[str]) -> tuple[np.ndarray, np.ndar
     return edge & (size >= 4), edge & (size >= 3), edge & (size >= 2), inside
 
 
-def token_ngrams(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> pa.ListArray:
-    """The distinct n-grams of each list of tokens, by place and length. Each distinct token is looked at once."""
+@dataclass
+class Grams:
+    """The distinct n-grams of a batch of texts, by text, place and length: codes of their words, -1 behind the last."""
+
+    owner: np.ndarray
+    codes: np.ndarray
+    words: pa.Array
+    texts: int
+
+    def joined(self, kept: np.ndarray | None = None) -> pa.Array:
+        """The n-grams, or the ``kept`` ones, as strings."""
+        codes = self.codes if kept is None else self.codes[kept]
+        size = (codes >= 0).sum(1)
+        parts, at = [], []
+        for n in range(1, codes.shape[1] + 1):
+            rows = np.flatnonzero(size == n)
+            each = [self.words.take(pa.array(codes[rows, k])) for k in range(n)]
+            parts.append(pc.binary_join_element_wise(*each, " ") if n > 1 else each[0])
+            at.append(rows)
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(at), kind="stable")))
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit number of each n-gram, the same in every batch."""
+        word = np.fromiter(map(xxh3_64_intdigest, (w.encode() for w in self.words.to_pylist())), np.uint64, len(self.words))
+        out = np.full(len(self.codes), 0x9E3779B97F4A7C15, np.uint64)
+        for code in self.codes.T:
+            here = code >= 0
+            out[here] = mixed(out[here] ^ word[code[here]])
+        return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, spread over all their bits."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def grams_of(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> Grams:
+    """The distinct n-grams of each list of tokens. Each distinct token is looked at once."""
     size = np.asarray(pc.fill_null(pc.list_value_length(toks), 0), np.int64)
     flat = toks.flatten().dictionary_encode()
     code, words = np.asarray(flat.indices, np.int64), flat.dictionary
     alone, first, last, inside = _tagged(words.to_pylist(), stop)
     doc = np.repeat(np.arange(len(size)), size)
-    place, grams, owner = [], [], []
+    place, owner, codes = [], [], []
     for n in range(1, longest + 1):
         start = np.arange(max(0, len(code) - n + 1))
         ok = doc[start] == doc[start + n - 1]
@@ -130,13 +170,18 @@ def token_ngrams(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> pa.L
         for k in range(n):  # equal keys: the same document and words so far
             key = np.unique(key * len(words) + code[start + k], return_inverse=True)[1]
         start = start[np.sort(np.unique(key, return_index=True)[1])]
-        parts = [words.take(pa.array(code[start + k])) for k in range(n)]
-        grams.append(pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0])
         place.append(start * longest + n)
         owner.append(doc[start])
+        codes.append(np.stack([code[start + k] if k < n else np.full(len(start), -1) for k in range(longest)], axis=1))
     order = np.argsort(np.concatenate(place), kind="stable")
-    edge = np.r_[0, np.cumsum(np.bincount(np.concatenate(owner), minlength=len(size)))]
-    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.concat_arrays(grams).take(pa.array(order)), mask=toks.is_null())
+    return Grams(np.concatenate(owner)[order], np.concatenate(codes)[order], words, len(size))
+
+
+def token_ngrams(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> pa.ListArray:
+    """The distinct n-grams of each list of tokens, by place and length."""
+    g = grams_of(toks, longest, stop)
+    edge = np.r_[0, np.cumsum(np.bincount(g.owner, minlength=g.texts))]
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), g.joined(), mask=toks.is_null())
 
 
 def ngrams(text: Column, longest: int = 3, stop: frozenset[str] = STOP_WORDS) -> Column:

@@ -2,18 +2,94 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from ..functions.textnorm import ngrams, normalise
+from ..functions.textnorm import STOP_WORDS, Grams, grams_of, mixed, ngrams, normalise, tokens
 from ..taxonomy import Taxonomy
 from .match import concepts_of
 
 
-def ngram_df(docs: DataFrame, min_df: int = 5, longest: int = 3, text: str = "text") -> DataFrame:
-    """source, year, term, df. Terms below ``min_df`` in a source-year go before years are added up."""
-    terms = docs.select("source", "year", F.explode(ngrams(F.col(text), longest)).alias("term"))
+#: Cells of the sketch: a document's share, the least, and the most (a byte each in a task, a bit each when broadcast).
+CELLS_A_DOCUMENT, LEAST_CELLS, MOST_CELLS = 256, 1 << 20, 1 << 25
+#: Cells of a row of the sketch, and rows of a block that one task adds up.
+CELLS_A_ROW, ROWS_A_TASK = 1 << 16, 64
+#: Documents a cell from which on no cell would stay empty enough to tell anything.
+CROWDED = 16
+
+
+def _cells(batch: pa.RecordBatch, longest: int, cells: int) -> tuple[Grams, np.ndarray]:
+    """The n-grams of a batch, and the cell of each under its source and year."""
+    g = grams_of(batch.column("tokens"), longest, STOP_WORDS)
+    year = np.asarray(batch.column("year").fill_null(-1), np.int64).astype(np.uint64)
+    source = np.fromiter((xxh3_64_intdigest((s or "").encode()) for s in batch.column("source").to_pylist()), np.uint64, batch.num_rows)
+    return g, (mixed(g.hashes() ^ mixed(source + year)[g.owner]) % np.uint64(cells)).astype(np.int64)
+
+
+def _sketched(batches, longest: int, cells: int):
+    """What each cell holds in this task, up to 255."""
+    total = np.zeros(cells, np.uint8)
+    for batch in batches:
+        cell, n = np.unique(_cells(batch, longest, cells)[1], return_counts=True)
+        total[cell] = np.minimum(total[cell] + n, 255)
+    shard = TaskContext.get().partitionId() // ROWS_A_TASK
+    rows = [(b, zlib.compress(part.tobytes(), 1)) for b, part in enumerate(total.reshape(-1, CELLS_A_ROW)) if part.any()]
+    yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in rows], pa.int32()), "shard": pa.array([shard] * len(rows), pa.int32()), "cells": pa.array([c for _, c in rows], pa.binary())})
+
+
+def _added(table: pa.Table, full: int | None = None) -> pa.Table:
+    """The sum of a block's rows, up to 255; or whether each cell reaches ``full``, a bit each."""
+    total = np.zeros(CELLS_A_ROW, np.uint16)
+    for raw in table.column("cells"):
+        total = np.minimum(total + np.frombuffer(zlib.decompress(raw.as_py()), np.uint8), 255)
+    out = zlib.compress(total.astype(np.uint8).tobytes(), 1) if full is None else np.packbits(total >= full).tobytes()
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "cells": pa.array([out], pa.binary())})
+
+
+def _frequent(tokens: DataFrame, min_df: int, longest: int, cells: int) -> np.ndarray:
+    """A bit a cell: whether the n-grams in it can reach ``min_df``. A cell counts all its n-grams, so none that does is lost."""
+    parts = tokens.mapInArrow(lambda it: _sketched(it, longest, cells), "block int, shard int, cells binary")
+    some = parts.groupBy("block", "shard").applyInArrow(lambda t: _added(t), "block int, cells binary")
+    bits = np.zeros(cells // 8, np.uint8)
+    for r in some.groupBy("block").applyInArrow(lambda t: _added(t, min_df), "block int, cells binary").collect():  # cells / 8 bytes
+        bits[r.block * CELLS_A_ROW // 8 :][: CELLS_A_ROW // 8] = np.frombuffer(r.cells, np.uint8)
+    return bits
+
+
+def _kept(batches, longest: int, cells: int, bits):
+    """source, year and term of the n-grams whose cell is frequent."""
+    for batch in batches:
+        g, cell = _cells(batch, longest, cells)
+        kept = np.flatnonzero(bits.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+        owner = pa.array(g.owner[kept])
+        yield pa.RecordBatch.from_arrays([batch.column("source").take(owner), batch.column("year").take(owner), g.joined(kept)], ["source", "year", "term"])
+
+
+def ngram_df(docs: DataFrame, min_df: int = 5, longest: int = 3, text: str = "text", cells: int | None = None) -> DataFrame:
+    """source, year, term, df. Terms below ``min_df`` in a source-year go before years are added up.
+
+    Most n-grams stand in a document or two. So a first scan counts cells of a count-min sketch over source, year and
+    term, whose size follows the documents up to a fixed one; a second scan sends on only n-grams whose cell reaches
+    ``min_df``, and these are counted exactly. Where the sketch would be crowded, all are sent. ``docs`` are read twice, so
+    they are best kept by the caller.
+    """
+    tokenised = docs.select("source", "year", tokens(F.col(text)).alias("tokens"))
+    if cells is None:
+        n = docs.count()
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_A_DOCUMENT * n).bit_length()))
+        cells = 0 if n * CELLS_A_DOCUMENT > CROWDED * cells or min_df < 2 else cells
+    if cells and min_df <= 255:
+        bits = docs.sparkSession.sparkContext.broadcast(_frequent(tokenised, min_df, longest, cells))
+        terms = tokenised.mapInArrow(lambda it: _kept(it, longest, cells, bits), "source string, year int, term string")
+    else:
+        terms = docs.select("source", "year", F.explode(ngrams(F.col(text), longest)).alias("term"))
     return terms.groupBy("source", "year", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
 
 

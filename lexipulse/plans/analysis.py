@@ -102,7 +102,7 @@ def kept_ngrams(docs: DataFrame, min_df: int, keep: str, *parts: object) -> Data
         of = spark.createDataFrame([(*marks[m], m) for m in missing], "source string, year int, mark string")
         return em.ngram_df(docs.join(of.select("source", "year"), ["source", "year"], "left_semi"), min_df).join(of, ["source", "year"])
 
-    schema = em.ngram_df(docs, min_df).withColumn("mark", F.lit("")).schema
+    schema = em.ngram_df(docs.limit(0), min_df, cells=0).withColumn("mark", F.lit("")).schema
     return jsonl.kept_parts(spark, f"{keep}/ngrams", sorted(marks), schema, counted).drop("mark")
 
 

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexipulse.functions import textnorm as tn
+from lexipulse.operators import emerging
 
 
 #: text -> what normalisation makes of it, written by hand
@@ -91,3 +92,26 @@ def test_tokens_and_ngrams(spark):
             if longest == 3 and r.t in GRAMS:
                 assert set(r.g) == GRAMS[r.t]
     assert df.where("false").select(tn.ngrams(F.col("t"))).count() == 0
+
+
+def test_sketch_loses_no_frequent_term(spark):
+    """Any number of cells gives the table of all n-grams; few cells only send more."""
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "of", "2.5", "x-ray", "gan", "é"]
+    rows = [(rng.choice(["a", "b", None]), rng.choice([2020, 2021, None]), " ".join(rng.choices(words, k=rng.randrange(0, 30))) if i % 17 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "source string, year int, text string").repartition(5)
+    want = sorted(map(str, emerging.ngram_df(docs, 4, cells=0).collect()))
+    assert len(want) > 50
+    for cells in (emerging.CELLS_A_ROW, 1 << 18, None):
+        assert sorted(map(str, emerging.ngram_df(docs, 4, cells=cells).collect())) == want
+    assert emerging.ngram_df(docs.limit(0), 4).count() == 0
+
+
+def test_sketch_halves_what_is_shuffled(spark):
+    rng = random.Random(4)
+    rows = [("s", 2020, " ".join(f"w{min(int(rng.expovariate(0.004)), 5000)}" for _ in range(60))) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "source string, year int, text string").repartition(4).cache()
+    bits = spark.sparkContext.broadcast(emerging._frequent(docs.select("source", "year", tn.tokens(F.col("text")).alias("tokens")), 5, 3, 1 << 20))
+    sent = docs.select("source", "year", tn.tokens(F.col("text")).alias("tokens")).mapInArrow(lambda it: emerging._kept(it, 3, 1 << 20, bits), "source string, year int, term string").count()
+    every = docs.select(F.explode(tn.ngrams(F.col("text")))).count()
+    assert emerging.ngram_df(docs).count() > 100 and sent < 0.5 * every
