@@ -169,7 +169,8 @@ def _entries(table: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     length = np.diff(np.asarray(flat.offsets, np.int64))
     row = np.repeat(np.arange(len(length)), length)
     at = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
-    band = np.floor(np.log(np.asarray(table.column("n"), np.float64)) / (np.log(den / num) * 1.0001)).astype(np.uint64)[row]
+    size = np.asarray(table.column("n"), np.float64)
+    band = (np.floor(np.log(size) / (np.log(den / num) * 1.0001)) if num < den else size).astype(np.uint64)[row]  # equal sets have one size
     key = np.r_[mix64(values + mix64(band + np.uint64(1))), mix64(values + mix64(band + np.uint64(2)))]
     return key, np.r_[row, row], np.r_[at, at]
 

@@ -65,7 +65,7 @@ def components(texts, k, num, den):
     return {i: (len(sets[i]), root(i)) for i in range(len(sets))}
 
 
-@pytest.mark.parametrize("seed,k,num,den", [(1, 3, 90, 100), (2, 5, 80, 100), (3, 3, 50, 100)])
+@pytest.mark.parametrize("seed,k,num,den", [(1, 3, 90, 100), (2, 5, 80, 100), (3, 3, 50, 100), (4, 2, 1, 1)])
 def test_jaccard_components(spark, seed, k, num, den):
     texts = corpus(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, texts), k, num, den).collect()}
