@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import bounded_batches, byte_runs, dropped, only_cache, stored
+from .workspace import bounded_batches, byte_runs, dropped, only_cache, shuffle_parts, stored
 
 #: The prime that anagram values are taken modulo, 2**61 - 1.
 PRIME = (1 << 61) - 1
@@ -119,8 +119,11 @@ def _fifth(letter: Column) -> Column:
 
 
 def entries(words: DataFrame) -> DataFrame:
-    """key, whole, word, n: the keys of each word itself (``whole``) and of the word less each of its letters."""
-    letters = words.withColumn("letters", F.split("word", "")).withColumn("value", F.aggregate("letters", F.lit(0).cast("long"), lambda a, c: (a + _fifth(c)) % PRIME))
+    """key, whole, word, n: the keys of each word itself (``whole``) and of the word less each of its letters.
+
+    Ten rows a word or so, so the few files of the word table are dealt to all tasks first.
+    """
+    letters = words.repartition(shuffle_parts(words.sparkSession), "word").withColumn("letters", F.split("word", "")).withColumn("value", F.aggregate("letters", F.lit(0).cast("long"), lambda a, c: (a + _fifth(c)) % PRIME))
     size = F.length("word")
     half = lambda core, front: F.when(front, F.left("word", F.floor(core / 2).cast("int"))).otherwise(F.right("word", (core - F.floor(core / 2)).cast("int")))
     entry = lambda whole, value, core, front: F.struct(F.lit(whole).alias("whole"), F.xxhash64(value, core, front, half(core, front)).alias("key"))
