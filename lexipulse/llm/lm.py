@@ -166,12 +166,14 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
     n, base = buckets(spark), text_blocks(docs, per_part=1)
     tokens = docs.select(F.sum(F.regexp_count(docs["text"].cast("string"), F.lit("[^ \\t-\\r]+"))).alias("n")).first().n or 0
     answers = None
+    # a union forgets where its rows lie: dealt by number anew, else the texts would be dealt again to meet it
+    here = lambda a: by_number(a, "block", shuffle_parts(spark)).groupBy("block")
     for k in range(1, order + 1):
         if answers is None:
             asked = base.groupBy("block").applyInArrow(lambda t: _asked(Resolved(t), t.column("block")[0].as_py(), n), ASK)
         else:
-            asked = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asker(n, k), ASK)
+            asked = base.groupBy("block").cogroup(here(answers)).applyInArrow(_asker(n, k), ASK)
         # dealt by block here, so that later orders read this exchange again instead of counting anew
         got = by_number(by_number(asked, "bucket", n).groupBy("bucket").applyInArrow(_count, ANSWER), "block", shuffle_parts(spark))
         answers = got if answers is None else answers.union(got)
-    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, n, alpha, tokens, order), "doc_id long, n_words long, log_score double, mean_log_score double")
+    return base.groupBy("block").cogroup(here(answers)).applyInArrow(lambda a, b: _scored(a, b, n, alpha, tokens, order), "doc_id long, n_words long, log_score double, mean_log_score double")
