@@ -113,6 +113,25 @@ def _tagged(words: list[str], stop: frozenset[str]) -> tuple[np.ndarray, np.ndar
     return edge & (size >= 4), edge & (size >= 3), edge & (size >= 2), inside
 
 
+#: Tokens whose n-grams are found at once: some 300 bytes each while they are.
+TOKENS_AT_ONCE = 1 << 17
+
+
+def runs(size: np.ndarray, most: int):
+    """Ranges of consecutive items that sum up to ``most`` at most, or of one item."""
+    total = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
+def token_runs(toks: pa.ListArray, most: int = TOKENS_AT_ONCE):
+    """Ranges of consecutive lists of about ``most`` tokens."""
+    yield from runs(np.asarray(pc.fill_null(pc.list_value_length(toks), 0), np.int64), most)
+
+
 @dataclass
 class Grams:
     """The distinct n-grams of a batch of texts, by text, place and length: codes of their words, -1 behind the last."""
@@ -179,6 +198,11 @@ def grams_of(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> Grams:
 
 def token_ngrams(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> pa.ListArray:
     """The distinct n-grams of each list of tokens, by place and length."""
+    parts = [_token_ngrams(toks.slice(a, b - a), longest, stop) for a, b in token_runs(toks)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
+
+
+def _token_ngrams(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> pa.ListArray:
     g = grams_of(toks, longest, stop)
     edge = np.r_[0, np.cumsum(np.bincount(g.owner, minlength=g.texts))]
     return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), g.joined(), mask=toks.is_null())

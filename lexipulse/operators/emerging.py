@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ..functions.textnorm import STOP_WORDS, Grams, grams_of, mixed, ngrams, normalise, tokens
+from ..functions.textnorm import STOP_WORDS, Grams, grams_of, mixed, ngrams, normalise, token_runs, tokens
+from ..schema import bounded_batches
 from ..taxonomy import Taxonomy
 from .match import concepts_of
 
@@ -25,6 +26,13 @@ CELLS_A_ROW, ROWS_A_TASK = 1 << 16, 64
 CROWDED = 16
 
 
+def _parts(batches):
+    """The batches in parts of a bounded number of tokens, so that a task's memory follows neither rows nor their length."""
+    for batch in batches:
+        for a, b in token_runs(batch.column("tokens")):
+            yield batch.slice(a, b - a)
+
+
 def _cells(batch: pa.RecordBatch, longest: int, cells: int) -> tuple[Grams, np.ndarray]:
     """The n-grams of a batch, and the cell of each under its source and year."""
     g = grams_of(batch.column("tokens"), longest, STOP_WORDS)
@@ -36,7 +44,7 @@ def _cells(batch: pa.RecordBatch, longest: int, cells: int) -> tuple[Grams, np.n
 def _sketched(batches, longest: int, cells: int):
     """What each cell holds in this task, up to 255."""
     total = np.zeros(cells, np.uint8)
-    for batch in batches:
+    for batch in _parts(batches):
         cell, n = np.unique(_cells(batch, longest, cells)[1], return_counts=True)
         total[cell] = np.minimum(total[cell] + n, 255)
     shard = TaskContext.get().partitionId() // ROWS_A_TASK
@@ -65,7 +73,7 @@ def _frequent(tokens: DataFrame, min_df: int, longest: int, cells: int) -> np.nd
 
 def _kept(batches, longest: int, cells: int, bits):
     """source, year and term of the n-grams whose cell is frequent."""
-    for batch in batches:
+    for batch in _parts(batches):
         g, cell = _cells(batch, longest, cells)
         kept = np.flatnonzero(bits.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
         owner = pa.array(g.owner[kept])
@@ -80,6 +88,7 @@ def ngram_df(docs: DataFrame, min_df: int = 5, longest: int = 3, text: str = "te
     ``min_df``, and these are counted exactly. Where the sketch would be crowded, all are sent. ``docs`` are read twice, so
     they are best kept by the caller.
     """
+    bounded_batches(docs.sparkSession)
     tokenised = docs.select("source", "year", tokens(F.col(text)).alias("tokens"))
     if cells is None:
         n = docs.count()

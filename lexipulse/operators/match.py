@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import bounded_batches
 from ..taxonomy import Concept, Taxonomy, pattern, presence
 from . import scan
 
@@ -56,6 +57,7 @@ def matched(docs: DataFrame, taxonomy: Taxonomy, text: str = "text", gated: bool
 
     Both arrays are in the taxonomy's order; ``gated`` gives documents outside the domain none.
     """
+    bounded_batches(docs.sparkSession)
     plain = [c for c in taxonomy.concepts if scan.searchable(c.synonyms)]
     rest = [c for c in taxonomy.concepts if c not in plain]
     raw_terms = [t for t in taxonomy.domain_terms if not scan.searchable((t,))]

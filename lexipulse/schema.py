@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,16 @@ def citations(extra: Column) -> Column:
     return F.coalesce(F.nullif(extra["cited_by"], F.lit(0)), F.nullif(extra["citing_paper_count"], F.lit(0)), F.lit(0)).cast("long")
 
 
+#: Rows and bytes of an Arrow batch that goes to Python, whatever the length of its texts.
+BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that later plans of this session send to Python; the settings stay, as results are lazy."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """``docs`` in as many partitions as there are cores, where a scan has fewer: one small file would be one task."""
     cores = docs.sparkSession.sparkContext.defaultParallelism

@@ -1,10 +1,12 @@
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexipulse.operators import match
+from lexipulse.operators import match, scan
 from lexipulse.taxonomy import Concept, from_dict, python_pattern
 
 SPEC = {
@@ -121,3 +123,19 @@ def test_raw_domain_terms(spark):
     df = spark.createDataFrame([("chip7 gate",), ("wafer gite gate",), ("gate",)], "text string")
     got = {r.text: (r.in_domain, [(h.concept, [tuple(s) for s in h.synonyms]) for h in r.hits]) for r in match.matched(df, tax).collect()}
     assert got == {"chip7 gate": (True, [("A", [("gate", 1)]), ("B", [("re:g[aei]te", 1)])]), "wafer gite gate": (True, [("A", [("gate", 1)]), ("B", [("re:g[aei]te", 2)])]), "gate": (False, [])}
+
+
+def test_memory_of_matching_follows_no_batch():
+    """A batch of any number of texts is searched in parts, with the hits of each text alone."""
+    rng = random.Random(8)
+    lexicon, keys = scan.Lexicon([("wafer", "FET"), ("nano sheet", "NSFET"), ("GAA", "GAA nanosheet")]), ["NANO", "GAA"]
+    texts = [" ".join(rng.choices(["wafer", "nano", "sheets", "GAA", "nanosheet", "for", "w12", "FETs"], k=rng.randrange(600))) for _ in range(4000)]
+    batch = pa.array([None, "", *texts, "GAA wafer " * 300_000, None])
+    tracemalloc.start()
+    got = scan.as_found(lexicon, keys, batch, True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 160e6  # the whole batch at once takes 269 MB
+    assert len(got) == len(batch) and got[2].is_valid and not got[0]["inside"].is_valid
+    for i in (0, 1, 2, 1500, 4001, 4003):
+        assert got[i] == scan.as_found(lexicon, keys, batch.slice(i, 1), True)[0]

@@ -1,7 +1,11 @@
 import itertools
 import random
 import re
+import tracemalloc
+import types
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -115,3 +119,19 @@ def test_sketch_halves_what_is_shuffled(spark):
     sent = docs.select("source", "year", tn.tokens(F.col("text")).alias("tokens")).mapInArrow(lambda it: emerging._kept(it, 3, 1 << 20, bits), "source string, year int, term string").count()
     every = docs.select(F.explode(tn.ngrams(F.col("text")))).count()
     assert emerging.ngram_df(docs).count() > 100 and sent < 0.5 * every
+
+
+def test_memory_of_ngrams_follows_no_batch():
+    """A batch of any number of texts is worked in parts, with the n-grams of the whole."""
+    rng = random.Random(5)
+    toks = [None, [], *([f"w{min(int(rng.expovariate(0.004)), 5000)}" for _ in range(300)] for _ in range(2000)), ["long"] * 200_000, ["w1", "w2"]]
+    n = len(toks)
+    batch = pa.RecordBatch.from_pydict({"source": ["s"] * n, "year": pa.array([2020] * n, pa.int32()), "tokens": pa.array(toks, pa.list_(pa.string()))})
+    bits = types.SimpleNamespace(value=np.full(emerging.LEAST_CELLS // 8, 255, np.uint8))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in emerging._kept([batch], 3, emerging.LEAST_CELLS, bits))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 96e6  # the whole batch at once takes 178 MB
+    whole = tn.grams_of(batch.column("tokens"), 3, tn.STOP_WORDS)
+    assert rows == len(whole.owner) and tn.token_ngrams(batch.column("tokens"), 3, tn.STOP_WORDS).flatten().equals(whole.joined())
