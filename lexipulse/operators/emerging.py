@@ -12,18 +12,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ..functions.textnorm import STOP_WORDS, Grams, grams_of, mixed, ngrams, normalise, token_runs, tokens
+from ..functions.textnorm import STOP_WORDS, Grams, grams_of, mixed, normalise, token_runs, tokens
 from ..schema import bounded_batches
 from ..taxonomy import Taxonomy
 from .match import concepts_of
 
 
-#: Cells of the sketch: a document's share, the least, and the most (a byte each in a task, a bit each when broadcast).
-CELLS_A_DOCUMENT, LEAST_CELLS, MOST_CELLS = 256, 1 << 20, 1 << 25
-#: Cells of a row of the sketch, and rows of a block that one task adds up.
-CELLS_A_ROW, ROWS_A_TASK = 1 << 16, 64
-#: Documents a cell from which on no cell would stay empty enough to tell anything.
-CROWDED = 16
+#: Cells of the sketch: a document's share, the least, and the most (a bit each when broadcast).
+CELLS_A_DOCUMENT, LEAST_CELLS, MOST_CELLS = 1024, 1 << 20, 1 << 28
+#: Cells of a row of the sketch, tasks whose rows of a block are added up at once, and cells that a task holds before it sends them.
+CELLS_A_ROW, TASKS_A_SHARD, CELLS_HELD = 1 << 16, 64, 1 << 21
+#: Times the most cells that the documents would need, from which on too few cells would stay below the least frequency.
+CROWDED = 8
+TERMS = "source string, year int, term string"
+#: Documents of a partition of ``by_source_year``.
+DOCS_A_PARTITION = 8192
 
 
 def _parts(batches):
@@ -41,23 +44,45 @@ def _cells(batch: pa.RecordBatch, longest: int, cells: int) -> tuple[Grams, np.n
     return g, (mixed(g.hashes() ^ mixed(source + year)[g.owner]) % np.uint64(cells)).astype(np.int64)
 
 
+def _packed(place: np.ndarray, n: np.ndarray) -> bytes:
+    """Places of a row in order, as steps, and what each holds."""
+    return zlib.compress(np.diff(place, prepend=0).astype("<u2").tobytes() + n.astype(np.uint8).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zlib.decompress(raw)
+    k = len(data) // 3
+    return np.cumsum(np.frombuffer(data, "<u2", k), dtype=np.int64), np.frombuffer(data, np.uint8, k, 2 * k)
+
+
 def _sketched(batches, longest: int, cells: int):
-    """What each cell holds in this task, up to 255."""
-    total = np.zeros(cells, np.uint8)
+    """What the cells that some n-grams of this task fall into hold, up to 255; sent whenever ``CELLS_HELD`` are held."""
+    shard = TaskContext.get().partitionId() // TASKS_A_SHARD
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        cell, n = np.unique(np.concatenate(held), return_counts=True)
+        head = np.flatnonzero(np.diff(cell // CELLS_A_ROW, prepend=-1))
+        rows = [_packed(cell[a:b] % CELLS_A_ROW, np.minimum(n[a:b], 255)) for a, b in zip(head, [*head[1:], len(cell)])]
+        return pa.RecordBatch.from_pydict({"block": pa.array(cell[head] // CELLS_A_ROW, pa.int32()), "shard": pa.array([shard] * len(rows), pa.int32()), "cells": pa.array(rows, pa.binary())})
+
+    held: list[np.ndarray] = []
     for batch in _parts(batches):
-        cell, n = np.unique(_cells(batch, longest, cells)[1], return_counts=True)
-        total[cell] = np.minimum(total[cell] + n, 255)
-    shard = TaskContext.get().partitionId() // ROWS_A_TASK
-    rows = [(b, zlib.compress(part.tobytes(), 1)) for b, part in enumerate(total.reshape(-1, CELLS_A_ROW)) if part.any()]
-    yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in rows], pa.int32()), "shard": pa.array([shard] * len(rows), pa.int32()), "cells": pa.array([c for _, c in rows], pa.binary())})
+        held.append(_cells(batch, longest, cells)[1])
+        if sum(map(len, held)) >= CELLS_HELD:
+            yield sent(held)
+            held = []
+    if held:
+        yield sent(held)
 
 
 def _added(table: pa.Table, full: int | None = None) -> pa.Table:
     """The sum of a block's rows, up to 255; or whether each cell reaches ``full``, a bit each."""
     total = np.zeros(CELLS_A_ROW, np.uint16)
     for raw in table.column("cells"):
-        total = np.minimum(total + np.frombuffer(zlib.decompress(raw.as_py()), np.uint8), 255)
-    out = zlib.compress(total.astype(np.uint8).tobytes(), 1) if full is None else np.packbits(total >= full).tobytes()
+        place, n = _unpacked(raw.as_py())
+        total[place] = np.minimum(total[place] + n, 255)
+    there = np.flatnonzero(total)
+    out = _packed(there, total[there]) if full is None else np.packbits(total >= full).tobytes()
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "cells": pa.array([out], pa.binary())})
 
 
@@ -80,13 +105,31 @@ def _kept(batches, longest: int, cells: int, bits):
         yield pa.RecordBatch.from_arrays([batch.column("source").take(owner), batch.column("year").take(owner), g.joined(kept)], ["source", "year", "term"])
 
 
+def _every(batches, longest: int):
+    """source, year and term of all n-grams."""
+    for batch in _parts(batches):
+        g = grams_of(batch.column("tokens"), longest, STOP_WORDS)
+        owner = pa.array(g.owner)
+        yield pa.RecordBatch.from_arrays([batch.column("source").take(owner), batch.column("year").take(owner), g.joined()], ["source", "year", "term"])
+
+
+def by_source_year(docs: DataFrame) -> DataFrame:
+    """``docs`` with those of a source and year side by side, in partitions of ``DOCS_A_PARTITION`` or one a core.
+
+    A task of ``ngram_df`` then adds up most of a term before it sends it. Partitions are ranges, so a large source-year is
+    several and small ones share one; within a source-year documents keep their place.
+    """
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // DOCS_A_PARTITION))
+    return docs.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, "source", "year", "_place").drop("_place")
+
+
 def ngram_df(docs: DataFrame, min_df: int = 5, longest: int = 3, text: str = "text", cells: int | None = None) -> DataFrame:
     """source, year, term, df. Terms below ``min_df`` in a source-year go before years are added up.
 
     Most n-grams stand in a document or two. So a first scan counts cells of a count-min sketch over source, year and
     term, whose size follows the documents up to a fixed one; a second scan sends on only n-grams whose cell reaches
     ``min_df``, and these are counted exactly. Where the sketch would be crowded, all are sent. ``docs`` are read twice, so
-    they are best kept by the caller.
+    they are best kept by the caller, and dealt by ``by_source_year``.
     """
     bounded_batches(docs.sparkSession)
     tokenised = docs.select("source", "year", tokens(F.col(text)).alias("tokens"))
@@ -96,9 +139,9 @@ def ngram_df(docs: DataFrame, min_df: int = 5, longest: int = 3, text: str = "te
         cells = 0 if n * CELLS_A_DOCUMENT > CROWDED * cells or min_df < 2 else cells
     if cells and min_df <= 255:
         bits = docs.sparkSession.sparkContext.broadcast(_frequent(tokenised, min_df, longest, cells))
-        terms = tokenised.mapInArrow(lambda it: _kept(it, longest, cells, bits), "source string, year int, term string")
+        terms = tokenised.mapInArrow(lambda it: _kept(it, longest, cells, bits), TERMS)
     else:
-        terms = docs.select("source", "year", F.explode(ngrams(F.col(text), longest)).alias("term"))
+        terms = tokenised.mapInArrow(lambda it: _every(it, longest), TERMS)
     return terms.groupBy("source", "year", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
 
 

@@ -16,7 +16,7 @@ from .fixtures import AS_OF_DOCS, AS_OF_LINES, DD, DL, PARTS, PROSE, line_docs,
 from .functions import textnorm
 from .operators import emerging, match, measures
 from .plans import analysis, views
-from .schema import as_docs, spread
+from .schema import as_docs
 from .scratch import scratch
 from .sources import jsonl, records
 from .taxonomy import linear_presence, load_shared
@@ -549,7 +549,7 @@ _BURST = f"""{_DF}, yy AS (SELECT year, n, row_number() OVER (ORDER BY year DESC
 
 def _prose_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In the domain or not; kept for the session, as the counts and both scans for n-grams read it."""
-    return match.with_matches(spread(prose_docs(spark, sf_dir)).withColumn("source", F.lit("all")), PROSE).select("source", "year", "id", "text", "in_domain").persist()
+    return match.with_matches(emerging.by_source_year(prose_docs(spark, sf_dir).withColumn("source", F.lit("all"))), PROSE).select("source", "year", "id", "text", "in_domain").persist()
 
 
 def _ngram_df(m: DataFrame) -> DataFrame:

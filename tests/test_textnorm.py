@@ -6,6 +6,7 @@ import types
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -135,3 +136,33 @@ def test_memory_of_ngrams_follows_no_batch():
     assert most < 96e6  # the whole batch at once takes 178 MB
     whole = tn.grams_of(batch.column("tokens"), 3, tn.STOP_WORDS)
     assert rows == len(whole.owner) and tn.token_ngrams(batch.column("tokens"), 3, tn.STOP_WORDS).flatten().equals(whole.joined())
+
+
+def test_sketch_is_sent_in_bounded_parts(monkeypatch):
+    """Whatever a task holds at once, the rows of its cells add up to the counts of all its n-grams."""
+    monkeypatch.setattr(emerging, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 130)))
+    monkeypatch.setattr(tn.token_runs, "__defaults__", (500,))
+    rng, cells = random.Random(6), emerging.CELLS_A_ROW * 4
+    toks = [[f"w{min(int(rng.expovariate(0.02)), 900)}" for _ in range(60)] for _ in range(300)] + [["same"]] * 600
+    batch = pa.RecordBatch.from_pydict({"source": ["s"] * 900, "year": pa.array([2020, 2021] * 450, pa.int32()), "tokens": toks})
+    want = np.minimum(np.bincount(emerging._cells(batch, 3, cells)[1], minlength=cells), 255)
+    for held in (1, 3000, 1 << 21):
+        monkeypatch.setattr(emerging, "CELLS_HELD", held)
+        out = pa.Table.from_batches(list(emerging._sketched([batch], 3, cells)))
+        assert set(out["shard"].to_pylist()) == {2} and out.num_rows >= 4 * (1 + (held < 1 << 21))
+        for b in range(4):
+            rows = out.filter(pa.compute.equal(out["block"], b))
+            own = want[b * emerging.CELLS_A_ROW :][: emerging.CELLS_A_ROW]
+            once = emerging._added(rows)
+            place, n = emerging._unpacked(once["cells"][0].as_py())
+            assert (place == np.flatnonzero(own)).all() and (n == own[own > 0]).all() and 255 in want
+            assert emerging._added(once, 5)["cells"][0].as_py() == np.packbits(own >= 5).tobytes()
+
+
+def test_source_years_lie_side_by_side(spark):
+    rows = [(("a", "b", None)[i % 3], 2020 + i % 4, f"t{i}") for i in range(600)]
+    out = emerging.by_source_year(spark.createDataFrame(rows, "source string, year int, text string").repartition(7))
+    where = out.select("source", "year", "text", F.spark_partition_id().alias("p")).collect()
+    assert sorted(map(str, (tuple(r)[:3] for r in where))) == sorted(map(str, rows))
+    each = [{(r.source, r.year) for r in where if r.p == p} for p in {r.p for r in where}]
+    assert len(each) > 1 and sum(map(len, each)) <= 12 + len(each) - 1  # ranges share a source-year at their edges alone
