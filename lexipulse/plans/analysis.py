@@ -99,8 +99,9 @@ def kept_ngrams(docs: DataFrame, min_df: int, keep: str, *parts: object) -> Data
     marks = {hashlib.sha256(repr((min_df, parts, tuple(r))).encode()).hexdigest()[:20]: (r.source, r.year) for r in marked.collect()}  # a row a source-year
 
     def counted(missing: list[str]) -> DataFrame:
-        of = spark.createDataFrame([(*marks[m], m) for m in missing], "source string, year int, mark string")
-        return em.ngram_df(docs.join(of.select("source", "year"), ["source", "year"], "left_semi"), min_df).join(of, ["source", "year"])
+        # a row a source-year, sent to all tasks: dealing the texts out by it would put each source-year into one task
+        of = F.broadcast(spark.createDataFrame([(*marks[m], m) for m in missing], "source string, year int, mark string"))
+        return em.ngram_df(docs.join(F.broadcast(of.select("source", "year")), ["source", "year"], "left_semi"), min_df).join(of, ["source", "year"])
 
     schema = em.ngram_df(docs.limit(0), min_df, cells=0).withColumn("mark", F.lit("")).schema
     return jsonl.kept_parts(spark, f"{keep}/ngrams", sorted(marks), schema, counted).drop("mark")

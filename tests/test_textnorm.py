@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexipulse.functions import textnorm as tn
 from lexipulse.operators import emerging
+from lexipulse.plans import analysis
 
 
 #: text -> what normalisation makes of it, written by hand
@@ -166,3 +167,22 @@ def test_source_years_lie_side_by_side(spark):
     assert sorted(map(str, (tuple(r)[:3] for r in where))) == sorted(map(str, rows))
     each = [{(r.source, r.year) for r in where if r.p == p} for p in {r.p for r in where}]
     assert len(each) > 1 and sum(map(len, each)) <= 12 + len(each) - 1  # ranges share a source-year at their edges alone
+
+
+def test_kept_counts_deal_no_texts_out(spark, tmp_path, monkeypatch):
+    """Texts of the source-years to be counted stay where they are, whatever may be broadcast by size; no source-year is one task."""
+    docs = spark.createDataFrame([("s", 2020 + i % 3, str(i), "alpha beta gamma") for i in range(90)], "source string, year int, id string, text string").repartition(6)
+    plans, counted = [], emerging.ngram_df
+
+    def seen(d, *more, **named):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return counted(d, *more, **named)
+
+    monkeypatch.setattr(emerging, "ngram_df", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = {tuple(r) for r in analysis.kept_ngrams(docs, 5, f"file://{tmp_path}").select("year", "term", "df").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {(y, t, 30) for y in (2020, 2021, 2022) for t in ("alpha", "beta", "gamma", "alpha beta", "beta gamma", "alpha beta gamma")}
+    assert any("BroadcastHashJoin" in p for p in plans) and not any("hashpartitioning" in p for p in plans)
