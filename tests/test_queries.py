@@ -33,3 +33,15 @@ def test_query_equals_sql(spark, duck, name):
     want = rows_of(got.fetchall(), columns)
     have = rows_of([tuple(r) for r in df.collect()], df.columns)
     assert have == [tuple(float(v) if isinstance(h, float) and not isinstance(v, str) else v for v, h in zip(w, r)) for w, r in zip(want, have)] and len(want) == len(have)
+
+
+def test_emerging_terms_read_documents_by_source_year(spark):
+    """What all queries of emerging terms read: a year is on few partitions, so tasks add up its terms."""
+    from lexipulse.queries import _prose_matched
+
+    m = _prose_matched(spark, FOLDER)
+    try:
+        years = [r.n for r in m.selectExpr("year", "spark_partition_id() AS p").distinct().groupBy("p").agg({"year": "count"}).toDF("p", "n").collect()]
+    finally:
+        m.unpersist()
+    assert len(years) > 1 and sum(years) <= 13 + len(years) - 1
