@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -105,11 +106,47 @@ def numeric(token: Column) -> Column:
     return token.rlike(NUMERIC)
 
 
-def _tagged(words: list[str], stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_EDGE = np.zeros(256, bool)
+_EDGE[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+_INSIDE = _EDGE.copy()
+_INSIDE[[ord("-"), ord(".")]] = True
+
+
+def cut(low: pa.Array) -> pa.ListArray:
+    """The tokens of texts in lower case, as ``tokens`` has them; null for null.
+
+    A token is a run of the characters that may stand inside one, without the hyphens and dots at its ends.
+    """
+    filled = pc.fill_null(low.cast(pa.string()), "")
+    edge = np.frombuffer(filled.buffers()[1], np.int32, len(filled) + 1, filled.offset * 4) if len(filled) else np.zeros(1, np.int32)
+    data = np.frombuffer(filled.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+    edge = edge - edge[0]
+    inside = _INSIDE[data]
+    head, tail = inside.copy(), inside.copy()
+    head[1:] &= ~inside[:-1]
+    tail[:-1] &= ~inside[1:]
+    for ends, at in ((head, edge[edge < len(data)]), (tail, edge[edge > 0] - 1)):  # texts lie side by side
+        ends[at] = inside[at]
+    start, end = np.flatnonzero(head), np.flatnonzero(tail)
+    if not (_EDGE[data[start]].all() and _EDGE[data[end]].all()):
+        solid = np.flatnonzero(_EDGE[data])
+        a, b = np.searchsorted(solid, start), np.searchsorted(solid, end, "right") - 1
+        a, b = a[there := a <= b], b[there]
+        start, end = solid[a], solid[b]
+    turn = np.zeros(len(data) + 1, np.int8)
+    turn[start] = 1
+    turn[end + 1] -= 1
+    words = data[np.cumsum(turn[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(end - start + 1)]).astype(np.int32)
+    flat = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(words.tobytes()))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(start, edge), pa.int32()), flat, mask=low.is_null())
+
+
+def _tagged(words: pa.Array, stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each word: does it stand alone, start, end, or stand inside an n-gram."""
-    inside = np.array([not re.search(NUMERIC, w) for w in words], bool)
-    edge = inside & np.array([w not in stop for w in words], bool)
-    size = np.array([len(w) for w in words], np.int64)
+    inside = ~np.asarray(pc.match_substring_regex(words, NUMERIC), bool)
+    edge = inside & ~np.asarray(pc.is_in(words, pa.array(sorted(stop), words.type)), bool)
+    size = np.asarray(pc.utf8_length(words), np.int64)
     return edge & (size >= 4), edge & (size >= 3), edge & (size >= 2), inside
 
 
@@ -151,15 +188,16 @@ class Grams:
             each = [self.words.take(pa.array(codes[rows, k])) for k in range(n)]
             parts.append(pc.binary_join_element_wise(*each, " ") if n > 1 else each[0])
             at.append(rows)
-        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(at), kind="stable")))
+        order = np.empty(len(codes), np.int64)
+        order[np.concatenate(at)] = np.arange(len(codes))
+        return pa.concat_arrays(parts).take(pa.array(order))
 
     def hashes(self) -> np.ndarray:
         """A 64-bit number of each n-gram, the same in every batch."""
-        word = np.fromiter(map(xxh3_64_intdigest, (w.encode() for w in self.words.to_pylist())), np.uint64, len(self.words))
+        word = np.fromiter(map(xxh3_64_intdigest, self.words.cast(pa.binary()).to_pylist()), np.uint64, len(self.words))
         out = np.full(len(self.codes), 0x9E3779B97F4A7C15, np.uint64)
-        for code in self.codes.T:
-            here = code >= 0
-            out[here] = mixed(out[here] ^ word[code[here]])
+        for code in np.ascontiguousarray(self.codes.T) if len(word) else ():
+            out = np.where(code >= 0, mixed(out ^ word[code]), out)
         return out
 
 
@@ -175,7 +213,7 @@ def grams_of(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> Grams:
     size = np.asarray(pc.fill_null(pc.list_value_length(toks), 0), np.int64)
     flat = toks.flatten().dictionary_encode()
     code, words = np.asarray(flat.indices, np.int64), flat.dictionary
-    alone, first, last, inside = _tagged(words.to_pylist(), stop)
+    alone, first, last, inside = _tagged(words, stop)
     doc = np.repeat(np.arange(len(size)), size)
     place, owner, codes = [], [], []
     for n in range(1, longest + 1):
@@ -185,14 +223,18 @@ def grams_of(toks: pa.ListArray, longest: int, stop: frozenset[str]) -> Grams:
         for k in range(1, n - 1):
             ok &= inside[code[start + k]]
         start = start[ok]
-        key = doc[start]
+        key, bound = doc[start], len(size)
         for k in range(n):  # equal keys: the same document and words so far
-            key = np.unique(key * len(words) + code[start + k], return_inverse=True)[1]
-        start = start[np.sort(np.unique(key, return_index=True)[1])]
-        place.append(start * longest + n)
+            if bound * len(words) >= 1 << 63:
+                key, bound = np.unique(key, return_inverse=True)[1], len(start)
+            key, bound = key * len(words) + code[start + k], bound * len(words)
+        start = start[~pd.Series(key).duplicated().to_numpy()]
+        place.append(start * longest + n - 1)
         owner.append(doc[start])
         codes.append(np.stack([code[start + k] if k < n else np.full(len(start), -1) for k in range(longest)], axis=1))
-    order = np.argsort(np.concatenate(place), kind="stable")
+    at = np.full(len(code) * longest, -1)
+    at[np.concatenate(place)] = np.arange(sum(map(len, place)))
+    order = at[at >= 0]
     return Grams(np.concatenate(owner)[order], np.concatenate(codes)[order], words, len(size))
 
 

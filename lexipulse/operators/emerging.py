@@ -7,12 +7,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ..functions.textnorm import STOP_WORDS, Grams, grams_of, mixed, normalise, token_runs, tokens
+from ..functions.textnorm import STOP_WORDS, Grams, cut, grams_of, mixed, normalise, runs, token_runs
 from ..schema import bounded_batches
 from ..taxonomy import Taxonomy
 from .match import concepts_of
@@ -29,9 +30,25 @@ TERMS = "source string, year int, term string"
 DOCS_A_PARTITION = 8192
 
 
+#: Bytes of texts that are cut into tokens at once: some 10 times as many are held while they are.
+BYTES_AT_ONCE = 1 << 20
+
+
+def _cut(batches):
+    """The batches with tokens; texts in lower case are cut here, some at a time, which costs less than to send each token."""
+    for batch in batches:
+        if "tokens" in batch.schema.names:
+            yield batch
+            continue
+        low = batch.column("low")
+        for a, b in runs(np.asarray(pc.fill_null(pc.binary_length(low), 0), np.int64), BYTES_AT_ONCE):
+            some = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([some.column("source"), some.column("year"), cut(some.column("low"))], ["source", "year", "tokens"])
+
+
 def _parts(batches):
     """The batches in parts of a bounded number of tokens, so that a task's memory follows neither rows nor their length."""
-    for batch in batches:
+    for batch in _cut(batches):
         for a, b in token_runs(batch.column("tokens")):
             yield batch.slice(a, b - a)
 
@@ -60,18 +77,22 @@ def _sketched(batches, longest: int, cells: int):
     shard = TaskContext.get().partitionId() // TASKS_A_SHARD
 
     def sent(held: list[np.ndarray]) -> pa.RecordBatch:
-        cell, n = np.unique(np.concatenate(held), return_counts=True)
-        head = np.flatnonzero(np.diff(cell // CELLS_A_ROW, prepend=-1))
-        rows = [_packed(cell[a:b] % CELLS_A_ROW, np.minimum(n[a:b], 255)) for a, b in zip(head, [*head[1:], len(cell)])]
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]).astype(np.int32)
+        cell = every[first]
+        n = np.minimum(np.diff(first, append=np.int32(len(every))), 255).astype(np.uint8)
+        head = np.flatnonzero(np.diff(cell // CELLS_A_ROW, prepend=np.int32(-1)))
+        rows = [_packed(cell[a:b] % CELLS_A_ROW, n[a:b]) for a, b in zip(head, [*head[1:], len(cell)])]
         return pa.RecordBatch.from_pydict({"block": pa.array(cell[head] // CELLS_A_ROW, pa.int32()), "shard": pa.array([shard] * len(rows), pa.int32()), "cells": pa.array(rows, pa.binary())})
 
     held: list[np.ndarray] = []
     for batch in _parts(batches):
-        held.append(_cells(batch, longest, cells)[1])
+        held.append(_cells(batch, longest, cells)[1].astype(np.int32))
         if sum(map(len, held)) >= CELLS_HELD:
             yield sent(held)
-            held = []
-    if held:
+    if sum(map(len, held)):
         yield sent(held)
 
 
@@ -86,9 +107,9 @@ def _added(table: pa.Table, full: int | None = None) -> pa.Table:
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "cells": pa.array([out], pa.binary())})
 
 
-def _frequent(tokens: DataFrame, min_df: int, longest: int, cells: int) -> np.ndarray:
+def _frequent(texts: DataFrame, min_df: int, longest: int, cells: int) -> np.ndarray:
     """A bit a cell: whether the n-grams in it can reach ``min_df``. A cell counts all its n-grams, so none that does is lost."""
-    parts = tokens.mapInArrow(lambda it: _sketched(it, longest, cells), "block int, shard int, cells binary")
+    parts = texts.mapInArrow(lambda it: _sketched(it, longest, cells), "block int, shard int, cells binary")
     some = parts.groupBy("block", "shard").applyInArrow(lambda t: _added(t), "block int, cells binary")
     bits = np.zeros(cells // 8, np.uint8)
     for r in some.groupBy("block").applyInArrow(lambda t: _added(t, min_df), "block int, cells binary").collect():  # cells / 8 bytes
@@ -132,16 +153,16 @@ def ngram_df(docs: DataFrame, min_df: int = 5, longest: int = 3, text: str = "te
     they are best kept by the caller, and dealt by ``by_source_year``.
     """
     bounded_batches(docs.sparkSession)
-    tokenised = docs.select("source", "year", tokens(F.col(text)).alias("tokens"))
+    low = docs.select("source", "year", F.lower(text).alias("low"))
     if cells is None:
         n = docs.count()
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_A_DOCUMENT * n).bit_length()))
         cells = 0 if n * CELLS_A_DOCUMENT > CROWDED * cells or min_df < 2 else cells
     if cells and min_df <= 255:
-        bits = docs.sparkSession.sparkContext.broadcast(_frequent(tokenised, min_df, longest, cells))
-        terms = tokenised.mapInArrow(lambda it: _kept(it, longest, cells, bits), TERMS)
+        bits = docs.sparkSession.sparkContext.broadcast(_frequent(low, min_df, longest, cells))
+        terms = low.mapInArrow(lambda it: _kept(it, longest, cells, bits), TERMS)
     else:
-        terms = tokenised.mapInArrow(lambda it: _every(it, longest), TERMS)
+        terms = low.mapInArrow(lambda it: _every(it, longest), TERMS)
     return terms.groupBy("source", "year", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
 
 

@@ -549,7 +549,8 @@ _BURST = f"""{_DF}, yy AS (SELECT year, n, row_number() OVER (ORDER BY year DESC
 
 def _prose_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In the domain or not; kept for the session, as the counts and both scans for n-grams read it."""
-    return match.with_matches(emerging.by_source_year(prose_docs(spark, sf_dir).withColumn("source", F.lit("all"))), PROSE).select("source", "year", "id", "text", "in_domain").persist()
+    docs = emerging.by_source_year(prose_docs(spark, sf_dir).select(F.lit("all").alias("source"), "year", "id", "text"))
+    return docs.withColumn("in_domain", match.in_domain(F.col("text"), PROSE)).persist()  # nothing here reads concepts
 
 
 def _ngram_df(m: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def citations(extra: Column) -> Column:
 
 
 #: Rows and bytes of an Arrow batch that goes to Python, whatever the length of its texts.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

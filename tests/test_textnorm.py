@@ -186,3 +186,35 @@ def test_kept_counts_deal_no_texts_out(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == {(y, t, 30) for y in (2020, 2021, 2022) for t in ("alpha", "beta", "gamma", "alpha beta", "beta gamma", "alpha beta gamma")}
     assert any("BroadcastHashJoin" in p for p in plans) and not any("hashpartitioning" in p for p in plans)
+
+
+def test_texts_are_cut_on_arrays():
+    """Tokens of whole batches, at the edges of texts and of parts, are those of the pattern."""
+    rng = random.Random(7)
+    texts = ["", None, "-", ".-a", "a.-", "--a.b--c..", "é-a", "aé.b", "a", "9.5 ab.c 12-", *("".join(rng.choice("ab1-. é\n") for _ in range(rng.randrange(12))) for _ in range(2000))]
+    want = [None if t is None else re.findall(tn.TOKEN, t) for t in texts]
+    assert tn.cut(pa.array(texts)).to_pylist() == want and tn.cut(pa.array(["zz", *texts], pa.large_string()).slice(1)).to_pylist() == want
+    assert all(tn.cut(pa.array(t, pa.string())).to_pylist() == [None if x is None else [] for x in t] for t in ([], [None], [""]))
+
+
+def test_ngrams_send_texts_to_python_not_tokens(spark):
+    """Tokens as arrays of strings would be made by the JVM and sent one by one, in both scans."""
+    rows = [("s", 2020, t) for t in ("Alpha-Beta GAMMA. 12", "alpha-beta gamma", None, "É gamma")]
+    docs = spark.createDataFrame(rows, "source string, year int, text string")
+    df = emerging.ngram_df(docs, 2)
+    assert sorted(tuple(r)[2:] for r in df.collect()) == [("alpha-beta", 2), ("alpha-beta gamma", 2), ("gamma", 3)]
+    assert "regexp_extract_all" not in df._jdf.queryExecution().toString()
+
+
+def test_memory_of_the_sketch(monkeypatch):
+    """A task's sketch holds its cells once, not several times over."""
+    monkeypatch.setattr(emerging, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(8)
+    cells = [rng.integers(0, 1 << 28, 1 << 17) for _ in range(16)]
+    monkeypatch.setattr(emerging, "_parts", lambda batches: batches)
+    monkeypatch.setattr(emerging, "_cells", lambda batch, longest, n: (None, batch))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in emerging._sketched(iter(cells), 3, 1 << 28))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4096 and most < 64e6  # 86 MB where np.unique sorts and counts in eight bytes
