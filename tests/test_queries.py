@@ -45,3 +45,14 @@ def test_emerging_terms_read_documents_by_source_year(spark):
     finally:
         m.unpersist()
     assert len(years) > 1 and sum(years) <= 13 + len(years) - 1
+
+
+def test_emerging_terms_match_no_concepts(spark):
+    """Only the domain is asked of the texts that are kept, and the JVM asks it: no worker holds batches of texts for it."""
+    from lexipulse.queries import _prose_matched
+
+    m = _prose_matched(spark, FOLDER)
+    try:
+        assert "ArrowEvalPython" not in m._jdf.queryExecution().executedPlan().toString()
+    finally:
+        m.unpersist()
