@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ..functions.textnorm import STOP_WORDS, Grams, cut, grams_of, mixed, normalise, runs, token_runs
+from ..functions.textnorm import STOP_WORDS, Grams, cut, grams_of, mixed, normalise_ascii, runs, token_runs
 from ..schema import bounded_batches
 from ..taxonomy import Taxonomy
 from .match import concepts_of
@@ -226,5 +226,5 @@ def without_contained(scores: DataFrame, top: int = 80, overlap: float = 0.7, bl
 
 
 def with_coverage(terms: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """covered_by: the concepts that the taxonomy finds in the term itself, comma-joined."""
-    return terms.withColumn("covered_by", F.array_join(F.array_sort(concepts_of(normalise(F.col("term")), taxonomy)), ","))
+    """covered_by: the concepts that the taxonomy finds in the term itself, comma-joined. N-grams are ASCII without entities."""
+    return terms.withColumn("covered_by", F.array_join(F.array_sort(concepts_of(normalise_ascii(F.col("term")), taxonomy)), ","))

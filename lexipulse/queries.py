@@ -548,9 +548,11 @@ _BURST = f"""{_DF}, yy AS (SELECT year, n, row_number() OVER (ORDER BY year DESC
 
 
 def _prose_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In the domain or not; kept for the session, as the counts and both scans for n-grams read it."""
+    """In the domain or not. The dealt texts are written once, as the counts and both scans for n-grams read them: kept by
+    ``persist`` they fill the executors' heaps, and beyond those lie on disk uncompressed."""
     docs = emerging.by_source_year(prose_docs(spark, sf_dir).select(F.lit("all").alias("source"), "year", "id", "text"))
-    return docs.withColumn("in_domain", match.in_domain(F.col("text"), PROSE)).persist()  # nothing here reads concepts
+    docs.write.parquet(path := scratch(spark, "texts"), compression="zstd")
+    return spark.read.parquet(path).withColumn("in_domain", match.in_domain(F.col("text"), PROSE))  # nothing here reads concepts
 
 
 def _ngram_df(m: DataFrame) -> DataFrame:

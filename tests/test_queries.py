@@ -56,3 +56,26 @@ def test_emerging_terms_match_no_concepts(spark):
         assert "ArrowEvalPython" not in m._jdf.queryExecution().executedPlan().toString()
     finally:
         m.unpersist()
+
+
+def test_emerging_texts_stay_out_of_the_heap(spark):
+    """All texts, read by several scans, are written once: nothing of them is kept in the executors' memory."""
+    from lexipulse.queries import _prose_matched
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    m = _prose_matched(spark, FOLDER)
+    want = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("cast(2014 + doc_id % 13 as int) AS year", "cast(doc_id as string) AS id", "text")
+    assert sorted(map(str, m.select("year", "id", "text").collect())) == sorted(map(str, want.collect()))
+    assert not m.storageLevel.useMemory and "InMemoryTableScan" not in m._jdf.queryExecution().executedPlan().toString()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_coverage_needs_no_python(spark):
+    """N-grams are ASCII without entities: their concepts are found by the JVM, with no worker beside those of the scans."""
+    from lexipulse.fixtures import PROSE
+    from lexipulse.operators import emerging
+
+    want = {"mit": "", "this year": "THAT", "with from": "", "und der that": "THAT,UND", "und": "", "withal": "", "with-x v2.5": "WITH"}  # acronyms match their case alone
+    out = emerging.with_coverage(spark.createDataFrame([(t,) for t in want], "term string").coalesce(1), PROSE)
+    assert dict(map(tuple, out.collect())) == want
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
